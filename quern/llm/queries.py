@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, url_filter
+from . import chat_format, mixing, url_filter, warc
 from . import oracle as _oracle
-from .common import sha256_hex, table
+from .common import new_path, sha256_hex, table, written
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
@@ -44,10 +48,20 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages, then reads every record back by the index."""
+    records = warc.dedup_records(table(spark, sf_dir, "pages"))
+    index = written(warc.write(records, new_path(spark, "warc")), "warc-index")
+    back = warc.read(index.select("file", "offset", "length"), with_payload=False)
+    return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_url_filters": op5_url_filters,
+        "op8_mixing_sources": op8_mixing_sources,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_warc": op10_warc,
     }
 
 
