@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, url_filter, warc
+from . import chat_format, mixing, url_filter, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
@@ -20,6 +20,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        winnow.as_text(F.col("prints")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -59,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_url_filters": op5_url_filters,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op8_mixing_sources": op8_mixing_sources,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,
