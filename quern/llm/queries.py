@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, url_filter, warc, winnow
+from . import chat_format, mixing, near_dup, url_filter, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.components(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: a page whose id has a row in ``labels`` is bad if its quality is 0."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -71,6 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_url_filters": op5_url_filters,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op8_mixing_sources": op8_mixing_sources,
