@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,27 @@ def lower_ascii(c: Column) -> Column:
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, though f names it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sum(numbers: Column, chunk: int = 256) -> Column:
+    """Sums of an array up to each element, in two steps, as growing an array copies it."""
+    n = F.size(numbers)
+
+    def grow(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x))
+
+    none = F.array().cast("array<long>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: F.aggregate(F.slice(numbers, c * chunk + 1, F.lit(chunk)), none, grow))
+    sums = bound(
+        parts,
+        lambda p: bound(
+            F.aggregate(p, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1)))),
+            lambda before: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: y + F.get(before, i)))),
+        ),
+    )
+    return F.when(n > 0, sums).otherwise(none)

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dup, url_filter, warc, winnow
+from . import chat_format, mixing, near_dup, pii, toxicity, url_filter, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.components(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -38,6 +42,13 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -76,9 +87,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_url_filters": op5_url_filters,
         "op6_document_fingerprints": op6_document_fingerprints,
+        "op7_toxicity": op7_toxicity,
         "op8_mixing_sources": op8_mixing_sources,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .common import bound
+
 K, W, PIECE = 5, 8, 8
 _POSITIONS = (1 << 28) - 1
 
@@ -36,17 +38,12 @@ def units(text: Column, piece: int = PIECE) -> Column:
 def gram_hashes(unit_array: Column, k: int = K) -> Column:
     """Hashes of every k units in a row; one for a shorter sequence, none for an empty one."""
     one = F.transform(unit_array, lambda u: F.xxhash64(u))
-    return _apply(one, lambda h: F.when(
+    return bound(one, lambda h: F.when(
         F.size(h) > k - 1,
         F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])),
     ).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>")))
 
 
-def _apply(value: Column, f) -> Column:
-    """f of a value that is worked out once, though f names it often."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def choose(hashes: Column, w: int = W) -> Column:
     """Positions chosen from an array of hashes, in order, each once."""
 
@@ -56,13 +53,13 @@ def choose(hashes: Column, w: int = W) -> Column:
 
     # A smaller lower part is a position further right.
     packed = F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR((F.lit(_POSITIONS) - i).cast("long")))
-    chosen = F.array_distinct(_apply(packed, windows))
+    chosen = F.array_distinct(bound(packed, windows))
     return F.when(F.size(hashes) > 0, F.transform(chosen, lambda p: (F.lit(_POSITIONS) - p.bitwiseAND(F.lit(_POSITIONS))).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprint(text: Column, k: int = K, w: int = W, piece: int = PIECE) -> Column:
     """array<struct<hash: long, position: int>>, by position."""
-    return _apply(
+    return bound(
         gram_hashes(units(text, piece), k),
         lambda h: F.transform(choose(h, w), lambda p: F.struct(F.get(h, p).alias("hash"), p.alias("position"))),
     )
