@@ -205,7 +205,8 @@ def taken(documents: DataFrame, **options) -> DataFrame:
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * plan.block) - F.greatest(F.col("start"), F.col("block") * plan.block)
     parts = parts.withColumn("words", words)
     times = slots(spark, plan).groupBy("source_index", "block").agg(F.count("*").alias("times"))
-    joined = parts.join(times, ["source_index", "block"], "left")
+    # Both sides grow with the input, whatever the planner thinks of rows that Python makes.
+    joined = parts.join(times.hint("merge"), ["source_index", "block"], "left")
     # (source, start) tells rows with words apart; those without are as many as they were, in `zero`.
     got = joined.groupBy("doc_id", "source_index", "start", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("words") * F.coalesce("times", F.lit(0))), F.lit(0)).alias("taken"), F.count("*").alias("rows")
@@ -233,7 +234,7 @@ def mixed_blocks(documents: DataFrame, **options) -> DataFrame:
 
     parts = docs.select("source_index", "source", "doc_id", "start", F.inline(F.transform(F.sequence(first, last), piece)))
     blocks = parts.groupBy("source_index", "block").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("start", "doc_id", "text"))).alias("pieces"))
-    return slots(spark, plan).join(blocks, ["source_index", "block"]).select(
+    return slots(spark, plan).hint("merge").join(blocks, ["source_index", "block"]).select(
         "shard",
         "slot",
         "source",
