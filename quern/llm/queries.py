@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dup, pii, toxicity, url_filter, warc, winnow
+from . import chat_format, decontaminate, mixing, near_dup, pii, toxicity, url_filter, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
@@ -16,6 +16,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and items that leak into them."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.components(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -88,6 +93,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_url_filters": op5_url_filters,
         "op6_document_fingerprints": op6_document_fingerprints,
