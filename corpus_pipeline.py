@@ -1,5 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+toxicity (7)             documents that score as toxic go
+near_dedup (4)           one document of each near-duplicate group stays, the one with the smallest doc_id
+decontamination (3)      documents into which a benchmark item leaks go
+pii (2)                  personal values and terms that reveal them are replaced in the texts
+mixing (8)               the rest is mixed to target weights: a row for each slot of the mix
+
+All stages but the last return the columns of ``documents``.  SQL can't express the
+stages; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.llm import decontaminate, mixing, near_dup, pii, toxicity
+from quern.llm.common import table, written
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents that this stage gets, but for the held-out fifth."""
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.without_toxic(docs, model)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8 or more.  Of rows with one doc_id one stays; rows without doc_id all stay."""
+    found = near_dup.components(docs, near_dup.Settings(words=5, percent=80))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(docs)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("near_dedup", _near_dedup),
+    ("decontamination", _decontamination),
+    ("pii", _pii),
+    ("mixing", _mixing),
+]
+
+#: The stages learn, hash and draw; no SQL gives their rows.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

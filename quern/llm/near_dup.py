@@ -50,7 +50,7 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 4
+    words: int = 5
     percent: int = 80
     chunks: int = 10
     width: int = 6

@@ -161,8 +161,8 @@ def term_spans(documents: DataFrame, rows: DataFrame, **thresholds) -> DataFrame
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    t = terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
-    joined = rows.join(t, rows["doc_id"].eqNullSafe(t["_id"]) & (rows["text_key"] == t["_key"]), "left").drop("_id", "_key")
+    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), "terms")
+    joined = rows.join(t, rows["doc_id"].eqNullSafe(t["__pii_id"]) & (rows["text_key"] == t["__pii_key"]), "left").drop("__pii_id", "__pii_key")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
 
 
@@ -176,16 +176,16 @@ def sanitise(documents: DataFrame, reach: int = 80, **thresholds) -> DataFrame:
     """``documents`` with base values replaced by placeholders, and disclosive terms generalised or removed."""
     rows = found(documents, reach)
     terms = term_spans(documents, rows, **thresholds)
-    keyed = documents.withColumns({"_spans": base_spans(F.coalesce("text", F.lit("")))})
-    clean = keyed.where(F.size("_spans") == 0).drop("_spans")
-    t = terms.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("terms").alias("_terms"))
-    hit = keyed.where(F.size("_spans") > 0)
-    hit = hit.join(t, hit["doc_id"].eqNullSafe(t["_id"]) & (text_key(F.col("text")) == t["_key"]), "left")
+    keyed = documents.withColumns({"__pii_spans": base_spans(F.coalesce("text", F.lit("")))})
+    clean = keyed.where(F.size("__pii_spans") == 0).drop("__pii_spans")
+    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), F.col("terms").alias("__pii_terms"))
+    hit = keyed.where(F.size("__pii_spans") > 0)
+    hit = hit.join(t, hit["doc_id"].eqNullSafe(t["__pii_id"]) & (text_key(F.col("text")) == t["__pii_key"]), "left")
     place = F.concat(
-        F.transform("_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")).alias("by"))),
-        F.transform(F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.substr("text", s.start + 1, s.end - s.start), s.removed).alias("by"))),
+        F.transform("__pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")).alias("by"))),
+        F.transform(F.coalesce("__pii_terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.substr("text", s.start + 1, s.end - s.start), s.removed).alias("by"))),
     )
-    return clean.unionByName(hit.withColumn("text", replaced(F.col("text"), F.array_sort(place))).drop("_spans", "_terms", "_id", "_key"))
+    return clean.unionByName(hit.withColumn("text", replaced(F.col("text"), F.array_sort(place))).drop("__pii_spans", "__pii_terms", "__pii_id", "__pii_key"))
 
 
 def _general(term: Column, removed: Column) -> Column:

@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dup, pii, toxicity, url_filter, warc, winnow
+from . import chat_format, decontaminate, mixing, near_dup, pii, token_scan, toxicity, url_filter, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents into flat files, then counts by scanning those for separators."""
+    ranks = token_scan.vocabulary()
+    folder = new_path(spark, "tokens")
+    order = written(token_scan.write_token_files(table(spark, sf_dir, "documents"), folder, ranks), "token-order")
+    found = token_scan.scan(token_scan.token_files(spark, folder), separator=len(ranks))
+    return order.join(found.hint("merge"), ["file", "seq"]).select("doc_id", "n_tokens")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -22,7 +31,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.components(table(spark, sf_dir, "documents"))
+    found = near_dup.components(table(spark, sf_dir, "documents"), near_dup.Settings(words=4))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -91,7 +100,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline  # it imports this subpackage
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_token_counts": op1_token_counts,
         "op2_pii": op2_pii,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
