@@ -5,11 +5,530 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.functions import ids, text, vectors
+from quern.operators import graph, groups, kv, mapreduce, tfidf, vector_store
+from quern.sources.tables import stop_words, table
+from quern.streaming import streams
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from . import oracle
+
+K = 10
+PATTERN = r"(?i)\bthe [a-z]+ion\b"
+NODES = [("127.0.0.1", 10000 + i) for i in range(5)]
+CRAWL = {"rounds": 4, "alpha": 0.001, "beta": 20}
+EPSILON_DIGITS = 9
+
+Query = Callable[[SparkSession, str], DataFrame]
+_registered: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _registered[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_registered)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
+
+
+# ------------------------------------------------------------------ map, shuffle, reduce
+
+
+@query
+def tokenize_words(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    words = text.tokens(F.col("text"))
+    return docs.select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_words"))
+
+
+@query
+def mr_wordcount(spark, d):
+    docs = table(spark, d, "documents", "text")
+    pairs = mapreduce.emit(docs, F.transform(text.fields(F.col("text")), lambda w: F.struct(w, F.lit(1))))
+    return mapreduce.reduce_pairs(pairs, F.sum("value").alias("n")).select(F.col("key").alias("word"), "n")
+
+
+@query
+def mr_max_by_key(spark, d):
+    rows = table(spark, d, "lineitem", "l_shipdate", "l_extendedprice")
+    pairs = mapreduce.emit(rows, F.array(F.struct(F.year("l_shipdate"), F.col("l_extendedprice"))))
+    return mapreduce.reduce_pairs(pairs, F.max("value").alias("max_price")).select(F.col("key").alias("ship_year"), "max_price")
+
+
+@query
+def mr_group_values(spark, d):
+    pairs = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
+    return mapreduce.group_values(pairs).select(F.col("key").alias("o_custkey"), F.col("values").alias("orderkeys"))
+
+
+@query
+def mr_combiner_sum(spark, d):
+    rows = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
+
+
+@query
+def mr_reduce_side_join(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.struct("o_orderkey", "o_orderpriority").alias("value"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.struct("c_name", "c_mktsegment").alias("value"))
+    return mapreduce.reduce_side_join(orders, customers).select("left_value.o_orderkey", "left_value.o_orderpriority", "right_value.c_name", "right_value.c_mktsegment")
+
+
+@query
+def mr_iterative_rounds(spark, d):
+    """Two rounds: lines per order, then orders per number of lines."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
+    counted = mapreduce.rounds(rows, lambda df, i: df.groupBy("key").agg(F.count("*").alias("n")).select(F.col("n").alias("key") if i == 0 else "key", "n"), 1)
+    return counted.groupBy("key").agg(F.count("*").alias("n_orders")).select(F.col("key").alias("n_lines"), "n_orders")
+
+
+# ------------------------------------------------------------------ key-value tables
+
+
+def _events(spark, d, key: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col(key).alias("key"), F.col("event_id").alias("seq"), F.col("value"), "event_type", "user_id", "ts")
+
+
+@query
+def kv_scan_keys(spark, d):
+    return kv.keys(_events(spark, d, "event_type"))
+
+
+@query
+def kv_scan_values(spark, d):
+    found = kv.append_values(_events(spark, d, "user_id"))
+    return found.select(F.col("key").alias("user_id"), F.size("values").cast("long").alias("n_values"), F.round(F.array_max("values"), 6).alias("largest"))
+
+
+@query
+def kv_point_get(spark, d):
+    return kv.get(_events(spark, d, "user_id"), 7).select(F.col("key").alias("user_id"), "values")
+
+
+@query
+def kv_append_multi(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("value"))
+    return kv.append_values(events).select(F.col("key").alias("user_id"), "values")
+
+
+@query
+def kv_last_write(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), "value")
+    return kv.last_values(events).select(F.col("key").alias("user_id"), F.col("value").alias("last_value"))
+
+
+@query
+def kv_content_key(spark, d):
+    items = table(spark, d, "benchmark", "item_id", "text")
+    return items.select("item_id", kv.content_key(F.col("text")).alias("key"))
+
+
+def _tombstones(spark, d) -> DataFrame:
+    """Users whose last event is an error."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("value"))
+    return kv.last_values(events).where("value = 'error'")
+
+
+@query
+def kv_delete(spark, d):
+    left = kv.delete(_events(spark, d, "user_id"), _tombstones(spark, d))
+    return left.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@query
+def kv_deleted_values(spark, d):
+    gone = kv.deleted(_events(spark, d, "user_id"), _tombstones(spark, d))
+    return gone.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@query
+def json_roundtrip(spark, d):
+    """The value of ``k`` in the JSON text, by parsing and writing it once more."""
+    props = F.to_json(F.from_json("props", "map<string,string>"))
+    return table(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object(props, "$.k").alias("k"))
+
+
+# ------------------------------------------------------------------ groups and placement
+
+
+@query
+def group_membership(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name")
+    regions = table(spark, d, "region")
+    return nations.join(regions, "r_regionkey").groupBy(F.col("r_name").alias("gid")).agg(F.sort_array(F.collect_list("n_name")).alias("members"))
+
+
+@query
+def group_sum_metric(spark, d):
+    nations = table(spark, d, "nation", "n_nationkey", "n_regionkey")
+    customers = table(spark, d, "customer", "c_nationkey", "c_acctbal")
+    values = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_regionkey", "gid")
+    return groups.sum_metric(values, "c_acctbal").select("gid", F.round("total", 2).alias("total"))
+
+
+def _nodes(spark) -> DataFrame:
+    return spark.createDataFrame(NODES, "ip string, port int").withColumn("nid", ids.node_id(F.col("ip"), F.col("port")))
+
+
+@query
+def node_ids(spark, d):
+    return _nodes(spark).select("ip", "port", "nid", ids.short_id(F.col("nid")).alias("sid"))
+
+
+def _customers(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_name").alias("key"))
+
+
+@query
+def rendezvous_owner(spark, d):
+    return ids.rendezvous_owner(_customers(spark, d), _nodes(spark))
+
+
+@query
+def consistent_hash_owner(spark, d):
+    return ids.consistent_owner(_customers(spark, d), _nodes(spark))
+
+
+@query
+def hash_partition_counts(spark, d):
+    """Keys per node by rendezvous placement, which is even for any number of nodes."""
+    return rendezvous_owner(spark, d).groupBy("nid").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ text statistics
+
+
+def _docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text")
+
+
+def _kept_words(spark, d) -> DataFrame:
+    return tfidf.without_stop_words(tfidf.words(_docs(spark, d)), stop_words(spark))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings", "vec_id", "embedding")
+
+
+def _lexicon(spark, d) -> DataFrame:
+    return tfidf.lexicon_from(tfidf.term_freq(_kept_words(spark, d)), _vectors(spark, d))
+
+
+@query
+def section_split(spark, d):
+    parts = text.sections(F.col("text"), "\n")
+    return _docs(spark, d).select("doc_id", parts.alias("s")).select("doc_id", F.length("s.intro").cast("long").alias("intro_chars"), F.length("s.rest").cast("long").alias("rest_chars"))
+
+
+@query
+def stopword_filter(spark, d):
+    return _kept_words(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query
+def vocab_semijoin(spark, d):
+    return tfidf.in_vocabulary(_kept_words(spark, d), _lexicon(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query
+def term_freq(spark, d):
+    return tfidf.term_freq(tfidf.words(_docs(spark, d)))
+
+
+@query
+def doc_length(spark, d):
+    return tfidf.doc_length(tfidf.words(_docs(spark, d)))
+
+
+@query
+def doc_freq(spark, d):
+    return tfidf.doc_freq(tfidf.term_freq(tfidf.words(_docs(spark, d))))
+
+
+def _sectioned(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return docs.select("doc_id", F.col("source").alias("title"), text.sections(F.col("text"), "\n").alias("s")).select("doc_id", "title", "s.intro", "s.rest")
+
+
+def _section_freq(spark, d) -> DataFrame:
+    words = tfidf.section_words(_sectioned(spark, d))
+    return tfidf.section_freq(tfidf.in_vocabulary(tfidf.without_stop_words(words, stop_words(spark)), _lexicon(spark, d)))
+
+
+def _weights(spark, d) -> DataFrame:
+    total = _docs(spark, d).agg(F.count_distinct("doc_id").alias("total"))
+    return tfidf.weights(_section_freq(spark, d), total)
+
+
+@query
+def tfidf_weights(spark, d):
+    """The five words of most weight in each document."""
+    from pyspark.sql.window import Window
+
+    rows = _weights(spark, d).select("doc_id", "word", F.round(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "word"))
+    return rows.withColumn("rank", rank).where("rank <= 5")
+
+
+@query
+def tfidf_online(spark, d):
+    """Statistics as they were when each document came, in the order of doc_id."""
+    freq = tfidf.term_freq(_kept_words(spark, d))
+    sizes = freq.groupBy("doc_id").agg(F.sum("n").alias("size"))
+    seen = tfidf.online_idf(freq, _docs(spark, d))
+    u = F.col("n") / F.col("size") * F.ln(F.col("n_docs") / (1 + F.col("df")))
+    return seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id").select("doc_id", "word", "n_docs", "df", F.round(u, EPSILON_DIGITS).alias("weight"))
+
+
+def _document_vectors(spark, d) -> DataFrame:
+    return tfidf.document_vectors(_weights(spark, d), _lexicon(spark, d), _docs(spark, d))
+
+
+@query
+def doc_embed_tfidf(spark, d):
+    return _document_vectors(spark, d).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", F.round("x", EPSILON_DIGITS).alias("v"))
+
+
+@query
+def lexicon_load(spark, d):
+    return _lexicon(spark, d).select("word", F.size("vec").cast("long").alias("dim"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", -1), 6).alias("last"))
+
+
+def _query_vector(spark, d) -> DataFrame:
+    """The text of the first benchmark item is the query."""
+    items = table(spark, d, "benchmark", "item_id", "text")
+    asked = tfidf.words(items.where("item_id = 0").withColumnRenamed("item_id", "doc_id"))
+    return tfidf.query_vector(tfidf.without_stop_words(asked, stop_words(spark)), _lexicon(spark, d))
+
+
+@query
+def query_embed(spark, d):
+    return _query_vector(spark, d).select(F.posexplode("vec").alias("i", "x")).select("i", F.round("x", EPSILON_DIGITS).alias("v"))
+
+
+@query
+def search_text(spark, d):
+    """From a text to the nearest documents."""
+    found = vector_store.nearest(_document_vectors(spark, d).withColumnRenamed("vec", "embedding"), _query_vector(spark, d), K)
+    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def inverted_index(spark, d):
+    return graph.inverted_index(tfidf.words(_docs(spark, d)))
+
+
+@query
+def grep_regex(spark, d):
+    return _docs(spark, d).where(F.col("text").rlike(PATTERN)).select("doc_id")
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def _collection(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+@query
+def vec_norm(spark, d):
+    return _collection(spark, d).select("doc_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query
+def vec_counts_by_partition(spark, d):
+    return _collection(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def vec_topk_cosine(spark, d):
+    """The ten nearest to vector 0."""
+    c = _collection(spark, d)
+    found = vector_store.nearest(c, c.where("doc_id = 0").select(F.col("embedding").alias("vec")), K)
+    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def vec_topk_filtered(spark, d):
+    c = _collection(spark, d)
+    found = vector_store.nearest(c.where("label = 1"), c.where("doc_id = 0").select(F.col("embedding").alias("vec")), K)
+    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+def _batch(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Queries are the rows whose id is divisible by 50, against all rows."""
+    c = _collection(spark, d)
+    return c, c.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+@query
+def vec_topk_batch(spark, d):
+    return vector_store.nearest_batch(*_batch(spark, d), K).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def vec_topk_lsh(spark, d):
+    """Approximate; tests measure its recall against `vec_topk_batch`."""
+    return vector_store.nearest_lsh(*_batch(spark, d), K).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+def _updates(c: DataFrame) -> DataFrame:
+    """Every vector is written again, reversed, under the next id."""
+    return c.select((F.col("doc_id") + 1).alias("doc_id"), F.reverse("embedding").alias("embedding"), F.col("doc_id").alias("seq"))
+
+
+@query
+def vec_upsert_latest(spark, d):
+    c = _collection(spark, d).select("doc_id", "embedding")
+    return vector_store.upsert(c, _updates(c)).select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query
+def vec_quantised(spark, d):
+    restored = vector_store.restored(vector_store.quantised(_collection(spark, d)))
+    return restored.select("doc_id", F.round(F.element_at("embedding", 1), 5).alias("first"))
+
+
+# ------------------------------------------------------------------ pages and links
+
+
+def _pages(spark, d) -> DataFrame:
+    return table(spark, d, "pages", "page_id", "url", "html")
+
+
+def _links(spark, d) -> DataFrame:
+    return _pages(spark, d).select("page_id", F.explode(text.attribute_links(F.col("html"))).alias("link"))
+
+
+@query
+def page_extract(spark, d):
+    pages = _pages(spark, d).where("html is not null and html <> ''")
+    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), F.size(text.attribute_links(F.col("html"))).cast("long").alias("n_links"))
+
+
+@query
+def url_parts(spark, d):
+    pages = _pages(spark, d)
+    return pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.element_at(F.split(F.parse_url("url", F.lit("PATH")), "/"), 2).alias("service"))
+
+
+@query
+def url_extract(spark, d):
+    return _links(spark, d).distinct()
+
+
+@query
+def distinct_links(spark, d):
+    return _links(spark, d).select("link").distinct()
+
+
+@query
+def link_filter(spark, d):
+    """Links whose title, without the leading slash, is plain."""
+    return _links(spark, d).select("page_id", F.regexp_replace("link", "^/", "").alias("title")).where(text.plain_title(F.col("title"))).distinct()
+
+
+@query
+def title_filter(spark, d):
+    return page_extract(spark, d).where(text.plain_title(F.col("title"))).select("page_id", "title")
+
+
+@query
+def crawl_reduce_links(spark, d):
+    pages = _pages(spark, d).select(F.col("page_id").alias("key"), text.attribute_links(F.col("html")).alias("links"))
+    flat = pages.groupBy("key").agg(F.flatten(F.collect_list("links")).alias("links"))
+    return flat.where(F.size("links") > 0).select(F.col("key").alias("page_id"), F.sort_array("links").alias("links"))
+
+
+@query
+def reverse_links(spark, d):
+    return graph.reverse_links(_links(spark, d).select(F.col("page_id").alias("src"), F.col("link").alias("dst"))).select(F.col("dst").alias("link"), F.col("sources").alias("page_ids"))
+
+
+@query
+def link_two_hop(spark, d):
+    """How many suppliers stand in one order with each supplier: supplier to order to supplier."""
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_suppkey")
+    there = rows.select(F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return graph.two_hop(there, there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("l_suppkey"), "n")
+
+
+def _edges(spark, d) -> DataFrame:
+    """Parts and suppliers linked both ways by order lines."""
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("p"), F.concat(F.lit("S"), "l_suppkey").alias("s")).distinct()
+    return rows.select(F.inline(F.array(F.struct(F.col("p").alias("src"), F.col("s").alias("dst")), F.struct(F.col("s").alias("src"), F.col("p").alias("dst")))))
+
+
+def _seed(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").agg(F.min("l_partkey").alias("k")).select(F.concat(F.lit("P"), "k").alias("title"))
+
+
+@query
+def frontier_antijoin(spark, d):
+    """Parts that supplier 1 doesn't link to."""
+    edges = _edges(spark, d)
+    visited = edges.where("src = 'S1'").select(F.col("dst").alias("title"))
+    return graph.unseen(edges.where("dst like 'P%'").select(F.col("dst").alias("title")).distinct(), visited)
+
+
+@query
+def frontier_prune(spark, d):
+    titles = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("title"))
+    return graph.prune(titles, alpha=0.05, beta=20)
+
+
+def _crawl(spark, d) -> graph.Crawl:
+    return graph.crawl(_seed(spark, d), _edges(spark, d), **CRAWL)
+
+
+@query
+def crawl_bfs(spark, d):
+    return _crawl(spark, d).fetched
+
+
+@query
+def crawl_stats(spark, d):
+    return graph.crawl_stats(_crawl(spark, d))
+
+
+@query
+def set_union_distinct(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return a.union(table(spark, d, "orders").select("o_custkey")).distinct()
+
+
+@query
+def set_except(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return a.join(table(spark, d, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti").distinct()
+
+
+# ------------------------------------------------------------------ streams
+
+
+@query
+def stream_upsert(spark, d):
+    """The collection as a stream of writes into an empty one."""
+    stream = streams.stream_table(spark, f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("vec_id").alias("seq"))
+    return streams.upsert_stream(stream).select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query
+def stream_dedupe(spark, d):
+    """Users as they are first seen."""
+    stream = streams.stream_table(spark, f"{d}/events.parquet").select("user_id")
+    return streams.collected(streams.first_seen(stream, "user_id")).select("user_id")
+
+
+@query
+def stream_doc_freq(spark, d):
+    """The last count of every word after all documents came in."""
+    stream = streams.stream_table(spark, f"{d}/documents.parquet")
+    changes = streams.collected(streams.running_doc_freq(stream), "update")
+    return changes.groupBy("word").agg(F.max("df").alias("df"))
