@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 from quern.functions.text import SECTION_WEIGHTS, tokens
 
+from quern.session import cut
+
 from .prefix import running_sum
 
 #: A table of at most so many rows is sent to every task; beyond it the planner joins by exchange.
@@ -66,12 +68,20 @@ def doc_freq(freq: DataFrame) -> DataFrame:
     return freq.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def lexicon_from(freq: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(word, vec): the most frequent words by document frequency get the vectors in order of their ids."""
+def distinct_words(documents: DataFrame, column: str = "text") -> DataFrame:
+    """(doc_id, word), each word of a document once, without an exchange."""
+    return documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col(column)))).alias("word"))
+
+
+def lexicon_from(distinct: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(word, vec): the most frequent words by document frequency get the vectors in order of their ids.
+
+    Kept as a table in the shared folder, since it is read often; it has a row for each vector.
+    """
     n = vectors.count()
-    top = doc_freq(freq).orderBy(F.col("df").desc(), "word").limit(n)
+    top = doc_freq(distinct).orderBy(F.col("df").desc(), "word").limit(n)
     ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.col("df").desc(), "word")) - 1)  # as many rows as there are vectors
-    return ranked.join(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id").select("word", "vec")
+    return cut(ranked.join(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id").select("word", "vec"))
 
 
 def section_freq(tokens_: DataFrame, weights: tuple[float, ...] = SECTION_WEIGHTS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids, text, vectors
 from quern.operators import graph, groups, kv, mapreduce, tfidf, vector_store
-from quern.sources.tables import stop_words, table
+from quern.sources.tables import spread, stop_words, table
 from quern.streaming import streams
 
 from . import oracle
@@ -42,14 +42,14 @@ def oracle_sql() -> dict[str, str]:
 
 @query
 def tokenize_words(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = _docs(spark, d)
     words = text.tokens(F.col("text"))
     return docs.select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_words"))
 
 
 @query
 def mr_wordcount(spark, d):
-    docs = table(spark, d, "documents", "text")
+    docs = spread(table(spark, d, "documents", "text"))
     pairs = mapreduce.emit(docs, F.transform(text.fields(F.col("text")), lambda w: F.struct(w, F.lit(1))))
     return mapreduce.reduce_pairs(pairs, F.sum("value").alias("n")).select(F.col("key").alias("word"), "n")
 
@@ -205,7 +205,7 @@ def hash_partition_counts(spark, d):
 
 
 def _docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text")
+    return spread(table(spark, d, "documents", "doc_id", "text"))
 
 
 def _kept_words(spark, d) -> DataFrame:
@@ -217,7 +217,8 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def _lexicon(spark, d) -> DataFrame:
-    return tfidf.lexicon_from(tfidf.term_freq(_kept_words(spark, d)), _vectors(spark, d))
+    words = tfidf.without_stop_words(tfidf.distinct_words(_docs(spark, d)), stop_words(spark))
+    return tfidf.lexicon_from(words, _vectors(spark, d))
 
 
 @query
@@ -252,18 +253,14 @@ def doc_freq(spark, d):
 
 
 def _sectioned(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "source", "text"))
     return docs.select("doc_id", F.col("source").alias("title"), text.sections(F.col("text"), "\n").alias("s")).select("doc_id", "title", "s.intro", "s.rest")
 
 
-def _section_freq(spark, d) -> DataFrame:
-    words = tfidf.section_words(_sectioned(spark, d))
-    return tfidf.section_freq(tfidf.in_vocabulary(tfidf.without_stop_words(words, stop_words(spark)), _lexicon(spark, d)))
-
-
-def _weights(spark, d) -> DataFrame:
+def _weights(spark, d, lexicon: DataFrame) -> DataFrame:
     total = _docs(spark, d).agg(F.count_distinct("doc_id").alias("total"))
-    return tfidf.weights(_section_freq(spark, d), total)
+    # The lexicon has no stop words, so it drops them too.
+    return tfidf.weights(tfidf.section_freq(tfidf.in_vocabulary(tfidf.section_words(_sectioned(spark, d)), lexicon)), total)
 
 
 @query
@@ -271,7 +268,7 @@ def tfidf_weights(spark, d):
     """The five words of most weight in each document."""
     from pyspark.sql.window import Window
 
-    rows = _weights(spark, d).select("doc_id", "word", F.round(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
+    rows = _weights(spark, d, _lexicon(spark, d)).select("doc_id", "word", F.round(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "word"))
     return rows.withColumn("rank", rank).where("rank <= 5")
 
@@ -286,13 +283,13 @@ def tfidf_online(spark, d):
     return seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id").select("doc_id", "word", "n_docs", "df", F.round(u, EPSILON_DIGITS).alias("weight"))
 
 
-def _document_vectors(spark, d) -> DataFrame:
-    return tfidf.document_vectors(_weights(spark, d), _lexicon(spark, d), _docs(spark, d))
+def _document_vectors(spark, d, lexicon: DataFrame) -> DataFrame:
+    return tfidf.document_vectors(_weights(spark, d, lexicon), lexicon, _docs(spark, d))
 
 
 @query
 def doc_embed_tfidf(spark, d):
-    return _document_vectors(spark, d).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", F.round("x", EPSILON_DIGITS).alias("v"))
+    return _document_vectors(spark, d, _lexicon(spark, d)).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", F.round("x", EPSILON_DIGITS).alias("v"))
 
 
 @query
@@ -300,22 +297,23 @@ def lexicon_load(spark, d):
     return _lexicon(spark, d).select("word", F.size("vec").cast("long").alias("dim"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", -1), 6).alias("last"))
 
 
-def _query_vector(spark, d) -> DataFrame:
+def _query_vector(spark, d, lexicon: DataFrame) -> DataFrame:
     """The text of the first benchmark item is the query."""
     items = table(spark, d, "benchmark", "item_id", "text")
     asked = tfidf.words(items.where("item_id = 0").withColumnRenamed("item_id", "doc_id"))
-    return tfidf.query_vector(tfidf.without_stop_words(asked, stop_words(spark)), _lexicon(spark, d))
+    return tfidf.query_vector(tfidf.without_stop_words(asked, stop_words(spark)), lexicon)
 
 
 @query
 def query_embed(spark, d):
-    return _query_vector(spark, d).select(F.posexplode("vec").alias("i", "x")).select("i", F.round("x", EPSILON_DIGITS).alias("v"))
+    return _query_vector(spark, d, _lexicon(spark, d)).select(F.posexplode("vec").alias("i", "x")).select("i", F.round("x", EPSILON_DIGITS).alias("v"))
 
 
 @query
 def search_text(spark, d):
     """From a text to the nearest documents."""
-    found = vector_store.nearest(_document_vectors(spark, d).withColumnRenamed("vec", "embedding"), _query_vector(spark, d), K)
+    lexicon = _lexicon(spark, d)
+    found = vector_store.nearest(_document_vectors(spark, d, lexicon).withColumnRenamed("vec", "embedding"), _query_vector(spark, d, lexicon), K)
     return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
 
 

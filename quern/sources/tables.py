@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it has fewer: a small table is often one file and so one task.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stop_words(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(word): the lines of a text file, or the list above."""
     if path:
