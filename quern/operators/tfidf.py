@@ -93,9 +93,18 @@ def section_freq(tokens_: DataFrame, weights: tuple[float, ...] = SECTION_WEIGHT
     return freq.select("doc_id", "word", "n", weighted.alias("weighted"), w.alias("last"))
 
 
-def weights(freq: DataFrame, total: DataFrame) -> DataFrame:
-    """Adds size, idf and u = tf * idf to section frequencies; ``total`` is one row (total)."""
-    df = doc_freq(freq)
+def section_doc_freq(documents: DataFrame, columns: tuple[str, ...] = ("title", "intro", "rest")) -> DataFrame:
+    """(word, df) over all sections: words are made distinct inside the row, so only sums per word are exchanged."""
+    found = F.array_distinct(F.concat(*[tokens(F.col(c)) for c in columns]))
+    return documents.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def weights(freq: DataFrame, total: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """Adds size, idf and u = tf * idf to section frequencies; ``total`` is one row (total).
+
+    ``df`` (word, df) may be given where it comes cheaper than from ``freq``.
+    """
+    df = doc_freq(freq) if df is None else df
     size = F.sum("n").over(Window.partitionBy("doc_id"))
     rows = freq.join(df, "word").join(F.broadcast(total)).withColumn("size", size)  # one row
     idf = F.ln(F.col("total") / (1 + F.col("df")))

@@ -29,6 +29,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def _rounded(c, digits: int):
+    """Rounded, and never a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def queries() -> dict[str, Query]:
     return dict(_registered)
 
@@ -259,8 +264,10 @@ def _sectioned(spark, d) -> DataFrame:
 
 def _weights(spark, d, lexicon: DataFrame) -> DataFrame:
     total = _docs(spark, d).agg(F.count_distinct("doc_id").alias("total"))
+    docs = _sectioned(spark, d)
     # The lexicon has no stop words, so it drops them too.
-    return tfidf.weights(tfidf.section_freq(tfidf.in_vocabulary(tfidf.section_words(_sectioned(spark, d)), lexicon)), total)
+    freq = tfidf.section_freq(tfidf.in_vocabulary(tfidf.section_words(docs), lexicon))
+    return tfidf.weights(freq, total, tfidf.in_vocabulary(tfidf.section_doc_freq(docs), lexicon))
 
 
 @query
@@ -268,7 +275,7 @@ def tfidf_weights(spark, d):
     """The five words of most weight in each document."""
     from pyspark.sql.window import Window
 
-    rows = _weights(spark, d, _lexicon(spark, d)).select("doc_id", "word", F.round(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
+    rows = _weights(spark, d, _lexicon(spark, d)).select("doc_id", "word", _rounded(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "word"))
     return rows.withColumn("rank", rank).where("rank <= 5")
 
@@ -280,7 +287,7 @@ def tfidf_online(spark, d):
     sizes = freq.groupBy("doc_id").agg(F.sum("n").alias("size"))
     seen = tfidf.online_idf(freq, _docs(spark, d))
     u = F.col("n") / F.col("size") * F.ln(F.col("n_docs") / (1 + F.col("df")))
-    return seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id").select("doc_id", "word", "n_docs", "df", F.round(u, EPSILON_DIGITS).alias("weight"))
+    return seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id").select("doc_id", "word", "n_docs", "df", _rounded(u, EPSILON_DIGITS).alias("weight"))
 
 
 def _document_vectors(spark, d, lexicon: DataFrame) -> DataFrame:
@@ -289,7 +296,7 @@ def _document_vectors(spark, d, lexicon: DataFrame) -> DataFrame:
 
 @query
 def doc_embed_tfidf(spark, d):
-    return _document_vectors(spark, d, _lexicon(spark, d)).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", F.round("x", EPSILON_DIGITS).alias("v"))
+    return _document_vectors(spark, d, _lexicon(spark, d)).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
 
 
 @query
@@ -306,7 +313,7 @@ def _query_vector(spark, d, lexicon: DataFrame) -> DataFrame:
 
 @query
 def query_embed(spark, d):
-    return _query_vector(spark, d, _lexicon(spark, d)).select(F.posexplode("vec").alias("i", "x")).select("i", F.round("x", EPSILON_DIGITS).alias("v"))
+    return _query_vector(spark, d, _lexicon(spark, d)).select(F.posexplode("vec").alias("i", "x")).select("i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
 
 
 @query
@@ -314,7 +321,7 @@ def search_text(spark, d):
     """From a text to the nearest documents."""
     lexicon = _lexicon(spark, d)
     found = vector_store.nearest(_document_vectors(spark, d, lexicon).withColumnRenamed("vec", "embedding"), _query_vector(spark, d, lexicon), K)
-    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+    return found.select("rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
 @query
@@ -349,14 +356,14 @@ def vec_topk_cosine(spark, d):
     """The ten nearest to vector 0."""
     c = _collection(spark, d)
     found = vector_store.nearest(c, c.where("doc_id = 0").select(F.col("embedding").alias("vec")), K)
-    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+    return found.select("rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
 @query
 def vec_topk_filtered(spark, d):
     c = _collection(spark, d)
     found = vector_store.nearest(c.where("label = 1"), c.where("doc_id = 0").select(F.col("embedding").alias("vec")), K)
-    return found.select("rank", "doc_id", F.round("distance", 6).alias("distance"))
+    return found.select("rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
 def _batch(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -367,13 +374,13 @@ def _batch(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def vec_topk_batch(spark, d):
-    return vector_store.nearest_batch(*_batch(spark, d), K).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+    return vector_store.nearest_batch(*_batch(spark, d), K).select("query_id", "rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
 @query
 def vec_topk_lsh(spark, d):
     """Approximate; tests measure its recall against `vec_topk_batch`."""
-    return vector_store.nearest_lsh(*_batch(spark, d), K).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+    return vector_store.nearest_lsh(*_batch(spark, d), K).select("query_id", "rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
 def _updates(c: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _crawl(rounds: int = 4, beta: int = 20, per_mille: int = 1) -> str:
 
 
 def statements() -> dict[str, str]:
-    top = "SELECT row_number() OVER (ORDER BY distance, doc_id) AS rank, doc_id, round(distance, 6) AS distance"
+    top = "SELECT row_number() OVER (ORDER BY distance, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance"
     near = "SELECT v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0"
     return {
         "tokenize_words": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_words FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
@@ -98,15 +98,15 @@ def statements() -> dict[str, str]:
         "term_freq": f"WITH {_TOK} SELECT doc_id, word, count(*) AS n FROM tok GROUP BY doc_id, word",
         "doc_length": f"WITH {_TOK} SELECT doc_id, count(*) AS size FROM tok GROUP BY doc_id",
         "doc_freq": f"WITH {_TOK} SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY word",
-        "tfidf_weights": f"WITH {_SECTIONS} SELECT * FROM (SELECT doc_id, word, round(u * last, 9) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(u * last, 9) DESC, word) AS rank FROM w) WHERE rank <= 5",
+        "tfidf_weights": f"WITH {_SECTIONS} SELECT * FROM (SELECT doc_id, word, round(u * last, 9) + 0 AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(u * last, 9) + 0 DESC, word) AS rank FROM w) WHERE rank <= 5",
         "tfidf_online": f"""WITH {_KEPT}, f AS (SELECT doc_id, word, count(*) AS n FROM kept GROUP BY doc_id, word),
             s AS (SELECT doc_id, sum(n) AS size FROM f GROUP BY doc_id),
             o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n_docs FROM documents),
             r AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS df FROM f)
-            SELECT doc_id, word, n_docs, df, round(n / size * ln(n_docs / (1 + df)), 9) AS weight FROM r JOIN s USING (doc_id) JOIN o USING (doc_id)""",
-        "doc_embed_tfidf": f"WITH {_DOCVEC} SELECT doc_id, i, round(v, 9) AS v FROM dv",
+            SELECT doc_id, word, n_docs, df, round(n / size * ln(n_docs / (1 + df)), 9) + 0 AS weight FROM r JOIN s USING (doc_id) JOIN o USING (doc_id)""",
+        "doc_embed_tfidf": f"WITH {_DOCVEC} SELECT doc_id, i, round(v, 9) + 0 AS v FROM dv",
         "lexicon_load": f"WITH {_LEX} SELECT word, len(vec) AS dim, round(vec[1], 6) AS first, round(vec[-1], 6) AS last FROM lex",
-        "query_embed": f"WITH {_LEX}, {_QUERY} SELECT i, round(v, 9) AS v FROM qv",
+        "query_embed": f"WITH {_LEX}, {_QUERY} SELECT i, round(v, 9) + 0 AS v FROM qv",
         "search_text": f"""WITH {_DOCVEC}, {_QUERY},
             near AS (SELECT doc_id, 1 - list_cosine_similarity(list(dv.v ORDER BY i), list(qv.v ORDER BY i)) AS distance FROM dv JOIN qv USING (i) GROUP BY doc_id HAVING sum(dv.v * dv.v) > 0)
             {top} FROM near ORDER BY rank LIMIT 10""",
@@ -116,7 +116,7 @@ def statements() -> dict[str, str]:
         "vec_counts_by_partition": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
         "vec_topk_cosine": f"{top} FROM ({near}) ORDER BY rank LIMIT 10",
         "vec_topk_filtered": f"{top} FROM ({near} AND v.label = 1) ORDER BY rank LIMIT 10",
-        "vec_topk_batch": """SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM (
+        "vec_topk_batch": """SELECT query_id, rank, doc_id, round(distance, 6) + 0 AS distance FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
