@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
 from .files import Writer, open_store
 
 #: Fixed value: the splitting pattern that belongs to the vocabulary.
@@ -116,7 +117,8 @@ def scan(files: DataFrame, separator: int, width: int = 2, block_tokens: int = 4
 
     The prefix scan has two steps, blocks in stretches and stretches in a file, so that its longest row of summaries stays short.
     """
-    found = _searched(files, separator, width, block_tokens).withColumn("stretch", F.expr(f"block div {stretch}"))
+    # Written, as the scan below goes over the summaries more than once and should not read the files again.
+    found = written(_searched(files, separator, width, block_tokens), "separators").withColumn("stretch", F.expr(f"block div {stretch}"))
     found = found.withColumns({
         "base": F.col("block") * block_tokens,
         "n": F.size("marks").cast("long"),
