@@ -218,7 +218,9 @@ def components(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     guests = _most_central(member, s.guests).select("node", "root", F.col("cell_no").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell_no"))
     seated = _seats(member, True).unionByName(_seats(guests.where("cell_no <> home"), False))
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # The texts of members are picked once and kept; members grow with the input, so they are joined in one way at every size.
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").hint("merge")
+    texts = written(member.select("node").join(texts, "node"), "texts")
     links = written(_compare(seated.join(texts, "node"), s), "links")
 
     if not large.isEmpty():
