@@ -27,7 +27,6 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -125,12 +124,15 @@ class Chain:
 
 
 def summary(marginals: np.ndarray) -> np.ndarray:
-    """What the document's score is made of: likely count, one doubt in all tokens, share and highest marginal."""
+    """What the document's score is made of: likely count, doubt over all tokens, share, and highest marginal.
+
+    Marginals count by their cubes, so that the small doubt that every token
+    leaves doesn't add up to evidence in a long text.
+    """
     if not len(marginals):
         return np.zeros(4)
-    top = np.sort(marginals)[::-1][:8]
-    none = -np.log1p(-np.minimum(marginals, 1 - 1e-6)).sum()
-    return np.array([np.log1p(marginals.sum()), np.log1p(none), np.sqrt(marginals.mean()), top[0]])
+    m = marginals**3
+    return np.array([np.log1p(m.sum()), np.log1p(-np.log1p(-np.minimum(m, 1 - 1e-6)).sum()), np.sqrt(m.mean()), marginals.max()])
 
 
 @dataclass
@@ -144,68 +146,93 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def _indicative(docs: list[list[str]], toxic: np.ndarray, least: int, z: float) -> set[str]:
+class _Sample:
+    """The sample as numbers: word types, their features, and each document's tokens."""
+
+    def __init__(self, texts: list[str]):
+        types: dict[str, int] = {}
+        self.ids = [np.array([types.setdefault(w.lower(), len(types)) for w in TOKEN.findall(t or "")], np.int32) for t in texts]
+        index: dict[str, int] = {}
+        of = [[index.setdefault(f, len(index)) for f in features(w)] for w in types]
+        self.names, self.n_types = list(index), len(types)
+        self.start = np.cumsum([0, *map(len, of)])
+        self.flat = np.array([f for x in of for f in x], np.int32)
+        self.owner = np.repeat(np.arange(len(of), dtype=np.int32), np.diff(self.start))
+
+    def features_of(self, doc: np.ndarray) -> np.ndarray:
+        """The distinct features of a document."""
+        t = np.unique(doc)
+        size = self.start[t + 1] - self.start[t]
+        at = np.repeat(self.start[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.unique(self.flat[at])
+
+    def portions(self, tokens: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(documents, their tokens in a row, first tokens), documents without tokens left out."""
+        some: list[int] = []
+        size = 0
+        for i, x in enumerate(self.ids):
+            if len(x):
+                some.append(i)
+                size += len(x)
+            if some and (size >= tokens or i == len(self.ids) - 1):
+                yield np.array(some), np.concatenate([self.ids[j] for j in some]), np.cumsum([0, *(len(self.ids[j]) for j in some[:-1])])
+                some, size = [], 0
+
+
+def _indicative(counts: np.ndarray, n0: int, n1: int, least: int, z: float) -> np.ndarray:
     """Features whose share of toxic documents is far above their share of others, by the z score of two shares."""
-    counts = (Counter(), Counter())
-    for words, y in zip(docs, toxic, strict=True):
-        counts[int(y)].update({f for w in set(words) for f in features(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    out = set()
-    for f, k1 in counts[1].items():
-        k0 = counts[0][f]
-        if k1 >= least:
-            p = (k1 + k0) / (n1 + n0)
-            if (k1 / n1 - k0 / n0) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0)) > z and k1 / n1 > 4 * (k0 + 1) / n0:
-                out.add(f)
-    return out
+    k0, k1 = counts
+    p = (k0 + k1) / (n0 + n1)
+    gap = (k1 / n1 - k0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return (k1 >= least) & (gap > z) & (k1 / n1 > 4 * (k0 + 1) / n0)
 
 
 def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, least: int = 4, z: float = 4.0, rounds: int = 25, l2: float = 1e-4) -> Model:
     """``weights``: how many labelled documents each one of the sample stands for."""
-    docs = [[w.lower() for w in TOKEN.findall(t or "")] for t in texts]
-    seed = _indicative(docs, toxic, least, z)
-    used: Counter = Counter()
-    for words in docs:
-        used.update({f for w in set(words) for f in features(w)})
-    names = sorted(f for f, k in used.items() if k >= least)
-    index = {f: i for i, f in enumerate(names)}
-    types: dict[str, int] = {}
-    ids = [np.array([types.setdefault(w, len(types)) for w in words], np.int64) for words in docs]
-    per_type = [[index[f] for f in features(w) if f in index] for w in types]
-    marked = np.array([any(f in seed for f in features(w)) for w in types], bool)
-    begins = np.cumsum([0, *(len(x) for x in ids)])
-    keep = [i for i, x in enumerate(ids) if len(x)]
-    tokens = np.concatenate([ids[i] for i in keep]) if keep else np.zeros(0, np.int64)
-    first = begins[:-1][keep]
-    label = marked[tokens] & np.repeat(toxic[keep], [len(ids[i]) for i in keep])
-    flat = np.array([f for x in per_type for f in x], np.int64)
-    owner = np.repeat(np.arange(len(per_type)), [len(x) for x in per_type])
-
-    chain, w = Chain(), np.zeros(len(names))
-    inner = np.ones(len(tokens), bool)
-    inner[first] = False
-    gold_pair = np.zeros((2, 2))
-    if inner.any():
-        at = np.flatnonzero(inner)
-        np.add.at(gold_pair, (label[at - 1].astype(int), label[at].astype(int)), 1)
-    grads = [np.full(len(names), 1e-6), np.full((2, 2), 1e-6), 1e-6]
-    n = max(1, len(tokens))
-    gold = np.bincount(tokens, weights=label, minlength=len(types)) if len(tokens) else np.zeros(len(types))
-    for _ in range(rounds if len(tokens) else 0):
-        type_score = np.bincount(owner, weights=w[flat], minlength=len(types))
-        p, pair = chain.marginals(type_score[tokens], first, pairs=True)
-        off = gold - np.bincount(tokens, weights=p, minlength=len(types))
-        steps = [np.bincount(flat, weights=off[owner], minlength=len(names)) / n - l2 * w / 10, (gold_pair - pair[inner].sum(axis=0)) / n, (label[first] - p[first]).sum() / n]
+    sample = _Sample(texts)
+    counts = np.zeros((2, len(sample.names)))
+    for x, y in zip(sample.ids, toxic, strict=True):
+        counts[int(y), sample.features_of(x)] += 1
+    seed = _indicative(counts, max(1, int((~toxic).sum())), max(1, int(toxic.sum())), least, z)
+    marked = np.bincount(sample.owner, weights=seed[sample.flat], minlength=sample.n_types) > 0
+    used = counts.sum(axis=0) >= least
+    stay = used[sample.flat]
+    flat, owner = sample.flat[stay], sample.owner[stay]
+
+    parts = list(sample.portions())
+    n = max(1, sum(len(tokens) for _, tokens, _ in parts))
+    gold, gold_pair, gold_first = np.zeros(sample.n_types), np.zeros((2, 2)), 0.0
+    for docs, tokens, first in parts:
+        label = marked[tokens] & np.repeat(toxic[docs], np.diff(np.r_[first, len(tokens)]))
+        gold += np.bincount(tokens, weights=label, minlength=sample.n_types)
+        inner = np.setdiff1d(np.arange(len(tokens)), first)
+        np.add.at(gold_pair, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
+        gold_first += float(label[first].sum())
+
+    chain, w = Chain(), np.zeros(len(sample.names))
+    grads: list = [np.full(len(w), 1e-6), np.full((2, 2), 1e-6), 1e-6]
+    for _ in range(rounds if parts else 0):
+        type_score = np.bincount(owner, weights=w[flat], minlength=sample.n_types)
+        off, pairs, firsts = gold.copy(), gold_pair.copy(), gold_first
+        for _, tokens, first in parts:
+            p, pair = chain.marginals(type_score[tokens], first, pairs=True)
+            off -= np.bincount(tokens, weights=p, minlength=sample.n_types)
+            pairs -= pair.sum(axis=0) - pair[first].sum(axis=0)
+            firsts -= float(p[first].sum())
+        steps = [np.bincount(flat, weights=off[owner], minlength=len(w)) / n - l2 * w / 10, pairs / n, firsts / n]
         for i, g in enumerate(steps):
             grads[i] = grads[i] + np.square(g)
         w = w + steps[0] / np.sqrt(grads[0])
         chain.move = chain.move + steps[1] / np.sqrt(grads[1])
         chain.start += float(steps[2] / np.sqrt(grads[2]))
-    chain.weights = {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}
-
-    type_score = np.bincount(owner, weights=w[flat], minlength=len(types)) if len(types) else np.zeros(0)
-    p = chain.marginals(type_score[tokens], first) if len(tokens) else np.zeros(0)
-    x = np.array([summary(p[b:e]) for b, e in zip(np.searchsorted(np.arange(len(tokens)), begins[:-1]), begins[1:], strict=True)]).reshape(len(docs), 4)
+    chain.weights = {sample.names[i]: float(w[i]) for i in np.flatnonzero(used & (np.abs(w) > 1e-3))}
+
+    type_score = np.bincount(owner, weights=w[flat], minlength=sample.n_types)
+    x = np.zeros((len(texts), 4))
+    for docs, tokens, first in parts:
+        p = chain.marginals(type_score[tokens], first)
+        for d, a, b in zip(docs, first, np.r_[first[1:], len(tokens)], strict=True):
+            x[d] = summary(p[a:b])
     scale = np.maximum(x.std(axis=0), 1e-6)
     return Model(chain, scale, _logistic(np.c_[x / scale, np.ones(len(x))], toxic.astype(float), weights))
 
@@ -246,11 +273,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, most_docs: int, most_
     return [t for _, t in found], toxic, np.array([weight[x] for x in toxic], float)
 
 
-def train(documents: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: int = 6_000_000, **options) -> Model:
+def train(documents: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: int = 4_000_000, **options) -> Model:
     texts, toxic, weights = training_rows(documents, labels, most_docs, most_chars)
     if toxic.all() or not toxic.any():
         share = 1 - 1e-9 if len(toxic) and toxic.all() else 1e-9
-        return Model(Chain(start=-30.0), np.ones(4), np.array([0, 0, 0, 0, np.log(share / (1 - share))]))
+        return Model(Chain(start=-30.0, move=np.array([[0.0, -30.0], [0.0, -30.0]])), np.ones(4), np.array([0, 0, 0, 0, np.log(share / (1 - share))]))
     return fit(texts, toxic, weights, **options)
 
 
