@@ -190,8 +190,12 @@ def _span(block: int) -> tuple[Column, Column]:
     return F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
 
 
+def _words_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
 def sized(documents: DataFrame) -> DataFrame:
-    return documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", _words_in(F.coalesce("text", F.lit(""))).alias("size"))
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
@@ -222,9 +226,10 @@ def mixed_blocks(documents: DataFrame, **options) -> DataFrame:
     """
     spark = documents.sparkSession
     plan = make_plan(sized(documents), **options)
-    rows = documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
-    rows = rows.withColumn("size", F.size("words").cast("long")).where("size > 0")
-    docs = with_places(rows, plan)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", "source", text.alias("text"), _words_in(text).alias("size"))
+    # Words are split after the exchange: an array of them is larger than their text.
+    docs = with_places(rows.where("size > 0"), plan).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("text")
     first, last = _span(plan.block)
 
     def piece(b: Column) -> Column:
