@@ -1,16 +1,19 @@
 """PII: base patterns, and terms that reveal the protected values.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers; each value
-is a protected entity e.  Terms are the words within ``reach`` code points of a
-mention.  Over the whole corpus
+is a protected entity e.  Terms are the words of the texts that mention one,
+outside the base spans.  Over the whole corpus
 
     IC(e)    = log2(N / c(e))                     information of the entity
     PMI(e,t) = log2(N * c(e,t) / (c(e) * c(t)))   what the term tells about it
 
-with N documents, c(e) those that mention e, c(t) those that hold t anywhere and
-c(e,t) those in which t stands near e.  A term with PMI >= disclose * IC that is
-near e in at least ``support`` documents is generalised to a typed placeholder
-near every mention of e, or removed from there if PMI >= remove * IC.
+with N distinct texts, c(e) those that mention e, c(t) those that hold t and
+c(e,t) those that do both.  Every pair is scored, single sightings too.  A term
+with PMI >= disclose * IC is generalised to a typed placeholder wherever it
+stands in the texts that mention e, or removed from there if PMI >= remove * IC.
+
+As c(e,t) <= min(c(e), c(t)), PMI is at most log2(N / max(c(e), c(t))); pairs
+that this bound rules out aren't built.
 
 Everything is built-in functions: Java's matches and the text between them give
 positions.  The patterns are written so that no text makes them backtrack over a long
@@ -19,7 +22,8 @@ run: a match may start inside a run only where the last match ended.
 Defined results
 ---------------
 * null text: empty, no spans;
-* a document is told by doc_id and text: repeated rows get the same spans and count once;
+* equal texts get the same spans and count once, whatever their doc_id;
+* of a word that runs into a base span, the rest is a term only if it is a word elsewhere;
 * null doc_id: as any other value;
 * an empty table gives an empty result; extra columns are kept by `sanitise`.
 """
@@ -103,89 +107,120 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span.kind, value)
 
 
-def _near(text: Column, spans: Column, reach: int) -> Column:
-    """array<struct<entity, term, start, end>>: the words near each mention that are whole and in no base span."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans, of the same length."""
+
+    def step(acc: Column, s: Column) -> Column:
+        blank = F.repeat(F.lit(" "), s.end - F.greatest(acc.at, s.start))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.out, F.array(F.concat(F.substr(text, acc.at + 1, s.start - acc.at), blank))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return bound(F.aggregate(spans, zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+
 
-    def terms(part: Column, at: Column, cut_left: Column, cut_right: Column) -> Column:
-        whole = lambda t: ~(cut_left & (t.start == 0)) & ~(cut_right & (t.end == F.length(part)))
-        return F.transform(F.filter(located(part, TERM), whole), lambda t: F.struct((t.start + at).alias("start"), (t.end + at).alias("end"), t.value.alias("value")))
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s.start - reach, F.lit(0))
-        left = terms(F.substr(text, low + 1, s.start - low), low, low > 0, F.lit(False))
-        right = terms(F.substr(text, s.end + 1, F.lit(reach)), s.end, F.lit(False), F.length(text) > s.end + reach)
-        free = lambda t: ~F.exists(spans, lambda o: (o.start < t.end) & (o.end > t.start))
-        return F.transform(F.filter(F.concat(left, right), free), lambda t: F.struct(entity(s).alias("entity"), F.xxhash64(F.lower(t.value)).alias("term"), t.start.alias("start"), t.end.alias("end")))
 
-    return F.flatten(F.transform(spans, around))
+def _words(text: Column, spans: Column) -> Column:
+    """array<struct<term, start, end>>: the words outside the base spans."""
+    return F.transform(located(_blanked(text, spans), TERM), lambda t: F.struct(_term(t.value).alias("term"), t.start.alias("start"), t.end.alias("end")))
 
 
-_NEAR = "array<struct<entity:bigint,term:bigint,start:int,end:int>>"
+_WORDS = "array<struct<term:bigint,start:int,end:int>>"
 
 
-def found(documents: DataFrame, reach: int = 80) -> DataFrame:
-    """doc_id, text_key, spans (base) and near (terms near mentions), written to the shared folder."""
+def found(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans (base) and words (those of texts with spans), written to the shared folder."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"), reach)).otherwise(F.array().cast(_NEAR))
-    return written(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "spans", near.alias("near")), "pii")
+    words = F.when(F.size("spans") > 0, _words(F.col("text"), F.col("spans"))).otherwise(F.array().cast(_WORDS))
+    return written(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "spans", words.alias("words")), "pii")
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def disclosive(documents: DataFrame, rows: DataFrame, support: int = 3, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """(entity, term, pmi, ic, removed) of the terms over the threshold."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.select("doc_id", "text_key").distinct().agg(F.count("*").alias("total"))
-    mentions = rows.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.entity", "n.term").distinct()
-    with_entity = rows.where(F.size("spans") > 0).select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).distinct()
-    c_e = with_entity.groupBy("entity").agg(F.count("*").alias("c_e"))
-    c_et = mentions.groupBy("entity", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
-    # Every document's distinct terms, as 64-bit hashes.
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
-    c_t = docs.select(F.explode(words).alias("term"))
-    c_t = c_t.groupBy("term").agg(F.count("*").alias("c_t"))
-    both = c_et.join(c_t, "term").join(c_e, "entity").join(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("total") * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    ic = F.log2(F.col("total") / F.col("c_e"))
-    return both.withColumns({"pmi": pmi, "ic": ic}).where((F.col("ic") > 0) & (F.col("pmi") >= disclose * F.col("ic"))).select("entity", "term", "pmi", "ic", (F.col("pmi") >= remove * F.col("ic")).alias("removed"))
+def _holders(rows: DataFrame) -> DataFrame:
+    """text_key, entities and words of each distinct text with base spans."""
+    held = rows.where(F.size("spans") > 0).select("text_key", F.array_distinct(F.transform("spans", entity)).alias("entities"), "words")
+    return written(held.dropDuplicates(["text_key"]), "pii-holders")
+
+
+def _term_counts(documents: DataFrame) -> DataFrame:
+    """term, c_t: in how many distinct texts each word stands."""
+    texts = documents.select(text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), _term))
+    return written(texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "pii-terms")
+
+
+def disclosive(documents: DataFrame, rows: DataFrame, holders: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
+    """(text_key, entity, term, pmi, ic, removed) of the terms over the threshold, for each text that has both."""
+    total = F.lit(rows.select("text_key").distinct().count())
+    c_t = _term_counts(documents)
+    of = holders.select("text_key", F.explode("entities").alias("entity"))
+    c_e = of.groupBy("entity").agg(F.count("*").alias("c_e"))
+    # A common entity is one row a text; its count is joined by a salted key.
+    salt = 16
+    c_e = c_e.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    counted = of.withColumn("salt", F.pmod("text_key", F.lit(salt)).cast("int")).join(c_e, ["entity", "salt"])
+    entities = counted.groupBy("text_key").agg(F.collect_list(F.struct("entity", "c_e")).alias("entities"), F.max("c_e").alias("most"))
+    # Words in more than a thousandth of all texts, at most a thousand times as many as a text has, don't meet in one task.
+    terms = holders.select("text_key", F.explode(F.array_distinct(F.transform("words", lambda w: w.term))).alias("term"))
+    often = F.broadcast(c_t.where(F.col("c_t") * 1000 > total))
+    terms = terms.join(often, "term").unionByName(terms.join(often.select("term"), "term", "left_anti").join(c_t, "term"))
+    ic = lambda c: F.log2(total / F.col(c))
+    possible = lambda c: F.log2(total / F.greatest(F.col(c), F.col("c_t"))) >= disclose * ic(c) - 1e-9
+    pairs = terms.join(entities, "text_key").where(possible("most")).select("text_key", "term", "c_t", F.inline("entities")).where((F.col("c_e") < total) & possible("c_e"))
+    # Pairs in many texts are dealt out; c_et is at most the smaller count.
+    parts = F.least(F.floor(F.least("c_e", "c_t") / 256) + 1, F.lit(64)).cast("int")
+    pairs = written(pairs.withColumn("salt", F.pmod("text_key", parts).cast("int")), "pii-pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c_et"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"))
+    pmi = F.log2(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    flagged = both.withColumns({"pmi": pmi, "ic": ic("c_e")}).where(F.col("pmi") >= disclose * F.col("ic"))
+    flagged = flagged.select("entity", "term", "pmi", "ic", (F.col("pmi") >= remove * F.col("ic")).alias("removed"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return pairs.select("text_key", "entity", "term", "salt").join(flagged, ["entity", "term", "salt"]).drop("salt")
 
 
 def term_spans(documents: DataFrame, rows: DataFrame, **thresholds) -> DataFrame:
-    """doc_id, text_key, terms: array of (start, end, removed), each place once."""
-    flagged = disclosive(documents, rows, **thresholds)
-    near = rows.select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*")
-    hits = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("removed").alias("removed"))
-    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    """text_key, terms: array of (start, end, removed), each place once."""
+    holders = _holders(rows)
+    flagged = disclosive(documents, rows, holders, **thresholds).groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    places = holders.select("text_key", F.inline("words"))
+    return places.join(flagged, ["text_key", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+
+
+_TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 
 
-def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), "terms")
-    joined = rows.join(t, rows["doc_id"].eqNullSafe(t["__pii_id"]) & (rows["text_key"] == t["__pii_key"]), "left").drop("__pii_id", "__pii_key")
-    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
+def _with_terms(rows: DataFrame, key: Column, terms: DataFrame, salt: int = 16) -> DataFrame:
+    """``rows`` with __pii_terms; a text of many copies is dealt out by doc_id."""
+    t = terms.select(F.col("text_key").alias("__pii_key"), F.col("terms").alias("__pii_terms"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__pii_salt"))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int")
+    joined = rows.join(t, (key == t["__pii_key"]) & (at == t["__pii_salt"]), "left").drop("__pii_key", "__pii_salt")
+    return joined.withColumn("__pii_terms", F.coalesce("__pii_terms", F.array().cast(_TERMS)))
 
 
-def detect(documents: DataFrame, reach: int = 80, **thresholds) -> DataFrame:
+def detect(documents: DataFrame, **thresholds) -> DataFrame:
     """doc_id, spans (base) and terms, a row for each row of ``documents``."""
-    rows = found(documents, reach)
-    return _with_terms(rows.select("doc_id", "text_key", "spans"), term_spans(documents, rows, **thresholds)).drop("text_key")
+    rows = found(documents)
+    hit = _with_terms(rows.where(F.size("spans") > 0).select("doc_id", "text_key", "spans"), F.col("text_key"), term_spans(documents, rows, **thresholds))
+    clean = rows.where(F.size("spans") == 0).select("doc_id", "spans", F.array().cast(_TERMS).alias("terms"))
+    return clean.unionByName(hit.select("doc_id", "spans", F.col("__pii_terms").alias("terms")))
 
 
-def sanitise(documents: DataFrame, reach: int = 80, **thresholds) -> DataFrame:
+def sanitise(documents: DataFrame, **thresholds) -> DataFrame:
     """``documents`` with base values replaced by placeholders, and disclosive terms generalised or removed."""
-    rows = found(documents, reach)
+    rows = found(documents)
     terms = term_spans(documents, rows, **thresholds)
     keyed = documents.withColumns({"__pii_spans": base_spans(F.coalesce("text", F.lit("")))})
     clean = keyed.where(F.size("__pii_spans") == 0).drop("__pii_spans")
-    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_key").alias("__pii_key"), F.col("terms").alias("__pii_terms"))
-    hit = keyed.where(F.size("__pii_spans") > 0)
-    hit = hit.join(t, hit["doc_id"].eqNullSafe(t["__pii_id"]) & (text_key(F.col("text")) == t["__pii_key"]), "left")
+    hit = _with_terms(keyed.where(F.size("__pii_spans") > 0), text_key(F.col("text")), terms)
     place = F.concat(
         F.transform("__pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")).alias("by"))),
-        F.transform(F.coalesce("__pii_terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.substr("text", s.start + 1, s.end - s.start), s.removed).alias("by"))),
+        F.transform("__pii_terms", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.substr("text", s.start + 1, s.end - s.start), s.removed).alias("by"))),
     )
-    return clean.unionByName(hit.withColumn("text", replaced(F.col("text"), F.array_sort(place))).drop("__pii_spans", "__pii_terms", "__pii_id", "__pii_key"))
+    return clean.unionByName(hit.withColumn("text", replaced(F.col("text"), F.array_sort(place))).drop("__pii_spans", "__pii_terms"))
 
 
 def _general(term: Column, removed: Column) -> Column:

@@ -66,6 +66,19 @@ def test_revealing_terms_are_found_by_counts(spark):
     assert all(rows[i].spans == "" for i in range(200))
 
 
+def test_single_sightings_and_terms_far_away_count(spark):
+    """Both words stand in one text, with the only mention of an address; one is hundreds of code points away."""
+    rows = corpus() + [(2000, "ask Ophelia at solo@example.org " + "about plain words in particular " * 20 + "near Samarkand"), (2001, "nothing of words")]
+    docs = cases.documents(spark, rows + [(2002, rows[-2][1]), (None, rows[-2][1])])
+    got = {r.doc_id: r.spans for r in pii.digest_columns(pii.detect(docs)).collect()}
+    text = dict(rows)[2000]
+    marked = {text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[2000].split(",")}
+    assert {"Ophelia", "Samarkand"} <= marked and "words" not in marked and "particular" not in marked
+    assert got[2002] == got[None] == got[2000] and got[2001] == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not {"Ophelia", "Samarkand"} & set(clean[2000].split()) and clean[2002] == clean[None] == clean[2000]
+
+
 def test_sanitised_texts(spark):
     docs = cases.documents(spark, corpus() + cases.TEXTS)
     clean = pii.sanitise(docs)
