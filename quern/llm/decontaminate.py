@@ -2,7 +2,7 @@
 
 A text becomes a template: its words in lower case, but numbers, names and units
 are replaced by typed placeholders.  A name is a word with one capital, its first
-letter, that doesn't open a sentence; a unit is a word of `UNITS` after a
+letter; where it opens a sentence, it is read both as a name and as a word; a unit is a word of `UNITS` after a
 number.  Windows of ``window`` template tokens with at least ``literals``
 words are hashed, and the documents' windows are joined with the benchmark's on the hash.
 
@@ -44,6 +44,9 @@ TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d]\w*|[%$€£°]|[.!?\n]")
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t oz lb ml cl l s sec min h hr hrs ms w kw v a hz mph kmh cents dollars euros pounds meters metres kilometers kilometres miles feet inches grams kilograms liters litres seconds minutes hours days weeks months years degrees percent".split())
 
 _END, _WORD, _NUMBER, _TITLE, _UNIT = range(5)
+#: Opening words are taken as names in turns of three: all 8 ways for windows with up to three of them.
+TURN = 3
+READINGS = range(1 << TURN)
 _NUMBER_CODE, _NAME_CODE, _UNIT_CODE = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
 
 
@@ -82,6 +85,7 @@ class Template:
 
     codes: np.ndarray  # hash of the word or of the placeholder
     slot: np.ndarray  # whether it is a placeholder
+    opens: np.ndarray  # whether it is a word with a capital that opens a sentence
     text: np.ndarray  # the text it belongs to
     at: np.ndarray  # its place in `tokens`
     tokens: list[str]
@@ -89,17 +93,24 @@ class Template:
     def value(self, i: int) -> str:
         return self.tokens[self.at[i]].lower()
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of that size, and which are inside one text and have enough words."""
+    def reading(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, slots and which opening words are names, in reading ``r`` of `READINGS`."""
+        names = self.opens & (r >> (np.cumsum(self.opens) % TURN) & 1).astype(bool)
+        return np.where(names, _NAME_CODE, self.codes), self.slot | names, names
+
+    def windows(self, size: int, literals: int, r: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of that size in a reading, and which are inside one text, have enough words and are new in it."""
         n = len(self.codes) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
+        codes, slot, names = self.reading(r)
         h = np.full(n, size, np.uint64)
         for i in range(size):
-            h = (h ^ self.codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        words = np.cumsum(np.r_[0, ~self.slot])
-        return h, (self.text[:n] == self.text[size - 1 :]) & (words[size:] - words[:-size] >= literals)
+        words, named = np.cumsum(np.r_[0, ~slot]), np.cumsum(np.r_[0, names])
+        good = (self.text[:n] == self.text[size - 1 :]) & (words[size:] - words[:-size] >= literals)
+        return h, good & (named[size:] > named[:-size]) if r else good
 
 
 def template(texts: list[str | None], codes: _Codes) -> Template:
@@ -114,13 +125,13 @@ def template(texts: list[str | None], codes: _Codes) -> Template:
     kind = (c & np.uint64(7)).astype(np.int8)
     new = np.r_[True, text[1:] != text[:-1]] if len(c) else np.zeros(0, bool)
     before = np.r_[_END, kind[:-1]] if len(c) else kind
-    opens = new | (before == _END)
+    opens = (kind == _TITLE) & (new | (before == _END))
     name = (kind == _TITLE) & ~opens
     unit = (kind == _UNIT) & (before == _NUMBER) & ~new
     c = c | np.uint64(7)
     c[kind == _NUMBER], c[name], c[unit] = _NUMBER_CODE, _NAME_CODE, _UNIT_CODE
     stay = np.flatnonzero(kind != _END)
-    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], text[stay], stay, tokens)
+    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], opens[stay], text[stay], stay, tokens)
 
 
 @dataclass
@@ -143,13 +154,16 @@ def prepare(ids: list[int | None], texts: list[str | None], s: Settings) -> Item
         sizes[min(s.window, int(n))].append(i)
     for size, members in sizes.items():
         if size:
-            h, good = t.windows(size, _least(size, s))
             index = items.by_size[size] = defaultdict(list)
-            for i in members:
-                for p in range(int(bounds[i]), int(bounds[i + 1]) - size + 1):
-                    if good[p]:
-                        index[int(h[p])].append((i, p - int(bounds[i])))
-                        items.count[i] += 1
+            seen = set()
+            for r in READINGS:
+                h, good = t.windows(size, _least(size, s), r)
+                for i in members:
+                    for p in range(int(bounds[i]), int(bounds[i + 1]) - size + 1):
+                        if good[p] and (int(h[p]), p) not in seen:
+                            seen.add((int(h[p]), p))
+                            index[int(h[p])].append((i, p - int(bounds[i])))
+                            items.count[i] += r == 0
     return items
 
 
@@ -160,23 +174,26 @@ def _least(size: int, s: Settings) -> int:
 def leaks(texts: list[str | None], items: Items, tables: dict, codes: _Codes, s: Settings) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, windows left, longest run in tokens, slots, slots with another value) of the leaks."""
     t = template(texts, codes)
-    met: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    # The reading with the fewest names in which two windows meet.
+    met: dict[tuple[int, int], dict[tuple[int, int, int], int]] = defaultdict(dict)
     for size, index in items.by_size.items():
-        h, good = t.windows(size, _least(size, s))
         mask, table = tables[size]
-        for p in np.flatnonzero(good & table[h & mask]):
-            for item, q in index.get(int(h[p]), ()):
-                met[int(t.text[p]), item].append((int(p), q, size))
+        for r in sorted(READINGS, key=int.bit_count):
+            h, good = t.windows(size, _least(size, s), r)
+            for p in np.flatnonzero(good & table[h & mask]):
+                for item, q in index.get(int(h[p]), ()):
+                    met[int(t.text[p]), item].setdefault((int(p), q, size), r)
+    slots = [t.reading(r)[1] for r in READINGS] if met else []
     out = []
     for (text, item), hits in met.items():
         first = int(items.first[item])
         readings: dict[str, Counter] = defaultdict(Counter)
-        pairs = {(p + j, q + j) for p, q, size in hits for j in range(size) if t.slot[p + j]}
+        pairs = {(p + j, q + j) for (p, q, size), r in hits.items() for j in range(size) if slots[r][p + j]}
         for p, q in pairs:
             readings[items.template.value(first + q)][t.value(p)] += 1
         usual = {v: c.most_common(1)[0][0] for v, c in readings.items()}
         wrong = {(p, q) for p, q in pairs if t.value(p) != usual[items.template.value(first + q)]}
-        left = sorted((p - q, q, size) for p, q, size in hits if not any((p + j, q + j) in wrong for j in range(size)))
+        left = sorted((p - q, q, size) for (p, q, size), r in hits.items() if not any(slots[r][p + j] and (p + j, q + j) in wrong for j in range(size)))
         longest = now = 0
         for i, (d, q, size) in enumerate(left):
             now = now + 1 if i and left[i - 1][:2] == (d, q - 1) else size

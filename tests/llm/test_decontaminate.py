@@ -43,6 +43,25 @@ def test_inconsistent_parameters_are_not():
     assert not leaks("Nothing of that kind has been said by Ann before lunch.")
 
 
+def found(item, text):
+    s = D.Settings()
+    it = D.prepare([1], [item], s)
+    return D.leaks([text], it, D._tables(it), D._Codes(), s)
+
+
+TOM = "Tom has 12 apples. Tom gives 5 apples to Anna. How many apples does Tom have now?"
+SAM = "Sam has 30 apples. Sam gives 9 apples to Lucy. How many apples does Sam have now?"
+
+
+def test_names_that_open_sentences_are_found():
+    assert found(TOM, SAM)
+    assert found(TOM, "so " + SAM.replace(". How", ", how"))
+    assert found(TOM, TOM.lower().replace("anna", "Anna").replace("does tom", "does Tom"))
+    (row,) = found(TOM, TOM)
+    assert row[5] == 0
+    assert not found(TOM, "Sam has 30 pears. Lucy sells 9 of them. How many are left?")
+
+
 def test_rows_of_every_kind(spark):
     bench = [(1, cases.sentence(1, 30)), (2, None), (3, ""), (4, "one"), (None, cases.sentence(3, 12)), (1, cases.sentence(1, 30))]
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(cases.documents(spark), items(spark, bench)).collect()}
