@@ -10,7 +10,8 @@ For a document and an item that meet, the slots are compared: each value of
 the item has to stand for one value in the document, so "Ann has 3 pears, Ann eats 1" is found in
 "Bob has 7 pears, Bob eats 2" but not in "Bob has 7 pears, Eve eats 2".  Windows
 against the usual reading of a value don't count.  An item leaks into a document if the windows left
-cover ``run`` tokens in a row, or ``share`` of the item's windows.
+cover ``run`` tokens in a row, or ``share`` of the item's windows.  Where those of the whole document
+don't, each occurrence is judged by its own usual readings, so variants of one question side by side are found.
 
 The benchmark is a stated query set: it is cut into blocks of at most
 ``block_tokens`` tokens, so that what is broadcast is bounded, and each block
@@ -28,6 +29,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -144,6 +146,11 @@ class Items:
     count: list[int]
     by_size: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
 
+    def of(self, item: int) -> range:
+        """Places of an item's tokens in `template`."""
+        end = self.first[item + 1] if item + 1 < len(self.first) else len(self.template.codes)
+        return range(int(self.first[item]), int(end))
+
 
 def prepare(ids: list[int | None], texts: list[str | None], s: Settings) -> Items:
     t = template(texts, _Codes())
@@ -186,24 +193,52 @@ def leaks(texts: list[str | None], items: Items, tables: dict, codes: _Codes, s:
     slots = [t.reading(r)[1] for r in READINGS] if met else []
     out = []
     for (text, item), hits in met.items():
-        first = int(items.first[item])
-        readings: dict[str, Counter] = defaultdict(Counter)
-        pairs = {(p + j, q + j) for (p, q, size), r in hits.items() for j in range(size) if slots[r][p + j]}
-        for p, q in pairs:
-            readings[items.template.value(first + q)][t.value(p)] += 1
-        usual = {v: c.most_common(1)[0][0] for v, c in readings.items()}
-        wrong = {(p, q) for p, q in pairs if t.value(p) != usual[items.template.value(first + q)]}
-        left = sorted((p - q, q, size) for (p, q, size), r in hits.items() if not any(slots[r][p + j] and (p + j, q + j) in wrong for j in range(size)))
-        longest = now = 0
-        for i, (d, q, size) in enumerate(left):
-            now = now + 1 if i and left[i - 1][:2] == (d, q - 1) else size
-            longest = max(longest, now)
-        windows = len({q for _, q, _ in left})
-        if longest >= s.run or windows and windows >= s.share * items.count[item]:
-            out.append((text, item, windows, longest, len(usual), sum(a != b for a, b in usual.items())))
+        best = _judged(hits, item, t, slots, items, s)
+        if best is None and _may_leak(hits, item, items, s):
+            best = max(filter(None, (_judged(part, item, t, slots, items, s) for part in _occurrences(hits, len(items.of(item))))), default=None)
+        if best:
+            out.append((text, item, *best))
     return out
 
 
+def _may_leak(hits: dict[tuple[int, int, int], int], item: int, items: Items, s: Settings) -> bool:
+    """Whether a part of the windows could be enough."""
+    return len(hits) + s.window > s.run or len({q for _, q, _ in hits}) >= s.share * items.count[item]
+
+
+def _occurrences(hits: dict[tuple[int, int, int], int], length: int) -> Iterator[dict[tuple[int, int, int], int]]:
+    """The windows of each diagonal p - q alone, and with those less than half an item away, where values of more words shift the rest."""
+    diagonals: dict[int, dict] = defaultdict(dict)
+    for (p, q, size), r in hits.items():
+        diagonals[p - q][p, q, size] = r
+    order = sorted(diagonals)
+    for d in order:
+        yield diagonals[d]
+        near = order[bisect_left(order, d - length // 2) : bisect_right(order, d + length // 2)]
+        if len(near) > 1:
+            yield {k: r for e in near for k, r in diagonals[e].items()}
+
+
+def _judged(hits: dict[tuple[int, int, int], int], item: int, t: Template, slots: list[np.ndarray], items: Items, s: Settings) -> tuple[int, int, int, int] | None:
+    """(windows left, longest run in tokens, slots, slots with another value) if that makes a leak."""
+    first = int(items.first[item])
+    readings: dict[str, Counter] = defaultdict(Counter)
+    pairs = {(p + j, q + j) for (p, q, size), r in hits.items() for j in range(size) if slots[r][p + j]}
+    for p, q in sorted(pairs):
+        readings[items.template.value(first + q)][t.value(p)] += 1
+    usual = {v: c.most_common(1)[0][0] for v, c in readings.items()}
+    wrong = {(p, q) for p, q in pairs if t.value(p) != usual[items.template.value(first + q)]}
+    left = sorted((p - q, q, size) for (p, q, size), r in hits.items() if not any(slots[r][p + j] and (p + j, q + j) in wrong for j in range(size)))
+    longest = now = 0
+    for i, (d, q, size) in enumerate(left):
+        now = now + 1 if i and left[i - 1][:2] == (d, q - 1) else size
+        longest = max(longest, now)
+    windows = len({q for _, q, _ in left})
+    if longest >= s.run or windows and windows >= s.share * items.count[item]:
+        return windows, longest, len(usual), sum(a != b for a, b in usual.items())
+    return None
+
+
 def _tables(items: Items) -> dict:
     """For each window size a table of 2^k marks, so that most windows are told apart without a search."""
     out = {}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -62,6 +63,26 @@ def test_names_that_open_sentences_are_found():
     assert not found(TOM, "Sam has 30 pears. Lucy sells 9 of them. How many are left?")
 
 
+def test_variants_side_by_side_are_found():
+    eve = ITEM.replace("Ann", "Eve").replace("3", "8").replace("5", "6").replace("1", "4").replace("2", "7").replace("Carl", "Tim")
+    zoe = ITEM.replace("Ann", "Zoe").replace("3", "11").replace("5", "12").replace("1", "13").replace("2", "14").replace("Carl", "Max")
+    item = "The clerk Ann sold 3 pears to Bob for 7 coins and 5 plums to Carl for 9 coins; then Ann gave 2 figs to Dan and 4 nuts to Fay."
+    names = [dict(zip(("Ann", "Bob", "Carl", "Dan", "Fay", "3", "7", "5", "9", "2", "4"), x)) for x in (
+        ("Eve", "Tim", "Max", "Joe", "Liz", "12", "18", "15", "13", "16", "14"), ("Zoe", "Sid", "Pam", "Ned", "Una", "21", "22", "23", "24", "25", "26"), ("Amy", "Ron", "Kim", "Lou", "Gus", "31", "32", "33", "34", "35", "36"))]
+    variants = [re.sub(r"[A-Z][a-z]+|[0-9]+", lambda m, n=n: n.get(m.group(), m.group()), item) for n in names]
+    for text in (*variants, *(" ".join(p) for p in itertools.permutations(variants, 2)), " ".join(variants), item + " " + variants[0]):
+        assert found(item, text), text
+    people = "Eve Tim Max Joe Liz Zoe Sid Pam Ned Una Amy Ron Kim Lou Gus Ivy Jon Sue Leo Ada".split()
+    for seed in range(60):
+        rng = random.Random(seed)
+        before, two = "word " * rng.randint(0, 60), []
+        for _ in range(2):
+            n = dict(zip(("Ann", "Bob", "Carl", "Dan", "Fay"), rng.sample(people, 5))) | {k: str(rng.randint(10, 99)) for k in "375924"}
+            two.append(re.sub(r"[A-Z][a-z]+|[0-9]+", lambda m, n=n: n.get(m.group(), m.group()), item))
+        assert found(item, before + " ".join(two)), seed
+    assert found(ITEM, eve + " " + zoe) and found(ITEM, zoe + " " + eve) and found(ITEM, ITEM + " " + eve)
+
+
 def test_rows_of_every_kind(spark):
     bench = [(1, cases.sentence(1, 30)), (2, None), (3, ""), (4, "one"), (None, cases.sentence(3, 12)), (1, cases.sentence(1, 30))]
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(cases.documents(spark), items(spark, bench)).collect()}
