@@ -5,6 +5,8 @@ are replaced by typed placeholders.  A name is a word with one capital, its firs
 letter; where it opens a sentence, it is read both as a name and as a word; a unit is a word of `UNITS` after a
 number.  Windows of ``window`` template tokens with at least ``literals``
 words are hashed, and the documents' windows are joined with the benchmark's on the hash.
+An item's windows with fewer words are hashed by their tokens as they are, without slots: they
+lengthen runs, and where an item has no other windows, a share of them is a leak.
 
 For a document and an item that meet, the slots are compared: each value of
 the item has to stand for one value in the document, so "Ann has 3 pears, Ann eats 1" is found in
@@ -21,7 +23,8 @@ Defined results
 ---------------
 * null or empty texts: no windows, so no leaks;
 * items shorter than the window: one window of their own length, which needs its words alone to be a third;
-* items with too few words for any window: never found;
+* items with too few words for any window: found by their tokens as they are, from ``literals`` tokens on;
+* shorter ones with fewer than two words: never found;
 * repeated documents or items: a row for each pair; null ids are kept;
 * documents are compared whole; extra columns are kept by `without_leaks`.
 """
@@ -49,6 +52,8 @@ _END, _WORD, _NUMBER, _TITLE, _UNIT = range(5)
 #: Opening words are taken as names in turns of three: all 8 ways for windows with up to three of them.
 TURN = 3
 READINGS = range(1 << TURN)
+#: The reading without any slots, for windows with too few words.
+EXACT = 1 << TURN
 _NUMBER_CODE, _NAME_CODE, _UNIT_CODE = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
 
 
@@ -87,6 +92,7 @@ class Template:
 
     codes: np.ndarray  # hash of the word or of the placeholder
     slot: np.ndarray  # whether it is a placeholder
+    literal: np.ndarray  # hash of the token itself
     opens: np.ndarray  # whether it is a word with a capital that opens a sentence
     text: np.ndarray  # the text it belongs to
     at: np.ndarray  # its place in `tokens`
@@ -97,6 +103,8 @@ class Template:
 
     def reading(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, slots and which opening words are names, in reading ``r`` of `READINGS`."""
+        if r == EXACT:
+            return self.literal, np.zeros(len(self.codes), bool), np.zeros(len(self.codes), bool)
         names = self.opens & (r >> (np.cumsum(self.opens) % TURN) & 1).astype(bool)
         return np.where(names, _NAME_CODE, self.codes), self.slot | names, names
 
@@ -106,12 +114,15 @@ class Template:
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         codes, slot, names = self.reading(r)
-        h = np.full(n, size, np.uint64)
+        h = np.full(n, size | (r == EXACT) << 32, np.uint64)
         for i in range(size):
             h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         words, named = np.cumsum(np.r_[0, ~slot]), np.cumsum(np.r_[0, names])
-        good = (self.text[:n] == self.text[size - 1 :]) & (words[size:] - words[:-size] >= literals)
+        inside = self.text[:n] == self.text[size - 1 :]
+        if r == EXACT:
+            return h, inside
+        good = inside & (words[size:] - words[:-size] >= literals)
         return h, good & (named[size:] > named[:-size]) if r else good
 
 
@@ -131,9 +142,10 @@ def template(texts: list[str | None], codes: _Codes) -> Template:
     name = (kind == _TITLE) & ~opens
     unit = (kind == _UNIT) & (before == _NUMBER) & ~new
     c = c | np.uint64(7)
+    literal = c.copy()
     c[kind == _NUMBER], c[name], c[unit] = _NUMBER_CODE, _NAME_CODE, _UNIT_CODE
     stay = np.flatnonzero(kind != _END)
-    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], opens[stay], text[stay], stay, tokens)
+    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], literal[stay], opens[stay], text[stay], stay, tokens)
 
 
 @dataclass
@@ -143,9 +155,14 @@ class Items:
     ids: list[int | None]
     template: Template
     first: np.ndarray
-    count: list[int]
+    count: list[int]  # windows with enough words
+    poor: list[int]  # windows with fewer
     by_size: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
 
+    def of_which(self, item: int) -> int:
+        """Windows of which a share has to be found: those with enough words, or the poor ones of an item without any."""
+        return self.count[item] or self.poor[item]
+
     def of(self, item: int) -> range:
         """Places of an item's tokens in `template`."""
         end = self.first[item + 1] if item + 1 < len(self.first) else len(self.template.codes)
@@ -155,7 +172,7 @@ class Items:
 def prepare(ids: list[int | None], texts: list[str | None], s: Settings) -> Items:
     t = template(texts, _Codes())
     bounds = np.searchsorted(t.text, np.arange(len(texts) + 1))
-    items = Items(ids, t, bounds[:-1], [0] * len(ids))
+    items = Items(ids, t, bounds[:-1], [0] * len(ids), [0] * len(ids))
     sizes: dict[int, list[int]] = defaultdict(list)
     for i, n in enumerate(np.diff(bounds)):
         sizes[min(s.window, int(n))].append(i)
@@ -171,6 +188,13 @@ def prepare(ids: list[int | None], texts: list[str | None], s: Settings) -> Item
                             seen.add((int(h[p]), p))
                             index[int(h[p])].append((i, p - int(bounds[i])))
                             items.count[i] += r == 0
+            _, rich = t.windows(size, _least(size, s))
+            h, _ = t.windows(size, 0, EXACT)
+            for i in members if size >= s.literals else ():
+                for p in range(int(bounds[i]), int(bounds[i + 1]) - size + 1):
+                    if not rich[p]:
+                        index[int(h[p])].append((i, p - int(bounds[i])))
+                        items.poor[i] += 1
     return items
 
 
@@ -185,12 +209,12 @@ def leaks(texts: list[str | None], items: Items, tables: dict, codes: _Codes, s:
     met: dict[tuple[int, int], dict[tuple[int, int, int], int]] = defaultdict(dict)
     for size, index in items.by_size.items():
         mask, table = tables[size]
-        for r in sorted(READINGS, key=int.bit_count):
+        for r in (*sorted(READINGS, key=int.bit_count), EXACT):
             h, good = t.windows(size, _least(size, s), r)
             for p in np.flatnonzero(good & table[h & mask]):
                 for item, q in index.get(int(h[p]), ()):
                     met[int(t.text[p]), item].setdefault((int(p), q, size), r)
-    slots = [t.reading(r)[1] for r in READINGS] if met else []
+    slots = [t.reading(r)[1] for r in (*READINGS, EXACT)] if met else []
     out = []
     for (text, item), hits in met.items():
         best = _judged(hits, item, t, slots, items, s)
@@ -203,7 +227,7 @@ def leaks(texts: list[str | None], items: Items, tables: dict, codes: _Codes, s:
 
 def _may_leak(hits: dict[tuple[int, int, int], int], item: int, items: Items, s: Settings) -> bool:
     """Whether a part of the windows could be enough."""
-    return len(hits) + s.window > s.run or len({q for _, q, _ in hits}) >= s.share * items.count[item]
+    return len(hits) + s.window > s.run or len({q for _, q, _ in hits}) >= s.share * items.of_which(item)
 
 
 def _occurrences(hits: dict[tuple[int, int, int], int], length: int) -> Iterator[dict[tuple[int, int, int], int]]:
@@ -233,8 +257,9 @@ def _judged(hits: dict[tuple[int, int, int], int], item: int, t: Template, slots
     for i, (d, q, size) in enumerate(left):
         now = now + 1 if i and left[i - 1][:2] == (d, q - 1) else size
         longest = max(longest, now)
-    windows = len({q for _, q, _ in left})
-    if longest >= s.run or windows and windows >= s.share * items.count[item]:
+    exact = {q for (_, q, _), r in hits.items() if r == EXACT} if items.count[item] else set()
+    windows = len({q for _, q, _ in left} - exact)
+    if longest >= s.run or windows and windows >= s.share * items.of_which(item):
         return windows, longest, len(usual), sum(a != b for a, b in usual.items())
     return None
 
@@ -300,7 +325,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, s: Settings = Setting
                     if rows:
                         col = list(zip(*rows, strict=True))
                         ids = batch.column(0).take(pa.array([low + x for x in col[0]]))
-                        cover = [w / items.count[i] for w, i in zip(col[2], col[1], strict=True)]
+                        cover = [w / items.of_which(i) for w, i in zip(col[2], col[1], strict=True)]
                         yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in col[1]], pa.int64()), *(pa.array(c, pa.int32()) for c in col[2:]), pa.array(cover, pa.float64())], schema=schema)
 
         found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LEAKS)

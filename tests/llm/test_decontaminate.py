@@ -83,6 +83,14 @@ def test_variants_side_by_side_are_found():
     assert found(ITEM, eve + " " + zoe) and found(ITEM, zoe + " " + eve) and found(ITEM, ITEM + " " + eve)
 
 
+def test_items_of_few_words_are_found_as_they_are():
+    for item in ("Evaluate 12 + 35 * 7 - 9 / 3 + 14", "Continue 2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31", "Anna, Bob, Carl, Dan, Eve, Fay, Gus, Hal, Ivy, Jon"):
+        (row,) = found(item, f"as was said before: {item}; and so on")
+        assert row[5] == 0
+        assert not found(item, "as was said before: " + re.sub("[0-9]+", "8", item).replace("Anna, Bob", "Zoe, Pam, Sid").replace("Eve, Fay", "Joe, Liz"))
+    assert not found("one", "one two")
+
+
 def test_rows_of_every_kind(spark):
     bench = [(1, cases.sentence(1, 30)), (2, None), (3, ""), (4, "one"), (None, cases.sentence(3, 12)), (1, cases.sentence(1, 30))]
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(cases.documents(spark), items(spark, bench)).collect()}
