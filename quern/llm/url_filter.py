@@ -15,6 +15,8 @@ Defined results
 ---------------
 * null url or one without ``://``: empty host and path, no rule, judged by the
   posterior of the empty host as any other host;
+* hosts without labelled pages: judged by the prior, with the mean of the nearest
+  level that has labels and the strength of hosts;
 * null or missing outcomes: not counted; no outcomes at all: everything allowed;
 * repeated pages count as often as they occur; extra columns are kept.
 """
@@ -89,19 +91,25 @@ def _strength(groups: DataFrame, mean: Column, low: float, high: float) -> DataF
     return groups.agg(F.least(F.greatest(F.coalesce(F.try_divide(1 - rho, F.when(rho > 0, rho)), F.lit(high)), F.lit(low)), F.lit(high)).alias("s"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.64, low: float = 1.0, high: float = 1000.0) -> DataFrame:
-    """Posterior per host from rows (host, bad 0/1): host, n, bad, posterior mean, lower and upper bound."""
+def host_reputation(outcomes: DataFrame, others: DataFrame | None = None, z: float = 1.64, low: float = 1.0, high: float = 1000.0) -> DataFrame:
+    """Posterior per host from rows (host, bad 0/1): host, n, bad, posterior mean, lower and upper bound.
+
+    ``others``: rows (host) that get one too, without labels from their levels' prior.
+    """
     known = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull())
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    counted = known.select("host", F.lit(1).alias("one"), F.col("bad").cast("long").alias("bad"))
+    if others is not None:
+        counted = counted.unionByName(others.where(F.col("host").isNotNull()).select("host", F.lit(0).alias("one"), F.lit(0).cast("long").alias("bad")))
+    hosts = counted.groupBy("host").agg(F.sum("one").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad")).select(((F.col("all_bad") + 0.5) / (F.col("all_n") + 1)).alias("m"))
+    top = suffixes.agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad")).where("all_n > 0").select(((F.col("all_bad") + 0.5) / (F.col("all_n") + 1)).alias("m"))
 
     def level(groups: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
         """Adds the posterior's a and b; ``above`` has m, the mean of the level above, by ``on``."""
         joined = groups.join(above, on) if on else groups.join(F.broadcast(above))  # one row
-        s = _strength(joined, F.col("m"), low, high)
+        s = _strength(joined.where("n > 0"), F.col("m"), low, high)
         return joined.join(F.broadcast(s)).withColumns({"a": F.col("m") * F.col("s") + F.col("bad"), "b": (1 - F.col("m")) * F.col("s") + F.col("n") - F.col("bad")}).drop("m", "s")
 
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("m")
@@ -115,11 +123,11 @@ def host_reputation(outcomes: DataFrame, z: float = 1.64, low: float = 1.0, high
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.25, z: float = 1.64) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and lower (the bound that judged, null under a rule or without labels).
+    """``pages`` with host, path, rule, verdict and lower (the bound that judged, null under a rule or without any outcomes).
 
-    ``outcomes``: rows (url, bad).  Hosts without labelled pages are allowed.
+    ``outcomes``: rows (url, bad).
     """
-    rep = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), "bad"), z)
+    rep = host_reputation(outcomes.select(host_of(F.col("url")).alias("host"), "bad"), pages.select(host_of(F.col("url")).alias("host")), z)
     judged = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     # The few columns of the hosts' table are joined by a salted key, so that a host with a third of all pages is dealt out.
     salt = 16

@@ -46,6 +46,16 @@ def test_posterior_shrinks_to_the_level_above(spark):
     assert rep["x.b.org"].upper < 0.1
 
 
+def test_hosts_without_labels_get_the_prior_of_their_level(spark):
+    outcomes = [(f"http://h{h}.bad.org/{i}", int(i > 1)) for h in range(20) for i in range(40)] + [(f"http://h{h}.good.org/{i}", 0) for h in range(20) for i in range(40)]
+    outcomes += [(f"http://h{h}.d{d}.evil/{i}", 1) for h in range(2) for d in range(4) for i in range(40)]
+    pages = [(1, "http://new.bad.org/"), (2, "http://new.good.org/"), (3, "http://new.new.evil/"), (4, "http://new.new.org/"), (5, "http://h1.bad.org/x")]
+    df = spark.createDataFrame(outcomes, "url string, bad int")
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), df).collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 5)] == ["block", "allow", "block", "block"]
+    assert got[2].lower < got[4].lower < got[1].lower
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     outcomes = spark.createDataFrame([], "url string, bad int")
