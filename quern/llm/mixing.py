@@ -21,7 +21,7 @@ Reruns give the same mix: it depends on the rows and the seed alone.
 Defined results
 ---------------
 * null text: no words; null source: a source of its own, last in order;
-* equal rows: each its own; equal doc_ids in one order by size;
+* equal rows: each its own; equal doc_ids in one order by size, then by a hash of the text;
 * an empty table, or one without words: nothing is taken;
 * extra columns are ignored by `taken`, and `mixed_blocks` never returns them.
 What the driver gathers is one row for each distinct source.
@@ -119,8 +119,26 @@ def permuted(i: np.ndarray, n: int, key: np.ndarray, rounds: int = 4) -> np.ndar
     return out.astype(np.int64)
 
 
-#: Beyond this many slots a node is split in proportion instead of at random, as the sampler's range ends there.
-_DRAW_LIMIT = 900_000_000
+def drawn(counts: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts by colour of ``want`` items taken at random, all sets alike, from ``counts`` of each: any number of items.
+
+    Every item is taken with probability want / all, which is a binomial draw for each colour; the
+    difference to ``want``, about its root, is put right by drawing so many items more, or by putting
+    so many of the taken ones back, in the same way.
+    """
+    total = int(counts.sum())
+    if want > total - want:
+        return counts - drawn(counts, total - want, rng)
+    if want <= 32:
+        out, left = np.zeros_like(counts), counts.copy()
+        for _ in range(want):
+            i = int(np.searchsorted(np.cumsum(left), rng.integers(int(left.sum())), side="right"))
+            out[i] += 1
+            left[i] -= 1
+        return out
+    out = rng.binomial(counts, want / total)
+    gap = want - int(out.sum())
+    return out + drawn(counts - out, gap, rng) if gap > 0 else out - drawn(out, -gap, rng) if gap else out
 
 
 def shard_counts(slots: np.ndarray, shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +146,7 @@ def shard_counts(slots: np.ndarray, shard: int, shards: int, shard_slots: int, s
     low, high, counts, base = 0, shards, slots.copy(), np.zeros_like(slots)
     while high - low > 1:
         mid = (low + high) // 2
-        want = (mid - low) * shard_slots
-        if counts.sum() < _DRAW_LIMIT:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, want, method="marginals")
-        else:
-            exact = counts * (want / counts.sum())
-            left = np.floor(exact).astype(np.int64)
-            left[np.argsort(left - exact, kind="stable")[: want - int(left.sum())]] += 1
+        left = drawn(counts, (mid - low) * shard_slots, np.random.default_rng([seed, low, high]))
         if shard < mid:
             high, counts = mid, left
         else:
@@ -167,11 +179,14 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
 # ------------------------------------------------------------------ blocks
 
 
-def with_places(docs: DataFrame, plan: Plan, buckets: int = 1024) -> DataFrame:
+def with_places(docs: DataFrame, plan: Plan, bucket_words: int = 1_000_000) -> DataFrame:
     """Adds source_index, source_size, target and start, the number of words before the document in its source.
 
-    ``docs``: source_key, doc_id, size and whatever else is to be kept.
+    ``docs``: source_key, doc_id, text_key, size and whatever else is to be kept.  A source is cut into
+    buckets of about ``bucket_words`` words, so a task sorts as much of the largest source as of any other.
+    Equal rows are told apart by nothing, so it doesn't matter which comes first.
     """
+    buckets = max(16, -(-int(plan.sizes.max(initial=0)) // bucket_words))
     rows = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,9 +196,9 @@ def with_places(docs: DataFrame, plan: Plan, buckets: int = 1024) -> DataFrame:
         "source_key string, source_index int, source_size long, target double",
     )
     bases = bases.join(known, "source_key")
-    inner = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inner))
-    return rows.join(bases, ["source_key", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("bucket", "base", "upto")
+    return rows.join(bases, ["source_key", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("bucket", "base", "upto", "text_key")
 
 
 def _span(block: int) -> tuple[Column, Column]:
@@ -195,7 +210,8 @@ def _words_in(text: Column) -> Column:
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    return documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", _words_in(F.coalesce("text", F.lit(""))).alias("size"))
+    text = F.coalesce("text", F.lit(""))
+    return documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", F.xxhash64(text).alias("text_key"), _words_in(text).alias("size"))
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
@@ -227,7 +243,7 @@ def mixed_blocks(documents: DataFrame, **options) -> DataFrame:
     spark = documents.sparkSession
     plan = make_plan(sized(documents), **options)
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", "source", text.alias("text"), _words_in(text).alias("size"))
+    rows = documents.select(source_key(F.col("source")).alias("source_key"), "doc_id", "source", text.alias("text"), F.xxhash64(text).alias("text_key"), _words_in(text).alias("size"))
     # Words are split after the exchange: an array of them is larger than their text.
     docs = with_places(rows.where("size > 0"), plan).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("text")
     first, last = _span(plan.block)

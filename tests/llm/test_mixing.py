@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import mixing
 
@@ -34,6 +35,33 @@ def test_shards_add_up():
     assert first.std() > 0 and abs(first.mean() - 100 * 1000 / 6037) < 2
 
 
+def test_draws_over_ten_thousand_million_slots_are_random_and_exact():
+    slots, size = np.array([7_000_000_000, 0, 2_999_999_997, 5]), 4096
+    shards = -(-int(slots.sum()) // size)
+    at = [0, 1, shards // 3, shards - 1]
+    by_seed = [[mixing.shard_counts(slots, s, shards, size, seed) for s in at] for seed in range(6)]
+    assert len({tuple(parts[2][1]) for parts in by_seed}) == 6  # what two thirds of the shards hold differs from seed to seed
+    for parts in by_seed:
+        assert (parts[0][1] == 0).all() and (parts[1][1] == parts[0][0]).all()
+        assert (parts[-1][0] + parts[-1][1] == slots).all() and all(c.sum() == size for c, _ in parts[:-1])
+        assert abs(int(parts[2][1][0]) - 0.7 * parts[2][1].sum()) < 6 * np.sqrt(1e10 * 0.21 * 2 / 9)
+
+
+def test_drawn_counts_follow_the_hypergeometric_law():
+    rng, counts = np.random.default_rng(2), np.array([60, 30, 10])
+    x = np.array([mixing.drawn(counts, 40, rng) for _ in range(20_000)])
+    assert (x.sum(axis=1) == 40).all() and (x <= counts).all()
+    assert np.allclose(x.mean(axis=0), 40 * counts / 100, atol=0.06)
+    assert np.allclose(x.var(axis=0), 40 * counts / 100 * (1 - counts / 100) * 60 / 99, rtol=0.05)
+
+
+def test_equal_ids_and_sizes_are_in_one_order(spark):
+    rows = [(1, f"{w} " * 40) for w in cases.WORDS] + [(2, "x y"), (2, "x y")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    a, b = (sorted(map(str, mixing.mixed_blocks(d, block=16).collect())) for d in (docs, docs.orderBy(F.col("text").desc()).repartition(3)))
+    assert a == b
+
+
 def brute(rows, block, most=3.0):
     sizes = {}
     for s, n in rows:
