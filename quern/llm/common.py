@@ -91,3 +91,15 @@ def running_sum(numbers: Column, chunk: int = 256) -> Column:
         ),
     )
     return F.when(n > 0, sums).otherwise(none)
+
+
+def join_counted(rows: DataFrame, side: DataFrame, on: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key and in ``count`` the key's number of rows in ``rows``.
+
+    ``total`` is the number of rows, so at most a thousand keys have more than a thousandth of them; those are
+    broadcast, and their rows stay where they are.  All other keys meet in an exchange that none of them bends.
+    """
+    often = F.col(count) * 1000 > total
+    hot = F.broadcast(side.where(often).drop(count))
+    cold = side.where(~often).drop(count).hint("merge")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on, how), allowMissingColumns=True)

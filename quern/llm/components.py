@@ -3,9 +3,10 @@
 Every round links each node's larger neighbours to its smallest one (large
 star), then its smaller neighbours and itself to the smallest of them (small
 star), until nothing changes; the rounds grow with the logarithm of the longest
-path.  A node's neighbours are never gathered in one row: their minimum is
-summed before the exchange and joined back.  Each round is written to the
-shared folder, so the lineage stays short and a lost executor costs one round.
+path.  A node's neighbours are never gathered in one row or task: their minimum is
+summed before the exchange, and joined back by broadcast for the few nodes with more than a
+thousandth of all edges.  Each round is written to the shared folder, so the
+lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -13,20 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, join_counted, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    return join_counted(both.where("b > a"), least, "a", 2 * total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    down = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = join_counted(down, least, "a", down.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    drop_written(down)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,9 +40,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        state = tuple(now.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        state = tuple(now.agg(F.count("*"), F.bit_xor("b"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if state[0] == 0 or state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, before = state, now
-        now = written(_small_star(_large_star(now)), "edges")
+        now = _small_star(_large_star(now, state[0]))
         drop_written(before)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import near_dup
@@ -52,11 +53,24 @@ def copies(seed, groups, size, edits):
     return rows
 
 
+def boilerplate(n, clusters=0, common=60, own=40, seed=4):
+    """Texts that share their first ``common`` words and nothing else, but for ``clusters`` groups of four near copies."""
+    rng = random.Random(seed)
+    shared = [f"c{i}" for i in range(common)]
+    rows = [(i, " ".join(shared + [f"u{rng.randint(0, 10**9)}" for _ in range(own)])) for i in range(n - 4 * clusters)]
+    for c in range(clusters):
+        words = [f"k{rng.randint(0, 10**9)}" for _ in range(own)]
+        rows += [(n + 4 * c + j, " ".join(shared + words[: own - j] + [f"e{c}x{j}"] * j)) for j in range(4)]
+    rng.shuffle(rows)
+    return rows
+
+
 @pytest.mark.parametrize(("rows", "s"), [
     (copies(1, 30, 4, 8), near_dup.Settings(words=4)),
     (copies(2, 2, 60, 7), near_dup.Settings(words=4, cell=16, guests=2)),
     (copies(3, 1, 90, 9), near_dup.Settings(words=5, cell=12, guests=1)),
-], ids=["small", "cells", "rest"])
+    (boilerplate(240, 20), near_dup.Settings(words=4, cell=12, guests=1, cell_shingles=900)),
+], ids=["small", "cells", "rest", "boilerplate"])
 def test_components_equal_all_pairs(spark, rows, s):
     assert found(spark, rows, s) == brute(rows, s.words, s.percent)
 
@@ -73,6 +87,37 @@ def test_null_ids_get_the_component_of_an_equal_text(spark):
     assert found(spark, rows, near_dup.Settings(words=4)) == sorted([(5, 2, 5), (None, 2, 5), (None, 2, None)], key=str)
 
 
+def test_common_passages_do_not_make_all_texts_meet(spark, monkeypatch):
+    """Texts at a similarity of 0.4 share keys and so a family; what is compared after its first cells mustn't grow with the square."""
+    seen = []
+    compare = near_dup._compare
+    monkeypatch.setattr(near_dup, "_compare", lambda rows, s: seen.append(rows.select("node", "cell").count()) or compare(rows, s))
+    for n in (300, 600):
+        near_dup.components(cases.documents(spark, boilerplate(n, 5), extra=False), near_dup.Settings(words=4, cell=32, guests=2)).count()
+    assert 250 < seen[0] and seen[2] < 2.5 * seen[0]
+    assert seen[1] <= 60 and seen[3] <= 60  # the clusters alone
+
+
+def test_the_rarest_shingles_of_alike_sets_meet():
+    rng = np.random.default_rng(3)
+    hashes = np.sort(rng.integers(0, 2**40, 500).astype(np.uint64))
+    counts = rng.integers(2, 90, 500)
+    for _ in range(300):
+        a = np.unique(np.r_[rng.choice(hashes, 60), rng.integers(0, 2**40, rng.integers(1, 30)).astype(np.uint64)])
+        b = np.unique(np.r_[rng.choice(a, max(1, int(len(a) * 0.9)), replace=False), rng.integers(0, 2**40, rng.integers(0, 4)).astype(np.uint64)])
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(near_dup.rarest(a, hashes, counts, 80), near_dup.rarest(b, hashes, counts, 80)))
+
+
+def test_texts_under_one_id_are_texts_of_their_own(spark):
+    lone = [f"text number {i} of its own with words w{i} x{i} y{i} z{i}" for i in range(4)]
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, lone[0]), (1, lone[1]), (1, near), (0, near + " end"), (0, near + " end"), (None, lone[2]), (None, lone[2]), (None, near), (3, lone[0]), (4, ""), (4, ""), (5, None), (None, lone[3])]
+    got = near_dup.distinct_documents(cases.documents(spark, rows))
+    assert got.columns == cases.documents(spark).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, lone[0]), (1, lone[1]), (0, near + " end"), (None, lone[2]), (4, ""), (5, None), (None, lone[3])], key=str)
+
+
 def test_no_documents(spark):
     assert near_dup.components(cases.documents(spark, [])).count() == 0
 
