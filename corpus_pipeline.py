@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.llm import decontaminate, mixing, near_dup, pii, toxicity
 from quern.llm.common import table, written
@@ -27,12 +26,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more.  Of rows with one doc_id one stays; rows without doc_id all stay."""
-    found = near_dup.components(docs, near_dup.Settings(words=5, percent=80))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Five-word shingles, similarity 0.8 or more.  Texts are told apart by themselves, so different ones under one doc_id, or under none, stay."""
+    return near_dup.distinct_documents(docs, near_dup.Settings(words=5, percent=80))
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
