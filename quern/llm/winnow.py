@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-A text's units are its runs of non-space characters, lower-cased and cut every
-``piece`` code points, so that a text without spaces has units too.  Every k
+A text's units are its runs of non-space characters, lower-cased; in a run of more than
+``piece`` code points every code point is a unit, so that a text without spaces has units too, and
+where a run begins doesn't matter to what it holds.  Every k
 units in a row are hashed; of every w hashes in a row the smallest is chosen,
 the rightmost one on ties, and kept with its position.  Whatever two texts share
 over k + w - 1 units in a row leaves at least one hash in both fingerprints;
@@ -25,14 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from quern.operators.prefix import with_range
+
 from .common import bound
 
-K, W, PIECE = 5, 8, 8
+K, W, PIECE = 5, 8, 24
 _POSITIONS = (1 << 28) - 1
+_CHAR = r"[^\x20\x09-\x0D]"
 
 
 def units(text: Column, piece: int = PIECE) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
+    run = rf"(?<!{_CHAR}){_CHAR}{{1,{piece}}}+(?!{_CHAR})|{_CHAR}"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(run), F.lit(0))
 
 
 def gram_hashes(unit_array: Column, k: int = K) -> Column:
@@ -81,25 +86,21 @@ def as_text(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda x: F.concat(F.lower(F.hex(x.hash)), F.lit("@"), x.position.cast("string"))), ",")
 
 
-def in_line(documents: DataFrame, ties: str, buckets: int = 4096) -> tuple[DataFrame, WindowSpec]:
+def in_line(documents: DataFrame, ties: str, rows_per_range: int = 2000) -> tuple[DataFrame, WindowSpec]:
     """Rows and a window for `lead`, which gives what stands in the row that follows by descending doc_id; after the last one comes the first.
 
-    Rows are dealt into ranges of doc_id.  The first row of each range stands as a
+    Rows are dealt into ranges of doc_id of about equally many rows.  The first row of each range stands as a
     copy at the end of the range before it, so no range looks into another.  Equal
     doc_ids follow one another by the column ``ties``; null doc_ids are last.  Rows
     with ``late`` = 1 are the copies.
     """
-    ids = documents.select("doc_id")
-    ends = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / buckets), F.lit(1))
-    ends = ends.select("low", width.alias("width"))
-    place = F.coalesce(F.expr("(doc_id - low) div width"), F.lit(-1))
-    firsts = ids.join(F.broadcast(ends)).groupBy(place.alias("bucket")).agg(F.max("doc_id").alias("first_id"))
-    # At most buckets + 2 rows from here on.
+    placed = with_range(documents, "doc_id", rows_per_range, "bucket")
+    # A row for each range from here on, a fixed number at most.
+    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
     line = Window.partitionBy(F.lit(0)).orderBy("bucket")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.withColumn("earlier", F.coalesce(F.lead("bucket").over(line), F.min("bucket").over(whole)))
-    rows = documents.join(F.broadcast(ends)).withColumn("bucket", place).drop("low", "width").join(F.broadcast(firsts), "bucket")
+    rows = placed.join(F.broadcast(firsts), "bucket")
     at = lambda late, bucket: F.struct(F.lit(late).alias("late"), F.col(bucket).alias("at"))
     # The row itself, and for the first of a range its copy, which comes last in the range before.
     places = F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(at(0, "bucket"), at(1, "earlier"))).otherwise(F.array(at(0, "bucket")))

@@ -23,7 +23,8 @@ def hash_longs(values):
 
 def fingerprint(text, k=winnow.K, w=winnow.W):
     """Window by window, as defined."""
-    units = re.findall(r"[^\x20\x09-\x0D]{1,8}", (text or "").lower())
+    runs = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    units = [u for r in runs for u in ([r] if len(r) <= winnow.PIECE else r)]
     h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units]
     grams = [hash_longs(h[i : i + k]) for i in range(len(h) - k + 1)] or ([hash_longs(h)] if h else [])
     out = []
@@ -56,6 +57,22 @@ def test_shared_passages_leave_a_shared_hash(spark):
     assert all(a & b for a in sets for b in sets)
 
 
+def test_passages_in_texts_without_spaces_are_found_at_any_offset(spark):
+    rng = __import__("random").Random(6)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    passage = "".join(rng.choice(letters) for _ in range(40))
+    texts = ["".join(rng.choice(letters) for _ in range(30 + i)) + passage + "".join(rng.choice(letters) for _ in range(20)) for i in range(8)]
+    sets = [set(r.h) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(winnow.hashes_of(winnow.fingerprint(F.col("t"))).alias("h")).collect()]
+    least = (len(passage) - winnow.K + 1) // winnow.W
+    assert all(len(a & b) >= least for a in sets for b in sets)
+
+
+def test_ids_far_apart(spark):
+    rows = [(-(2**62) - 5, "a b c"), (2**62 + 7, "d e f"), (2**63 - 1, "g h i"), (-(2**63), "j k l")]
+    got = {r.doc_id: r.edited_sha256 for r in winnow.edited(cases.documents(spark, rows)).collect()}
+    assert got == {i: hashlib.sha256(changed.encode()).hexdigest() for i, _, changed, _ in edits(rows)}
+
+
 def edits(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda x: -x[0])
     for n, (i, t) in enumerate(rows):
