@@ -61,6 +61,12 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def parts_of(rows: DataFrame, size: str, task_bytes: int) -> int:
+    """How many tasks rows that stand for ``size`` bytes each are dealt over; a given number is kept, where small rows would be merged."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total) // task_bytes))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import parts_of, written
 from .files import Writer, open_store
 
 #: Fixed value: the splitting pattern that belongs to the vocabulary.
@@ -80,27 +81,34 @@ def write_token_files(documents: DataFrame, folder: str, ranks: dict[bytes, int]
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, seq long, doc_id long")
 
 
+def width_of(file: str) -> int:
+    """Bytes of a token, from the file's name: ``.16.tok`` or ``.32.tok``; 2 where the name doesn't say it."""
+    named = re.search(r"\.(16|32)\.tok$", file)
+    return int(named.group(1)) // 8 if named else 2
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, size) of the token files in a folder."""
+    """(file, size, width) of the token files in a folder."""
     store, path = open_store(folder)
     scheme = folder[: folder.index(path)] if path in folder else ""
-    found = [(scheme + x.path, x.size) for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".tok")]
-    return spark.createDataFrame(found, "file string, size long")
+    found = [(scheme + x.path, x.size, width_of(x.path)) for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".tok")]
+    return spark.createDataFrame(found, "file string, size long, width int")
 
 
 SUMMARY = "file string, block long, tokens long, marks array<int>"
 
 
-def _searched(files: DataFrame, separator: int, width: int, block_tokens: int) -> DataFrame:
+def _searched(files: DataFrame, separator: int, block_tokens: int, task_bytes: int) -> DataFrame:
     """The separators of each block, by their place in it."""
-    step = block_tokens * width
-    many = F.ceil(F.col("size") / step).cast("long")
-    blocks = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("block"))
+    many = F.ceil(F.col("size") / (F.col("width") * block_tokens)).cast("long")
+    blocks = files.where("size > 0").select("file", "size", "width", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("block"))
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.int64()), ("marks", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                width = row["width"]
+                step = block_tokens * width
                 if row["size"] % width:
                     raise ValueError(f"{row['file']}: {row['size']} bytes aren't a whole number of tokens")
                 store, path = open_store(row["file"])
@@ -109,16 +117,19 @@ def _searched(files: DataFrame, separator: int, width: int, block_tokens: int) -
                 marks = np.flatnonzero(data == separator).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]]), pa.array([len(data)]), pa.array([marks], pa.list_(pa.int32()))], schema=schema)
 
-    return blocks.repartition("file", "block").mapInArrow(run, SUMMARY)
+    return blocks.repartition(parts_of(files, "size", task_bytes), "file", "block").mapInArrow(run, SUMMARY)
 
 
-def scan(files: DataFrame, separator: int, width: int = 2, block_tokens: int = 4 << 20, stretch: int = 1024) -> DataFrame:
+def scan(files: DataFrame, separator: int, width: int | None = None, block_tokens: int = 4 << 20, stretch: int = 1024, task_bytes: int = 32 << 20) -> DataFrame:
     """file, seq, start, n_tokens, ended: every document of the files, in order.
 
+    ``width`` is the bytes of a token where it isn't to be what `token_files` says.  A task reads about ``task_bytes``.
+
     The prefix scan has two steps, blocks in stretches and stretches in a file, so that its longest row of summaries stays short.
     """
     # Written, as the scan below goes over the summaries more than once and should not read the files again.
-    found = written(_searched(files, separator, width, block_tokens), "separators").withColumn("stretch", F.expr(f"block div {stretch}"))
+    files = files if width is None else files.withColumn("width", F.lit(width))
+    found = written(_searched(files, separator, block_tokens, task_bytes), "separators").withColumn("stretch", F.expr(f"block div {stretch}"))
     found = found.withColumns({
         "base": F.col("block") * block_tokens,
         "n": F.size("marks").cast("long"),

@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import token_scan
 from quern.llm.common import new_path, written
@@ -55,3 +56,15 @@ def test_half_a_token_is_an_error(spark, tmp_path):
     (tmp_path / "odd.tok").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number of tokens"):
         token_scan.scan(token_scan.token_files(spark, str(tmp_path)), 7).collect()
+
+
+def test_blocks_are_read_in_many_tasks(spark, tmp_path):
+    np.zeros(100_000, "<u2").tofile(tmp_path / "a.tok")
+    found = token_scan._searched(token_scan.token_files(spark, f"file://{tmp_path}"), 7, 1000, 4096)
+    assert found.rdd.getNumPartitions() == -(-200_000 // 4096) and found.select(F.spark_partition_id()).distinct().count() > 20
+
+
+def test_wide_tokens_are_known_by_their_file(spark, tmp_path):
+    np.array([70_000, 7, 7 << 16, 7], "<u4").tofile(tmp_path / "a.32.tok")
+    found = token_scan.scan(token_scan.token_files(spark, f"file://{tmp_path}"), 7).orderBy("seq").collect()
+    assert [(r.start, r.n_tokens) for r in found] == [(0, 1), (2, 1)]
