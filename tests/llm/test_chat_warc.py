@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -105,6 +107,32 @@ def test_short_payloads_can_stay_apart(spark):
     assert index.where("record_type = 'revisit'").isEmpty()
 
 
+def test_records_are_whole_by_the_standard(spark):
+    index = archive(spark)
+    ids = set()
+    for r in index.collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            head, block = gzip.decompress(f.read(r.length)).split(b"\r\n\r\n", 1)
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["Content-Type"] == "application/http;msgtype=response"
+        assert len(block) == int(fields["Content-Length"]) + 4 and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        ids.add(fields["WARC-Record-ID"])
+    assert len(ids) == len(PAGES)
+
+
+def test_ranges_are_read_in_many_tasks(spark):
+    index = archive(spark, [(i, "u", f"page {i} " * 50) for i in range(300)])
+    found = warc.read(index.select("file", "offset", "length"), gap=0, most=256, task_bytes=1024)
+    assert found.rdd.getNumPartitions() > 20 and found.select("page_id", F.spark_partition_id().alias("p")).distinct().agg(F.count_distinct("p")).first()[0] > 20
+
+
+def test_a_payload_of_very_many_pages(spark):
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("same").alias("html"))
+    got = warc.dedup_records(pages).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to, r["count"]) for r in got} == {("response", None, 1), ("revisit", 0, 4999)}
+
+
 def test_ranges_are_joined(spark):
     rows = [("f", 0, 10), ("f", 10, 5), ("f", 100, 5), ("f", 5000, 7), ("g", 3, 4)]
     got = warc.coalesce_ranges(spark.createDataFrame(rows, "file string, offset long, length long"), gap=90, most=4096).collect()
