@@ -21,7 +21,7 @@ Defined results
 * null or empty text: no tokens, the score of a document without evidence;
 * labels that are null, or of documents that aren't there: ignored;
 * one class only, or no labels: every score is that class's share, no offsets;
-* repeated rows get equal scores; extra columns are kept by `without_toxic`.
+* repeated rows get equal scores, and are learnt from once; extra columns are kept by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_written, written
+
 TOKEN = re.compile(r"\w+")
 PREFIXES = range(3, 8)
 
@@ -252,9 +254,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most_docs: int, most_chars: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of the bounded sample; held-out documents are never in it."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("toxic") == 1).alias("toxic"))
-    sized = known.join(documents.select("doc_id", F.length("text").alias("size")), "doc_id")
+    """Texts, labels and weights of the bounded sample; held-out documents are never in it.
+
+    A doc_id counts once: of its rows the one with the smallest hash of the text is taken, of its labels the largest.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    sized = documents.select("doc_id", text_key.alias("text_key"), F.length("text").alias("size")).join(known, "doc_id")
+    sized = sized.groupBy("doc_id", "toxic").agg(F.min("text_key").alias("text_key"), F.min_by("size", "text_key").alias("size"))
+    sized = written(sized, "toxicity-sample")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     counts = dict(sized.groupBy("toxic").count().collect())
     chosen, weight = {}, {}
@@ -262,15 +270,18 @@ def training_rows(documents: DataFrame, labels: DataFrame, most_docs: int, most_
         rows, left = sized.where(F.col("toxic") == kind).orderBy(*order).limit(most_docs).collect(), most_chars // 2
         took = 0
         for r in rows:
-            if (r.size or 0) <= left:
-                chosen[r.doc_id] = kind
-                left -= r.size or 0
+            if (r["size"] or 0) <= left:
+                chosen[r.doc_id] = r.text_key, kind
+                left -= r["size"] or 0
                 took += 1
         weight[kind] = counts[kind] / max(1, took)
-    found = documents.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text").collect() if chosen else []
-    found = sorted((r.doc_id, r.text or "") for r in found)
-    toxic = np.array([chosen[i] for i, _ in found], bool)
-    return [t for _, t in found], toxic, np.array([weight[x] for x in toxic], float)
+    drop_written(sized)
+    # Repeated rows of a document, which may be many, become one before they come here.
+    asked = documents.where(F.col("doc_id").isin(list(chosen)) & text_key.isin([k for k, _ in chosen.values()]))
+    found = asked.groupBy("doc_id").agg(F.min_by("text", text_key).alias("text"))
+    got = sorted((r.doc_id, r.text or "") for r in found.collect()) if chosen else []
+    toxic = np.array([chosen[i][1] for i, _ in got], bool)
+    return [t for _, t in got], toxic, np.array([weight[x] for x in toxic], float)
 
 
 def train(documents: DataFrame, labels: DataFrame, most_docs: int = 2000, most_chars: int = 4_000_000, **options) -> Model:

@@ -103,3 +103,22 @@ def test_query_has_the_contracts_columns(spark, sf):
     df = queries.op7_toxicity(spark, sf)
     assert df.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert df.where("predicted <> cast(score >= 0.5 as int)").isEmpty()
+
+
+def test_repeated_rows_are_learnt_once_and_within_the_limits(spark):
+    rows = [(1, "plain words " * 20)] * 3000 + [(1, "other words")] * 5 + [(i, f"text {i}") for i in range(2, 60)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(60)] + [(4, 1, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts, toxic, weights = toxicity.training_rows(docs, marks, 10, 1000)
+    assert len(texts) == len(toxic) == len(weights) == 20 and sum(map(len, texts)) <= 1000
+    texts, _, _ = toxicity.training_rows(docs, marks, 1000, 100_000)
+    out = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(texts) == len({i for i, _ in rows} - out)
+
+
+def test_held_out_documents_of_the_tables_are_told_apart(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has too few labels for a rate
+    found = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    hits = [r.predicted for r in found if r.toxic == 1]
+    assert len(found) > 20 and sum(r.predicted == r.toxic for r in found) / len(found) >= 0.9
+    assert not hits or sum(hits) / len(hits) >= 0.6
