@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-OP5 = r"""
+from .common import LOWER, UPPER
+from .url_filter import SHARED
+
+_SHARED = ", ".join(f"'{x}'" for x in SHARED)
+_STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN (1 - rho) / rho END, 1000), 1), 1000)::DOUBLE AS s FROM (
+  SELECT (sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM {} WHERE n > 0)"""
+OP5 = rf"""
 WITH p AS (
   SELECT page_id,
-         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-y AS (SELECT p.host, 1 - l.quality AS bad FROM p JOIN labels l ON l.doc_id = p.page_id WHERE l.quality IS NOT NULL),
-h0 AS (SELECT host, count(*) AS n, sum(bad) AS bad,
-              array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+y AS (SELECT p.host, 1 AS one, 1 - l.quality AS bad FROM p JOIN labels l ON l.doc_id = p.page_id WHERE l.quality IS NOT NULL
+      UNION ALL SELECT host, 0, 0 FROM p),
+h0 AS (SELECT host, sum(one) AS n, sum(bad) AS bad, string_split(host, '.')[-1] AS suffix,
+              array_to_string(string_split(host, '.')[CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_SHARED}) THEN -3 ELSE -2 END:], '.') AS domain
        FROM y GROUP BY host),
 d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h0 GROUP BY suffix, domain),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
-top AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS m FROM s0),
-sr AS (SELECT (sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM s0, top),
-ss AS (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN (1 - rho) / rho END, 1000), 1), 1000)::DOUBLE AS s FROM sr),
-s1 AS (SELECT suffix, (m * s + bad) / (s + n) AS m FROM s0, top, ss),
-d1 AS (SELECT d0.*, s1.m FROM d0 JOIN s1 USING (suffix)),
-dr AS (SELECT (sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM d1),
-dstr AS (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN (1 - rho) / rho END, 1000), 1), 1000)::DOUBLE AS s FROM dr),
-d2 AS (SELECT domain, (m * s + bad) / (s + n) AS m FROM d1, dstr),
+top AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS m FROM s0 HAVING sum(n) > 0),
+s1 AS (SELECT s0.*, m FROM s0, top),
+s2 AS (SELECT suffix, (m * s + bad) / (s + n) AS m FROM s1, ({_STRENGTH.format('s1')})),
+d1 AS (SELECT d0.*, s2.m FROM d0 JOIN s2 USING (suffix)),
+d2 AS (SELECT domain, (m * s + bad) / (s + n) AS m FROM d1, ({_STRENGTH.format('d1')})),
 h1 AS (SELECT h0.*, d2.m FROM h0 JOIN d2 USING (domain)),
-hr AS (SELECT (sum(n * (bad / n - m) * (bad / n - m)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM h1),
-hs AS (SELECT least(greatest(coalesce(CASE WHEN rho > 0 THEN (1 - rho) / rho END, 1000), 1), 1000)::DOUBLE AS s FROM hr),
-h2 AS (SELECT host, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM h1, hs),
+h2 AS (SELECT host, m * s + bad AS a, (1 - m) * s + n - bad AS b FROM h1, ({_STRENGTH.format('h1')})),
 rep AS (SELECT host, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM h2),
 r(name, rhost, rpath, rverdict) AS (VALUES
   ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),

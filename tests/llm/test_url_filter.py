@@ -56,6 +56,32 @@ def test_hosts_without_labels_get_the_prior_of_their_level(spark):
     assert got[2].lower < got[4].lower < got[1].lower
 
 
+def test_columns_with_the_names_of_results_and_a_very_long_url(spark):
+    rows = [(1, "http://a.org/" + "x" * 2_000_000, 5), (2, "http://b.net/es/", 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, n long").select("*", *[F.lit("old").alias(c) for c in ("lower", "HOST", "path", "rule", "verdict", "_salt", "__pages_", "suffix")])
+    outcomes = spark.createDataFrame([("http://a.org/", 0)] * 9, "url string, bad int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes).collect()}
+    assert (got[1].host, len(got[1].path), got[1].verdict, got[1]._salt, got[1].n) == ("a.org", 2_000_001, "allow", "old", 5)
+    assert (got[2].rule, got[2].verdict, got[2].lower, got[2].suffix) == ("net/es/", "block", None, "old")
+
+
+def test_registered_domains(spark):
+    hosts = [("a.b.co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("x.y.example.org", "example.org"), ("localhost", "localhost"), ("", "")]
+    got = spark.createDataFrame(hosts, "host string, d string").select("d", url_filter.domain_of(F.col("host")).alias("x")).collect()
+    assert all(r.d == r.x for r in got)
+
+
+def test_sql_judges_hosts_without_labels_too(spark, sf, tmp_path):
+    """Over tables of which some hosts have no labelled page."""
+    for t in ("pages", "labels"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        (df.where("doc_id % 7 = 0") if t == "labels" else df.withColumn("url", F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("http://h"), "page_id", F.lit(".new.org/"))).otherwise(F.col("url")))).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = __import__("duckdb").connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert rows_of_spark(queries.op5_url_filters(spark, str(tmp_path))) == rows_of_sql(con, oracle.OP5)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     outcomes = spark.createDataFrame([], "url string, bad int")
