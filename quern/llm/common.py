@@ -80,25 +80,44 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def running_sum(numbers: Column, chunk: int = 256) -> Column:
-    """Sums of an array up to each element, in two steps, as growing an array copies it."""
-    n = F.size(numbers)
+def running(numbers: Column, combine: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """An array's elements combined from the first, or from 0, up to each one, in two steps, as growing an array copies it."""
+    n, zero = F.size(numbers), F.lit(0).cast("long")
 
     def grow(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x))
+        return F.concat(acc, F.array(combine(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x.cast("long"))))
 
     none = F.array().cast("array<long>")
     parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: F.aggregate(F.slice(numbers, c * chunk + 1, F.lit(chunk)), none, grow))
     sums = bound(
         parts,
         lambda p: bound(
-            F.aggregate(p, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1)))),
-            lambda before: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: y + F.get(before, i)))),
+            F.aggregate(p, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), F.element_at(x, -1))))),
+            lambda before: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: combine(y, F.get(before, i))))),
         ),
     )
     return F.when(n > 0, sums).otherwise(none)
 
 
+def running_sum(numbers: Column) -> Column:
+    return running(numbers, lambda a, b: a + b)
+
+
+def slices(text: Column, bounds: Column, chunk: int = 1024) -> Column:
+    """The parts of a text for an array of (start, end) code points, in time that grows with their lengths alone.
+
+    `substr` counts from the start of a text each time; here it counts from the start of a chunk.
+    """
+
+    def part(chunks: Column, start: Column, end: Column) -> Column:
+        first, last = (start / chunk).cast("int"), ((end - 1) / chunk).cast("int")
+        at = lambda c: F.greatest(start - c * chunk, F.lit(0))
+        inside = F.transform(F.sequence(first, last), lambda c: F.substr(F.get(chunks, c), at(c) + 1, F.least(end - c * chunk, F.lit(chunk)) - at(c)))
+        return F.when(end > start, F.array_join(inside, "")).otherwise("")
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)), lambda chunks: F.transform(bounds, lambda b: part(chunks, b["start"].cast("int"), b["end"].cast("int"))))
+
+
 def join_counted(rows: DataFrame, side: DataFrame, on: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which has one row a key and in ``count`` the key's number of rows in ``rows``.
 

@@ -13,7 +13,9 @@ with PMI >= disclose * IC is generalised to a typed placeholder wherever it
 stands in the texts that mention e, or removed from there if PMI >= remove * IC.
 
 As c(e,t) <= min(c(e), c(t)), PMI is at most log2(N / max(c(e), c(t))); pairs
-that this bound rules out aren't built.
+that this bound rules out aren't built.  Entities that stand in the same texts have the same counts
+with every term, and so have terms that do; they are counted as one bundle, so that a list of
+thousands of addresses doesn't make a pair of each one with each word.
 
 Everything is built-in functions: Java's matches and the text between them give
 positions.  The patterns are written so that no text makes them backtrack over a long
@@ -33,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, running_sum, sha256_hex, written
+from .common import bound, join_counted, running, running_sum, sha256_hex, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -107,15 +109,23 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span.kind, value)
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with blanks in place of the spans, of the same length."""
+def _spliced(text: Column, spans: Column, by) -> Column:
+    """``text`` with by(span, end of what came before) in place of each of the sorted spans; linear in the text and the spans."""
+
+    def build(ends: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)).cast("int")
+        gaps = F.transform(spans, lambda s, i: F.struct(before(i).alias("start"), F.greatest(s.start, before(i)).alias("end")))
+        tail = F.array(F.struct(F.element_at(ends, -1).cast("int").alias("start"), F.length(text).alias("end")))
+        pieces = slices(text, F.concat(gaps, tail))
+        return bound(pieces, lambda p: F.concat(F.array_join(F.transform(spans, lambda s, i: F.concat(F.get(p, i), by(s, before(i)))), ""), F.element_at(p, -1)))
 
-    def step(acc: Column, s: Column) -> Column:
-        blank = F.repeat(F.lit(" "), s.end - F.greatest(acc.at, s.start))
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.out, F.array(F.concat(F.substr(text, acc.at + 1, s.start - acc.at), blank))).alias("out"))
+    highest = running(F.transform(spans, lambda s: s.end), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(highest, build))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return bound(F.aggregate(spans, zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans, of the same length."""
+    return _spliced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s.end - F.greatest(at, s.start), F.lit(0))))
 
 
 def _term(word: Column) -> Column:
@@ -154,38 +164,42 @@ def _term_counts(documents: DataFrame) -> DataFrame:
     return written(texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "pii-terms")
 
 
+def _kinds(rows: DataFrame, what: str) -> DataFrame:
+    """(what, n, x1, x2): in how many texts it stands, and two numbers for which ones."""
+    return rows.groupBy(what).agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("text_key", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)])
+
+
 def disclosive(documents: DataFrame, rows: DataFrame, holders: DataFrame, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """(text_key, entity, term, pmi, ic, removed) of the terms over the threshold, for each text that has both."""
+    """(text_key, term, share, removed) of the terms over the threshold, for each text that has both; share is the largest PMI / IC."""
     total = F.lit(rows.select("text_key").distinct().count())
     c_t = _term_counts(documents)
     of = holders.select("text_key", F.explode("entities").alias("entity"))
-    c_e = of.groupBy("entity").agg(F.count("*").alias("c_e"))
-    # A common entity is one row a text; its count is joined by a salted key.
-    salt = 16
-    c_e = c_e.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    counted = of.withColumn("salt", F.pmod("text_key", F.lit(salt)).cast("int")).join(c_e, ["entity", "salt"])
-    entities = counted.groupBy("text_key").agg(F.collect_list(F.struct("entity", "c_e")).alias("entities"), F.max("c_e").alias("most"))
-    # Words in more than a thousandth of all texts, at most a thousand times as many as a text has, don't meet in one task.
+    c_e = _kinds(of, "entity").select("entity", "n", F.col("n").alias("c_e"), F.xxhash64("n", "x1", "x2").alias("bundle"))
+    counted = join_counted(of, c_e, "entity", of.count())
+    entities = counted.groupBy("text_key").agg(F.collect_set(F.struct("bundle", "c_e")).alias("entities"), F.max("c_e").alias("most"))
     terms = holders.select("text_key", F.explode(F.array_distinct(F.transform("words", lambda w: w.term))).alias("term"))
-    often = F.broadcast(c_t.where(F.col("c_t") * 1000 > total))
-    terms = terms.join(often, "term").unionByName(terms.join(often.select("term"), "term", "left_anti").join(c_t, "term"))
+    kinds = _kinds(terms, "term").join(c_t, "term").select("term", "n", "c_t", F.xxhash64("n", "x1", "x2", "c_t").alias("of_terms"))
+    terms = written(join_counted(terms, kinds, "term", terms.count()), "pii-words")
     ic = lambda c: F.log2(total / F.col(c))
     possible = lambda c: F.log2(total / F.greatest(F.col(c), F.col("c_t"))) >= disclose * ic(c) - 1e-9
-    pairs = terms.join(entities, "text_key").where(possible("most")).select("text_key", "term", "c_t", F.inline("entities")).where((F.col("c_e") < total) & possible("c_e"))
+    met = terms.select("text_key", "of_terms", "c_t").distinct().join(entities, "text_key").where(possible("most"))
+    pairs = met.select("text_key", "of_terms", "c_t", F.inline("entities")).where((F.col("c_e") < total) & possible("c_e"))
     # Pairs in many texts are dealt out; c_et is at most the smaller count.
     parts = F.least(F.floor(F.least("c_e", "c_t") / 256) + 1, F.lit(64)).cast("int")
     pairs = written(pairs.withColumn("salt", F.pmod("text_key", parts).cast("int")), "pii-pairs")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("c_et"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"))
+    both = pairs.groupBy("bundle", "of_terms").agg(F.count("*").alias("c_et"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"))
     pmi = F.log2(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     flagged = both.withColumns({"pmi": pmi, "ic": ic("c_e")}).where(F.col("pmi") >= disclose * F.col("ic"))
-    flagged = flagged.select("entity", "term", "pmi", "ic", (F.col("pmi") >= remove * F.col("ic")).alias("removed"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    return pairs.select("text_key", "entity", "term", "salt").join(flagged, ["entity", "term", "salt"]).drop("salt")
+    flagged = flagged.select("bundle", "of_terms", (F.col("pmi") / F.col("ic")).alias("share"), (F.col("pmi") >= remove * F.col("ic")).alias("removed"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    found = pairs.select("text_key", "bundle", "of_terms", "salt").join(flagged, ["bundle", "of_terms", "salt"])
+    found = found.groupBy("text_key", "of_terms").agg(F.max("share").alias("share"), F.max("removed").alias("removed"))
+    return terms.select("text_key", "term", "of_terms").join(found, ["text_key", "of_terms"]).drop("of_terms")
 
 
 def term_spans(documents: DataFrame, rows: DataFrame, **thresholds) -> DataFrame:
     """text_key, terms: array of (start, end, removed), each place once."""
     holders = _holders(rows)
-    flagged = disclosive(documents, rows, holders, **thresholds).groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    flagged = disclosive(documents, rows, holders, **thresholds)
     places = holders.select("text_key", F.inline("words"))
     return places.join(flagged, ["text_key", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
 
@@ -216,10 +230,9 @@ def sanitise(documents: DataFrame, **thresholds) -> DataFrame:
     keyed = documents.withColumns({"__pii_spans": base_spans(F.coalesce("text", F.lit("")))})
     clean = keyed.where(F.size("__pii_spans") == 0).drop("__pii_spans")
     hit = _with_terms(keyed.where(F.size("__pii_spans") > 0), text_key(F.col("text")), terms)
-    place = F.concat(
-        F.transform("__pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")).alias("by"))),
-        F.transform("__pii_terms", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.substr("text", s.start + 1, s.end - s.start), s.removed).alias("by"))),
-    )
+    marks = F.transform("__pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")).alias("by")))
+    general = lambda words: F.transform("__pii_terms", lambda s, i: F.struct(s.start.alias("start"), s.end.alias("end"), _general(F.get(words, i), s.removed).alias("by")))
+    place = F.concat(marks, bound(slices(F.col("text"), F.col("__pii_terms")), general))
     return clean.unionByName(hit.withColumn("text", replaced(F.col("text"), F.array_sort(place))).drop("__pii_spans", "__pii_terms"))
 
 
@@ -230,16 +243,7 @@ def _general(term: Column, removed: Column) -> Column:
 
 def replaced(text: Column, places: Column) -> Column:
     """``text`` with each (start, end, by) replaced; what overlaps an earlier place goes with it."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s.start >= acc.at
-        return F.struct(
-            F.greatest(acc.at, s.end).alias("at"),
-            F.when(fresh, F.concat(acc.out, F.array(F.substr(text, acc.at + 1, s.start - acc.at), s.by))).otherwise(acc.out).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return bound(F.aggregate(places, zero, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+    return _spliced(text, places, lambda s, at: F.when(s.start >= at, s.by).otherwise(""))
 
 
 def spans_text(spans: Column) -> Column:

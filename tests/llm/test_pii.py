@@ -96,3 +96,52 @@ def test_no_documents(spark):
 
 def test_repeated_rows_stay(spark):
     assert cases.ids(pii.detect(cases.documents(spark))) == cases.ALL_IDS
+
+
+def test_terms_equal_the_counts_of_a_table(spark):
+    """PMI and IC of every pair by their definitions; repeated rows count once."""
+    import math
+
+    rng = random.Random(9)
+    names = [f"name{i}" for i in range(30)]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(cases.WORDS) for _ in range(rng.randint(3, 25))]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            k = rng.randint(0, 19)
+            words.insert(rng.randrange(len(words)), f"user{k}@example.org")
+            words.insert(rng.randrange(len(words)), names[k] if rng.random() < 0.7 else rng.choice(names))
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[7][1]) for i in range(12)]
+    texts = {t for _, t in rows}
+    found = {t: (set(re.findall(r"user\d+@example\.org", t)), re.sub(r"user\d+@example\.org", lambda m: " " * len(m.group()), t)) for t in texts}
+    every = {t: set(re.findall(r"[^\W_]{2,}", t)) for t in texts}
+    n = len(texts)
+    expected = {}
+    for t, (mails, rest) in found.items():
+        out = set()
+        for m in re.finditer(r"[^\W_]{2,}", rest):
+            c_t = sum(m.group() in w for w in every.values())
+            for e in mails:
+                c_e = sum(e in f for f, _ in found.values())
+                both = sum(e in f and m.group() in re.findall(r"[^\W_]{2,}", r) for f, r in found.values())
+                if math.log2(n * both / (c_e * c_t)) >= 0.8 * math.log2(n / c_e):
+                    out.add(f"term:{m.start()}:{m.end()}")
+        expected[t] = out
+    got = {r.doc_id: r.spans for r in pii.digest_columns(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert any(expected.values()) and {i: {s for s in got[i].split(",") if s.startswith("term")} for i, _ in rows} == {i: expected[t] for i, t in rows}
+
+
+def test_a_long_list_of_addresses(spark):
+    """Time grows with the text; every address and every name beside it goes."""
+    import time
+
+    took = []
+    for n in (1500, 6000):
+        text = "\n".join(f"person{i}x <mail{i}@host{i % 7}.example.org>, +1 415 555 {i:05d}" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text + " again"), (3, "nothing here")] + [(9 + i, f"filler {i} words") for i in range(50)], "doc_id long, text string")
+        began = time.time()
+        clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+        took.append(time.time() - began)
+        assert "@" not in clean[1] and "person" not in clean[1] and clean[1].count("<EMAIL>") == n and clean[3] == "nothing here"
+    assert took[1] < 8 * took[0]
