@@ -43,5 +43,98 @@ FROM j
 """
 
 
+
+
+def _spans(kind: str, rank: int, pattern: str, valid: str) -> str:
+    """Rows (t, rank, kind, s, e, v) of a kind's valid matches; a match stands after the pieces and matches before it."""
+    return rf"""SELECT t, {rank} AS rank, '{kind}' AS kind, s, s + length(v) AS e, v FROM (
+      SELECT t, m[i] AS v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+      FROM (SELECT t, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM texts) WHERE len(m) > 0))
+    WHERE {valid}"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length({_DIGITS})), lambda i:
+  CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), (i + 1)::INT, 1)::INT
+       WHEN substr(reverse({_DIGITS}), (i + 1)::INT, 1)::INT > 4 THEN 2 * substr(reverse({_DIGITS}), (i + 1)::INT, 1)::INT - 9
+       ELSE 2 * substr(reverse({_DIGITS}), (i + 1)::INT, 1)::INT END)) % 10 = 0"""
+_IP = "list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))"
+#: Counts of values, terms and both over distinct texts, as stated in `pii`.
+OP2 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS MATERIALIZED (SELECT DISTINCT t FROM docs),
+b AS MATERIALIZED (
+  {_spans('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
+  UNION ALL {_spans('ip', 1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', _IP)}
+  UNION ALL {_spans('card', 2, '[0-9](?:[ -]?[0-9])+', _LUHN)}
+  UNION ALL {_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 10 AND 15")}),
+ents AS (SELECT DISTINCT t, kind, CASE WHEN kind IN ('card', 'phone') THEN {_DIGITS} ELSE lower(v) END AS x FROM b),
+n AS (SELECT count(*) AS total FROM texts),
+gaps AS (SELECT *, coalesce(max(e) OVER (PARTITION BY t ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM b),
+blank AS (SELECT t, string_agg(substr(t, done::INT + 1, (greatest(s, done) - done)::INT) || repeat(' ', greatest(e - greatest(done, s), 0)::INT), '' ORDER BY s, rank) || substr(t, max(e)::INT + 1) AS u FROM gaps GROUP BY t),
+w0 AS (SELECT t, regexp_extract_all(u, '[\p{{L}}\p{{N}}]{{2,}}') AS m, string_split_regex(u, '[\p{{L}}\p{{N}}]{{2,}}') AS g FROM blank),
+w AS MATERIALIZED (SELECT t, lower(word) AS term, ends - length(word) AS s, ends AS e FROM (
+  SELECT t, word, sum(length(gap) + length(word)) OVER (PARTITION BY t ORDER BY i) AS ends FROM (
+    SELECT t, unnest(m) AS word, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM w0))),
+ct AS MATERIALIZED (SELECT term, count(*) AS c_t FROM (SELECT DISTINCT t, unnest(list_transform(regexp_extract_all(t, '[\p{{L}}\p{{N}}]{{2,}}'), lambda x: lower(x))) AS term FROM texts) GROUP BY term),
+ce AS (SELECT kind, x, count(*) AS c_e FROM ents GROUP BY ALL),
+tw AS MATERIALIZED (SELECT DISTINCT t, term FROM w),
+cet AS MATERIALIZED (SELECT kind, x, term, count(*) AS c_et FROM ents JOIN tw USING (t) GROUP BY ALL),
+hit AS (SELECT DISTINCT ents.t, cet.term FROM ents JOIN cet USING (kind, x) JOIN tw ON tw.t = ents.t AND tw.term = cet.term JOIN ce USING (kind, x) JOIN ct ON ct.term = cet.term, n
+  WHERE c_e < total AND log2(total * c_et / (c_e * c_t)) >= 0.8 * log2(total / c_e)),
+marks AS (SELECT t, s, rank, kind, e FROM b UNION ALL SELECT w.t, w.s, 4, 'term', w.e FROM w JOIN hit USING (t, term)),
+per AS (SELECT t, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone, count(*) FILTER (rank = 4) AS n_term,
+    string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank, e) AS spans FROM marks GROUP BY t)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM docs LEFT JOIN per USING (t)
+"""
+#: All pairs that share a shingle.
+OP4 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ 	-
+]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) ELSE [] END AS g FROM w),
+sh AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets),
+near AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+pairs AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, b.y FROM reach r JOIN pairs b ON r.y = b.x),
+least_ AS (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x)
+SELECT doc_id, len(g) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept FROM sets LEFT JOIN least_ USING (doc_id)
+"""
+
+
+def _back(c: str) -> str:
+    """`chat_format.unescape`: doubled backslashes apart, then the single forms."""
+    parts = rf"string_split({c}, '\\')"
+    return rf"array_to_string(list_transform({parts}, lambda x: replace(replace(replace(x, '\e', '</turn>'), '\h', '### '), '\c', ': ')), '\')"
+
+
+def _escaped(c: str) -> str:
+    return rf"replace(replace(replace(replace({c}, '\', '\\'), '</turn>', '\e'), '### ', '\h'), ': ', '\c')"
+
+
+_CONTROL = " OR ".join(f"contains({c}, '{m}')" for c in ("role", "text") for m in ("</turn>", "### "))
+OP9 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)),
+e AS (SELECT *, {_CONTROL} OR contains(role, ': ') OR {_back('role')} <> role OR {_back('text')} <> text AS hard FROM c),
+r AS (SELECT *, 14 + CASE WHEN hard THEN length({_escaped('role')}) + length({_escaped('text')}) ELSE length(role) + length(text) END AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+#: Base 32 of SHA-1 in groups of five hexadecimal digits, which are four characters.
+OP10 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda j: list_reduce(list_transform(range(1, 6), lambda k: instr('0123456789abcdef', substr(h, (5 * j + k)::INT, 1)) - 1), lambda a, b: a * 16 + b)) AS vs FROM q)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(vs, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x // d) % 32 + 1)::INT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": OP5}
+    return {"op2_pii": OP2, "op4_minhash_near_dedup": OP4, "op5_url_filters": OP5, "op9_chat_formatting": OP9, "op10_warc": OP10}
