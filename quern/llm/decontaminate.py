@@ -17,7 +17,8 @@ don't, each occurrence is judged by its own usual readings, so variants of one q
 
 The benchmark is a stated query set: it is cut into blocks of at most
 ``block_tokens`` tokens, so that what is broadcast is bounded, and each block
-goes over all documents; nothing is shuffled.
+goes over all documents; nothing is shuffled.  A block is sorted arrays of window hashes, 50 to 150
+bytes a token, and the join a search in them.
 
 Defined results
 ---------------
@@ -63,7 +64,7 @@ class Settings:
     literals: int = 4
     run: int = 13
     share: float = 0.6
-    block_tokens: int = 2_000_000
+    block_tokens: int = 500_000
 
 
 class _Codes(dict):
@@ -95,11 +96,6 @@ class Template:
     literal: np.ndarray  # hash of the token itself
     opens: np.ndarray  # whether it is a word with a capital that opens a sentence
     text: np.ndarray  # the text it belongs to
-    at: np.ndarray  # its place in `tokens`
-    tokens: list[str]
-
-    def value(self, i: int) -> str:
-        return self.tokens[self.at[i]].lower()
 
     def reading(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, slots and which opening words are names, in reading ``r`` of `READINGS`."""
@@ -145,56 +141,74 @@ def template(texts: list[str | None], codes: _Codes) -> Template:
     literal = c.copy()
     c[kind == _NUMBER], c[name], c[unit] = _NUMBER_CODE, _NAME_CODE, _UNIT_CODE
     stay = np.flatnonzero(kind != _END)
-    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], literal[stay], opens[stay], text[stay], stay, tokens)
+    return Template(c[stay], ((kind == _NUMBER) | name | unit)[stay], literal[stay], opens[stay], text[stay])
+
+
+@dataclass
+class Index:
+    """The windows of one size, sorted by hash: hash, item, place in the item."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def of(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(number in ``h``, item, place) of the windows with the given hashes."""
+        low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
+        for i in np.flatnonzero(high > low):
+            for j in range(low[i], high[i]):
+                yield int(i), int(self.item[j]), int(self.place[j])
 
 
 @dataclass
 class Items:
-    """A block of the benchmark: its templates and its windows by hash."""
+    """A block of the benchmark: the values of its tokens and its windows by hash."""
 
     ids: list[int | None]
-    template: Template
-    first: np.ndarray
-    count: list[int]  # windows with enough words
-    poor: list[int]  # windows with fewer
-    by_size: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
+    values: np.ndarray
+    bounds: np.ndarray
+    count: np.ndarray  # windows with enough words
+    poor: np.ndarray  # windows with fewer
+    by_size: dict[int, Index] = field(default_factory=dict)
 
     def of_which(self, item: int) -> int:
         """Windows of which a share has to be found: those with enough words, or the poor ones of an item without any."""
-        return self.count[item] or self.poor[item]
+        return int(self.count[item] or self.poor[item])
 
-    def of(self, item: int) -> range:
-        """Places of an item's tokens in `template`."""
-        end = self.first[item + 1] if item + 1 < len(self.first) else len(self.template.codes)
-        return range(int(self.first[item]), int(end))
+    def length(self, item: int) -> int:
+        return int(self.bounds[item + 1] - self.bounds[item])
 
 
 def prepare(ids: list[int | None], texts: list[str | None], s: Settings) -> Items:
     t = template(texts, _Codes())
-    bounds = np.searchsorted(t.text, np.arange(len(texts) + 1))
-    items = Items(ids, t, bounds[:-1], [0] * len(ids), [0] * len(ids))
-    sizes: dict[int, list[int]] = defaultdict(list)
-    for i, n in enumerate(np.diff(bounds)):
-        sizes[min(s.window, int(n))].append(i)
-    for size, members in sizes.items():
-        if size:
-            index = items.by_size[size] = defaultdict(list)
-            seen = set()
-            for r in READINGS:
-                h, good = t.windows(size, _least(size, s), r)
-                for i in members:
-                    for p in range(int(bounds[i]), int(bounds[i + 1]) - size + 1):
-                        if good[p] and (int(h[p]), p) not in seen:
-                            seen.add((int(h[p]), p))
-                            index[int(h[p])].append((i, p - int(bounds[i])))
-                            items.count[i] += r == 0
-            _, rich = t.windows(size, _least(size, s))
-            h, _ = t.windows(size, 0, EXACT)
-            for i in members if size >= s.literals else ():
-                for p in range(int(bounds[i]), int(bounds[i + 1]) - size + 1):
-                    if not rich[p]:
-                        index[int(h[p])].append((i, p - int(bounds[i])))
-                        items.poor[i] += 1
+    n = len(ids)
+    bounds = np.searchsorted(t.text, np.arange(n + 1))
+    items = Items(ids, t.literal, bounds, np.zeros(n, np.int64), np.zeros(n, np.int64))
+    size_of = np.minimum(np.diff(bounds), s.window)
+    for size in np.unique(size_of[size_of > 0]).tolist():
+        of_size = (size_of == size)[t.text[: max(0, len(t.codes) - size + 1)]]
+        hashes, places, rich = [], [], None
+        for r in READINGS:
+            h, good = t.windows(size, _least(size, s), r)
+            if r == 0:
+                rich = good
+                items.count += np.bincount(t.text[np.flatnonzero(good & of_size)], minlength=n)
+            at = np.flatnonzero(good & of_size)
+            hashes.append(h[at])
+            places.append(at)
+        if size >= s.literals:
+            h, inside = t.windows(size, 0, EXACT)
+            at = np.flatnonzero(inside & of_size & ~rich)
+            items.poor += np.bincount(t.text[at], minlength=n)
+            hashes.append(h[at])
+            places.append(at)
+        h, p = np.concatenate(hashes), np.concatenate(places)
+        order = np.lexsort((p, h))
+        h, p = h[order], p[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])] if len(h) else np.zeros(0, bool)
+        h, p = h[new], p[new]
+        item = t.text[p]
+        items.by_size[size] = Index(h, item.astype(np.int32), (p - bounds[item]).astype(np.int32))
     return items
 
 
@@ -211,15 +225,16 @@ def leaks(texts: list[str | None], items: Items, tables: dict, codes: _Codes, s:
         mask, table = tables[size]
         for r in (*sorted(READINGS, key=int.bit_count), EXACT):
             h, good = t.windows(size, _least(size, s), r)
-            for p in np.flatnonzero(good & table[h & mask]):
-                for item, q in index.get(int(h[p]), ()):
-                    met[int(t.text[p]), item].setdefault((int(p), q, size), r)
+            likely = np.flatnonzero(good & table[h & mask])
+            for i, item, q in index.of(h[likely]):
+                p = int(likely[i])
+                met[int(t.text[p]), item].setdefault((p, q, size), r)
     slots = [t.reading(r)[1] for r in (*READINGS, EXACT)] if met else []
     out = []
     for (text, item), hits in met.items():
         best = _judged(hits, item, t, slots, items, s)
         if best is None and _may_leak(hits, item, items, s):
-            best = max(filter(None, (_judged(part, item, t, slots, items, s) for part in _occurrences(hits, len(items.of(item))))), default=None)
+            best = max(filter(None, (_judged(part, item, t, slots, items, s) for part in _occurrences(hits, items.length(item)))), default=None)
         if best:
             out.append((text, item, *best))
     return out
@@ -245,13 +260,15 @@ def _occurrences(hits: dict[tuple[int, int, int], int], length: int) -> Iterator
 
 def _judged(hits: dict[tuple[int, int, int], int], item: int, t: Template, slots: list[np.ndarray], items: Items, s: Settings) -> tuple[int, int, int, int] | None:
     """(windows left, longest run in tokens, slots, slots with another value) if that makes a leak."""
-    first = int(items.first[item])
-    readings: dict[str, Counter] = defaultdict(Counter)
+    first = int(items.bounds[item])
+    asked = lambda q: int(items.values[first + q])
+    here = lambda p: int(t.literal[p])
+    readings: dict[int, Counter] = defaultdict(Counter)
     pairs = {(p + j, q + j) for (p, q, size), r in hits.items() for j in range(size) if slots[r][p + j]}
     for p, q in sorted(pairs):
-        readings[items.template.value(first + q)][t.value(p)] += 1
+        readings[asked(q)][here(p)] += 1
     usual = {v: c.most_common(1)[0][0] for v, c in readings.items()}
-    wrong = {(p, q) for p, q in pairs if t.value(p) != usual[items.template.value(first + q)]}
+    wrong = {(p, q) for p, q in pairs if here(p) != usual[asked(q)]}
     left = sorted((p - q, q, size) for (p, q, size), r in hits.items() if not any(slots[r][p + j] and (p + j, q + j) in wrong for j in range(size)))
     longest = now = 0
     for i, (d, q, size) in enumerate(left):
@@ -268,10 +285,10 @@ def _tables(items: Items) -> dict:
     """For each window size a table of 2^k marks, so that most windows are told apart without a search."""
     out = {}
     for size, index in items.by_size.items():
-        bits = max(16, (16 * len(index)).bit_length())
+        bits = max(16, (16 * len(index.hashes)).bit_length())
         table = np.zeros(1 << bits, bool)
         mask = np.uint64((1 << bits) - 1)
-        table[np.fromiter(index, np.uint64, len(index)) & mask] = True
+        table[index.hashes & mask] = True
         out[size] = (mask, table)
     return out
 

@@ -105,3 +105,18 @@ def test_no_rows(spark):
     assert D.find_leaks(cases.documents(spark, []), items(spark, [(1, ITEM)])).count() == 0
     assert D.find_leaks(cases.documents(spark), items(spark, [])).count() == 0
     assert cases.ids(D.without_leaks(cases.documents(spark), items(spark, []))) == cases.ALL_IDS
+
+
+def test_many_blocks_find_what_one_does(spark):
+    rng = random.Random(7)
+    bench = [(i, ITEM.replace("Ann", f"Name{'abcdefghij'[i % 10]}").replace("pears", f"thing{i} stuff").replace("lunch", f"noon {i}")) for i in range(40)]
+    docs = [(i, cases.sentence(i, rng.randint(5, 80)) + " " + bench[i % 40][1].replace("3", "8") + " " + cases.sentence(i + 1, 9)) for i in range(60)]
+    found = [sorted(map(tuple, D.find_leaks(cases.documents(spark, docs), items(spark, bench), D.Settings(block_tokens=n)).collect()), key=str) for n in (60, 10**6)]
+    assert found[0] == found[1] and {(i, i % 40) for i in range(60)} <= {x[:2] for x in found[0]}
+
+
+def test_a_block_is_small():
+    texts = [" ".join(f"w{i * 31 + j} likes Tom. {j} pears" for j in range(60)) for i in range(300)]
+    it = D.prepare(list(range(300)), texts, D.Settings())
+    bytes_ = it.values.nbytes + sum(x.hashes.nbytes + x.item.nbytes + x.place.nbytes for x in it.by_size.values())
+    assert bytes_ < 150 * len(it.values)
