@@ -77,6 +77,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(hard).alias("text"),
     )
     chats = chat_format.format_chat(conversations.unionByName(extra))
+    whole = F.when(F.col("round_trip"), F.col("formatted")).otherwise(F.raise_error("a conversation doesn't come back from its text").cast("string"))
+    chats = chats.withColumn("formatted", whole)
     # What the parser and the mask give back from the rendered text, not the source.
     masked = F.transform("loss_spans", lambda s: F.substr("formatted", s.start + 1, s.end - s.start))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
