@@ -124,5 +124,19 @@ def test_no_documents(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (3, 3)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 130)}}
+    for portion in (1_000_000, 9):
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), portion).collect()}
+        assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 130)}}
+
+
+def test_components_of_random_graphs_in_portions(spark):
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for portion in (1_000_000, 20):
+        got = {r.node: r.root for r in connected_components(df, portion).collect()}
+        assert got == {x: r for x, r in root.items() if x != r}
