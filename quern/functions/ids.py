@@ -29,6 +29,19 @@ def rendezvous_owner(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     return keys.join(F.broadcast(members)).select("key", F.array_max(score)["nid"].alias("nid"))  # one row
 
 
+def hex_number(digits: Column) -> Column:
+    """The number that hexadecimal digits stand for, as a double."""
+    return F.aggregate(F.split(F.lower(digits), ""), F.lit(0.0), lambda n, d: n * 16 + F.instr(F.lit("0123456789abcdef"), d) - 1)
+
+
+def naive_owner(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``keys`` (key) with nid: the node whose place in sorted order is the key's number modulo the number of nodes, exactly."""
+    members = nodes.agg(F.sort_array(F.collect_set("nid")).alias("nids"))
+    digits = F.transform(F.split(key_id(F.col("key")), ""), lambda d: (F.instr(F.lit("0123456789abcdef"), d) - 1).cast("long"))
+    place = F.aggregate(digits, F.lit(0).cast("long"), lambda n, d: (n * 16 + d) % F.size("nids"))
+    return keys.join(F.broadcast(members)).select("key", F.get("nids", place.cast("int")).alias("nid"))  # one row
+
+
 def consistent_owner(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     """``keys`` (key) with nid: the first node at or after the key's place on the ring."""
     members = nodes.agg(F.sort_array(F.collect_set("nid")).alias("nids"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import plain_title
 from quern.session import cut
 
+from .prefix import ranked
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(src, links): all links of a source in one sorted array, repeats kept."""
@@ -29,10 +31,15 @@ def inverted_index(words: DataFrame) -> DataFrame:
     return words.distinct().groupBy("word").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
 
 
+def in_segments(rows: DataFrame, key: str, value: str, out: str, per_segment: int = 1_000_000) -> DataFrame:
+    """(key, segment, out): the distinct whole-number values of each key, sorted, in segments by ranges of values, so that no list outgrows a row or a task."""
+    placed = rows.select(key, value, F.floor(F.col(value) / per_segment).alias("segment")).distinct()
+    return placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(value)).alias(out))
+
+
 def inverted_index_segments(words: DataFrame, docs_per_segment: int = 1_000_000) -> DataFrame:
-    """(word, segment, doc_ids): the same in segments by ranges of ids, so that no list outgrows a row."""
-    placed = words.distinct().withColumn("segment", F.expr(f"doc_id div {docs_per_segment}"))
-    return placed.groupBy("word", "segment").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    """(word, segment, doc_ids): posting lists in segments."""
+    return in_segments(words, "word", "doc_id", "doc_ids", docs_per_segment)
 
 
 def two_hop(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -46,6 +53,10 @@ def unseen(titles: DataFrame, visited: DataFrame) -> DataFrame:
     return titles.join(visited, "title", "left_anti")
 
 
+#: So many rows are picked by a limit, which one task merges; more are ranked in ranges, to the same result.
+TOP = 100_000
+
+
 def kept_of(n: int, alpha: float, beta: int) -> int:
     return min(n, max(beta, int(n * alpha)))
 
@@ -53,7 +64,10 @@ def kept_of(n: int, alpha: float, beta: int) -> int:
 def prune(titles: DataFrame, alpha: float = 0.001, beta: int = 500, seed: int | None = None) -> DataFrame:
     """At most max(beta, alpha * n) of n titles: by a hash of the title, or at random with a seed."""
     keep = kept_of(titles.count(), alpha, beta)
-    return titles.orderBy(F.rand(seed) if seed is not None else F.sha2(F.col("title").cast("binary"), 256), "title").limit(keep)
+    by = F.xxhash64("title", F.lit(seed)) if seed is not None else F.sha2(F.col("title").cast("binary"), 256)
+    if keep <= TOP:
+        return titles.orderBy(by, "title").limit(keep)
+    return ranked(titles.withColumn("_by", by), [F.col("_by"), F.col("title")]).where(F.col("rank") < keep).drop("_by", "rank")
 
 
 @dataclass
@@ -73,6 +87,7 @@ def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001,
     Ends early with an empty frontier.  Each round is written to the shared folder.
     """
     spark = links.sparkSession
+    links = cut(links.select("src", "dst").where(plain_title(F.col("dst"))))  # every round reads them
     frontier = seeds.select("title").distinct()
     visited = spark.createDataFrame([], "round int, title string")
     extracted = visited
@@ -84,7 +99,7 @@ def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001,
             break
         done = i
         visited = visited.unionByName(now)
-        found = links.join(now, links["src"] == now["title"], "left_semi").where(plain_title(F.col("dst"))).select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct()
+        found = links.join(now, links["src"] == now["title"], "left_semi").select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct()
         found = cut(found)
         extracted = extracted.unionByName(found)
         frontier = unseen(found.select("title"), visited.select("title"))
@@ -97,3 +112,9 @@ def crawl_stats(result: Crawl, seconds: float | None = None) -> DataFrame:
     titles = result.extracted.agg(F.count_distinct("title").alias("n_pages"))
     rows = fetched.join(F.broadcast(titles)).withColumn("rounds", F.lit(result.rounds))  # one row each
     return rows.withColumn("throughput", F.col("n_pages") / F.lit(float(seconds))) if seconds else rows
+
+
+def save_stats(stats: DataFrame, path: str) -> DataFrame:
+    """Writes a job's statistics as JSON, and reads them back."""
+    stats.write.mode("overwrite").json(path)
+    return stats.sparkSession.read.schema(stats.schema).json(path)

@@ -40,6 +40,12 @@ def group_values(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
 
+def group_segments(pairs: DataFrame, values_per_segment: int = 1_000_000) -> DataFrame:
+    """(key, segment, values): a key's whole-number values, repeats kept, sorted, in segments by ranges of values."""
+    placed = pairs.select("key", "value", F.floor(F.col("value") / values_per_segment).alias("segment"))
+    return placed.groupBy("key", "segment").agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
 def reduce_with(pairs: DataFrame, f: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The reduce step by a Python function; gets one key's pairs at once."""
     return pairs.groupBy("key").applyInPandas(f, schema)

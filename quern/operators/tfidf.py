@@ -21,14 +21,15 @@ from quern.functions.text import SECTION_WEIGHTS, tokens
 
 from quern.session import cut
 
-from .prefix import running_sum
+from .prefix import ranked, running_sum
 
-#: A table of at most so many rows is sent to every task; beyond it the planner joins by exchange.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many bytes is sent to every task; beyond it the planner joins by exchange.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most so many rows."""
+def small(df: DataFrame, row_bytes: int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of about ``row_bytes`` each, are at most so many bytes."""
+    rows = most // row_bytes
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -78,19 +79,18 @@ def lexicon_from(distinct: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Kept as a table in the shared folder, since it is read often; it has a row for each vector.
     """
-    n = vectors.count()
-    top = doc_freq(distinct).orderBy(F.col("df").desc(), "word").limit(n)
-    ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.col("df").desc(), "word")) - 1)  # as many rows as there are vectors
-    return cut(ranked.join(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id").select("word", "vec"))
+    order = [F.col("df").desc(), F.col("word")]
+    top = ranked(cut(doc_freq(distinct)), order, out="vec_id")
+    return cut(top.join(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id").select("word", "vec"))
 
 
 def section_freq(tokens_: DataFrame, weights: tuple[float, ...] = SECTION_WEIGHTS) -> DataFrame:
-    """(doc_id, word, n, weighted, last): occurrences, their section weights summed, the last section's weight."""
+    """(doc_id, word, n, weighted, last, in_body): occurrences, their section weights summed, the last section's weight, whether it stands beyond the first."""
     w = F.get(F.array(*[F.lit(x) for x in weights]), F.col("section"))
     counted = [F.sum(F.when(F.col("section") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(len(weights))]
     freq = tokens_.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.max("section").alias("section"), *counted)
     weighted = sum((F.col(f"c{i}") * F.lit(x) for i, x in enumerate(weights)), F.lit(0.0))  # in one order, whatever the order of rows
-    return freq.select("doc_id", "word", "n", weighted.alias("weighted"), w.alias("last"))
+    return freq.select("doc_id", "word", "n", weighted.alias("weighted"), w.alias("last"), (F.col("section") > 0).alias("in_body"))
 
 
 def section_doc_freq(documents: DataFrame, columns: tuple[str, ...] = ("title", "intro", "rest")) -> DataFrame:
@@ -125,7 +125,7 @@ def document_vectors(weighted: DataFrame, lexicon: DataFrame, documents: DataFra
     """
     first = lexicon.select(F.size("vec").alias("dim")).first()
     dim = first.dim if first else 0
-    rows = weighted.join(small(lexicon), "word")
+    rows = weighted.join(small(lexicon, 8 * dim + 64), "word")
     part = F.col("u") * F.col("last") / F.col("size")
     sums = [F.sum(part * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)]
     total = rows.groupBy("doc_id").agg(F.sum(F.col("weighted") * F.col("u")).alias("W"), F.count("*").alias("words"), *sums)
@@ -135,9 +135,8 @@ def document_vectors(weighted: DataFrame, lexicon: DataFrame, documents: DataFra
     return out.select("doc_id", F.when(F.col("words").isNull(), zero).when(F.col("W") != 0, one).alias("vec"))
 
 
-def query_vector(tokens_: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(vec): the vector of one text, every word of the lexicon counting alike (idf = 1, one section)."""
-    docs = tokens_.select("doc_id").distinct()
+def query_vectors(tokens_: DataFrame, lexicon: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, vec): the vector of each text of ``docs``, every word of the lexicon counting alike (idf = 1, one section)."""
     freq = in_vocabulary(tokens_, lexicon).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     freq = freq.withColumn("size", F.sum("n").over(Window.partitionBy("doc_id")))
     freq = freq.select("doc_id", "word", "n", "size", (F.col("n") / F.col("size")).alias("u"), F.col("n").cast("double").alias("weighted"), F.lit(1.0).alias("last"))

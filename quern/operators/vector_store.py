@@ -1,12 +1,18 @@
 """Vector collections: upsert, exact and approximate cosine search.
 
-A collection is a table (doc_id, embedding).  Exact search puts the queries, whose
-number is checked, into every task, keeps the k nearest per query and task there,
-and merges those; vectors themselves are never shuffled.
+A collection is a table (doc_id, embedding).  Exact search puts the queries, in blocks of
+checked size, into every task, keeps the k nearest per query and task there,
+and merges those; vectors themselves are never shuffled.  Distances are compared as they are
+given, rounded to `DIGITS` places, and ties go by id, so that noise in the last bits orders nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +20,15 @@ from pyspark.sql.window import Window
 from quern.functions.vectors import as_double, cosine_distance, norm
 
 
+DIGITS = 6
+#: Queries of at most so many bytes are sent to every task at once.
+BLOCK_BYTES = 64 << 20
+
+
+def _distance(*args, **kwargs) -> Column:
+    return (F.round(cosine_distance(*args, **kwargs), DIGITS) + F.lit(0.0)).alias("distance")
+
+
 def upsert(current: DataFrame, writes: DataFrame) -> DataFrame:
     """The latest vector of each id; ``seq`` orders the writes, and all of them come after ``current``."""
     old = current.select("doc_id", "embedding", F.lit(None).cast("long").alias("seq"))
@@ -26,25 +41,28 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(rank, doc_id, distance) of the k nearest to one query (vec); ties by id, vectors without length left out."""
     one = query.select(as_double(F.col("vec")).alias("q")).withColumn("nq", norm(F.col("q")))
     pairs = vectors.join(F.broadcast(one.limit(1)))  # one row
-    found = pairs.select("doc_id", cosine_distance(F.col("embedding"), F.col("q"), norm_b=F.col("nq")).alias("distance")).where("distance is not null")
+    found = pairs.select("doc_id", _distance(F.col("embedding"), F.col("q"), norm_b=F.col("nq"))).where("distance is not null")
     top = found.orderBy("distance", "doc_id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "doc_id")))  # k rows
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 100_000, block: int = 512) -> DataFrame:
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, distance) for every query (query_id, vec).
 
-    Queries go in blocks of ``block``: each is one array in one row, so a task meets
+    Queries go in groups of ``block``: each is one array in one row, so a task meets
     a few rows of queries, and its k nearest per query are kept as it reads.
-    More than ``most_queries`` queries are exchanged by block instead of broadcast.
+    More bytes of queries than ``block_bytes`` go over the vectors in several passes, each with its share of the queries.
     """
-    n = queries.count()
+    n, size = queries.agg(F.count("*"), F.sum(8 * F.size("vec") + 64)).first()
+    passes = max(1, -(-(size or 0) // block_bytes))
+    if passes > 1:
+        mine = F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(passes))
+        return reduce(DataFrame.unionByName, [nearest_batch(vectors, queries.where(mine == i), k, block, 2 * block_bytes) for i in range(passes)])
     packed = queries.select("query_id", as_double(F.col("vec")).alias("q")).withColumn("nq", norm(F.col("q")))
     packed = packed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "nq")).alias("qs"))
-    side = F.broadcast(packed) if n <= most_queries else packed
     v = vectors.select("doc_id", as_double(F.col("embedding")).alias("v")).withColumn("nv", norm(F.col("v")))
-    pairs = v.join(side).select("doc_id", "v", "nv", F.inline("qs"))
-    found = pairs.select("query_id", "doc_id", cosine_distance(F.col("v"), F.col("q"), F.col("nv"), F.col("nq")).alias("distance")).where("distance is not null")
+    pairs = v.join(F.broadcast(packed)).select("doc_id", "v", "nv", F.inline("qs"))
+    found = pairs.select("query_id", "doc_id", _distance(F.col("v"), F.col("q"), F.col("nv"), F.col("nq"))).where("distance is not null")
     order = [F.col("distance"), F.col("doc_id")]
     # Spark keeps the first k of each group in the task before it exchanges them.
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
@@ -57,34 +75,37 @@ def _planes(dim: int, bits: int, seed: int) -> list[list[float]]:
     return [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)]
 
 
-def signature(v: Column, planes: list[list[float]]) -> Column:
-    """One bit for each hyperplane: the side that the vector is on."""
-    out = F.lit(0).cast("long")
-    for i, p in enumerate(planes):
-        side = F.aggregate(F.zip_with(as_double(v), F.array(*[F.lit(x) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        out = out.bitwiseOR(F.when(side >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return out
+def signatures(rows: DataFrame, key: str, vec: str, sets: list[list[list[float]]]) -> DataFrame:
+    """(key, table, bits): for each set of hyperplanes one bit a plane, the side that the vector is on; in Arrow batches."""
+    planes = np.array(sets)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                v = np.array(b.column(1).to_pylist(), float)
+                bits = (np.einsum("nd,tpd->ntp", v, planes) >= 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
+                n, t = bits.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), t)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(bits.ravel())], names=[key, "table", "bits"])
+
+    return rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long"), as_double(F.col(vec))).mapInArrow(run, f"{key} long, table int, bits long")
 
 
 def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 12, flips: int = 1, seed: int = 5) -> DataFrame:
     """(query_id, rank, doc_id, distance) by random hyperplanes: a vector meets the queries whose bits differ in at most ``flips`` places in some table.
 
-    Every vector is indexed in every table; candidates are joined on (table, bits) and ranked exactly.
+    Every vector's id is indexed in every table; candidates are joined on (table, bits), made distinct, and ranked exactly by
+    vectors that are joined to them afterwards.
     """
     first = vectors.select(F.size("embedding").alias("dim")).first()
     sets = [_planes(first.dim if first else 0, bits, seed + t) for t in range(tables)]
 
-    def keys(v: Column, probes: bool) -> Column:
-        own = [F.struct(F.lit(t).alias("table"), signature(v, p).alias("bits")) for t, p in enumerate(sets)]
-        if not probes or not flips:
-            return F.array(*own)
-        more = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)]])
-        return F.flatten(F.transform(F.array(*own), lambda x: F.transform(more, lambda m: F.struct(x.table.alias("table"), x.bits.bitwiseXOR(m).alias("bits")))))
-
-    indexed = vectors.select("doc_id", "embedding", F.inline(keys(F.col("embedding"), False)))
-    asked = queries.select("query_id", "vec", F.inline(keys(F.col("vec"), True)))
-    met = indexed.join(asked, ["table", "bits"]).groupBy("query_id", "doc_id").agg(F.first("embedding").alias("embedding"), F.first("vec").alias("vec"))
-    found = met.select("query_id", "doc_id", cosine_distance(F.col("embedding"), F.col("vec")).alias("distance")).where("distance is not null")
+    probes = [sum(1 << i for i in places) for n in range(flips + 1) for places in combinations(range(bits), n)]
+    indexed = signatures(vectors, "doc_id", "embedding", sets)
+    asked = signatures(queries, "query_id", "vec", sets).withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in probes])))
+    asked = asked.select("query_id", "table", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    met = indexed.join(asked, ["table", "bits"]).select("query_id", "doc_id").distinct()
+    met = met.join(vectors.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", "vec"), "query_id")
+    found = met.select("query_id", "doc_id", _distance(F.col("embedding"), F.col("vec"))).where("distance is not null")
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

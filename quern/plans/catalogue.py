@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import ids, text, vectors
+from quern.functions import ids, registry, serial, text, vectors
 from quern.operators import graph, groups, kv, mapreduce, tfidf, vector_store
+from quern.session import cut, shared_folder
+from quern.sources import pages
+from quern.sources.stores import KEY_VALUES, VECTORS, Store
 from quern.sources.tables import spread, stop_words, table
 from quern.streaming import streams
 
@@ -17,7 +21,7 @@ from . import oracle
 K = 10
 PATTERN = r"(?i)\bthe [a-z]+ion\b"
 NODES = [("127.0.0.1", 10000 + i) for i in range(5)]
-CRAWL = {"rounds": 4, "alpha": 0.001, "beta": 20}
+CRAWL = {"rounds": 4, "alpha": 0.001, "beta": 500}
 EPSILON_DIGITS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +73,7 @@ def mr_max_by_key(spark, d):
 @query
 def mr_group_values(spark, d):
     pairs = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
-    return mapreduce.group_values(pairs).select(F.col("key").alias("o_custkey"), F.col("values").alias("orderkeys"))
+    return mapreduce.group_segments(pairs).select(F.col("key").alias("o_custkey"), "segment", F.col("values").alias("orderkeys"))
 
 
 @query
@@ -87,10 +91,10 @@ def mr_reduce_side_join(spark, d):
 
 @query
 def mr_iterative_rounds(spark, d):
-    """Two rounds: lines per order, then orders per number of lines."""
+    """Three rounds of one job, count by key and go on with the count as key: lines per order, orders per number of lines, how often each of those."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
-    counted = mapreduce.rounds(rows, lambda df, i: df.groupBy("key").agg(F.count("*").alias("n")).select(F.col("n").alias("key") if i == 0 else "key", "n"), 1)
-    return counted.groupBy("key").agg(F.count("*").alias("n_orders")).select(F.col("key").alias("n_lines"), "n_orders")
+    counted = mapreduce.rounds(rows, lambda df, i: df.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(i + 1).alias("round"), F.col("n").alias("key"), F.col("key").alias("of")), 3)
+    return counted.select("round", F.col("of").alias("n_orders"), F.col("key").alias("times"))
 
 
 # ------------------------------------------------------------------ key-value tables
@@ -152,6 +156,54 @@ def kv_deleted_values(spark, d):
     return gone.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("n"))
 
 
+@query
+def kv_store_append(spark, d):
+    """Two appends to a stored table, then all values of each key in the order of writes."""
+    store = Store(spark, f"{shared_folder(spark)}/kv/{uuid.uuid4().hex}", KEY_VALUES).create()
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    store.append(events.where("seq % 2 = 0")).append(events.where("seq % 2 = 1"))
+    return kv.append_values(store.read()).select(F.col("key").cast("long").alias("user_id"), "values")
+
+
+@query
+def kv_memory_scan(spark, d):
+    """Keys and numbers of values of a table that is kept in memory; two scans share it."""
+    held = kv.in_memory(_events(spark, d, "event_type").select("key", "value"))
+    counts = held.groupBy("key").agg(F.count("*").alias("n"))
+    return kv.keys(held).join(counts, "key")
+
+
+@query
+def json_typed_roundtrip(spark, d):
+    """Numbers, a time, a list and a map as JSON and back, each with its type."""
+    events = table(spark, d, "events")
+    row = F.struct("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.lit(True).alias("known"), F.lit(None).cast("string").alias("nothing"), F.array("user_id", "event_id").alias("both"), F.create_map("event_type", "value").alias("by_type"))
+    return serial.roundtrip(events.select(row.alias("row")), "row").select(
+        "row.event_id", F.unix_micros("row.ts").alias("micros"), "row.value", "row.known", "row.nothing", F.get("row.both", F.lit(0)).alias("user_id"), F.element_at(F.map_values("row.by_type"), 1).alias("again")
+    )
+
+
+@query
+def mr_python(spark, d):
+    """A Python map that sums its batches, and a reduce by expression."""
+    orders = table(spark, d, "orders", "o_orderpriority")
+    pairs = mapreduce.emit_with(orders, lambda b: b.groupby("o_orderpriority").size().rename("value").rename_axis("key").reset_index(), "key string, value long")
+    return mapreduce.reduce_pairs(pairs, F.sum("value").alias("n")).select(F.col("key").alias("o_orderpriority"), "n")
+
+
+@query
+def udf_registered(spark, d):
+    """A Python function called by its name."""
+    registry.put(spark, "vowels", lambda s: s.str.count("[aeiou]").astype("int64"), "long")
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.expr("vowels(p_name)").alias("n"))
+
+
+@query
+def leading_ints(spark, d):
+    """The whole number that the last nine characters of a name start with, its zeros and sign read as such."""
+    return table(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", text.leading_int(F.concat(F.lit(" -"), F.right("c_name", F.lit(9)), F.lit("abc"))).alias("n"))
+
+
 @query
 def json_roundtrip(spark, d):
     """The value of ``k`` in the JSON text, by parsing and writing it once more."""
@@ -202,8 +254,44 @@ def consistent_hash_owner(spark, d):
 
 @query
 def hash_partition_counts(spark, d):
-    """Keys per node by rendezvous placement, which is even for any number of nodes."""
-    return rendezvous_owner(spark, d).groupBy("nid").agg(F.count("*").alias("n"))
+    """Keys per node by the key's number modulo the nodes."""
+    return ids.naive_owner(_customers(spark, d), _nodes(spark)).groupBy("nid").agg(F.count("*").alias("n"))
+
+
+@query
+def naive_owner(spark, d):
+    return ids.naive_owner(_customers(spark, d), _nodes(spark))
+
+
+@query
+def node_numbers(spark, d):
+    """Where the nodes stand on a ring of length 1."""
+    return _nodes(spark).select("port", F.round(ids.hex_number(F.col("nid")) / 2.0**256, 9).alias("place"))
+
+
+def _regions(spark, d) -> DataFrame:
+    """Nations as members of the groups that their regions are."""
+    nations, regions = table(spark, d, "nation"), table(spark, d, "region")
+    rows = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("r_name").alias("gid"), F.col("n_name").alias("sid"), F.lit("127.0.0.1").alias("ip"), F.col("n_nationkey").alias("port"))
+
+
+@query
+def group_edit(spark, d):
+    """Group EUROPE gets all nations of ASIA and loses one of its own; group AFRICA goes."""
+    g = _regions(spark, d)
+    own = g.where("gid = 'EUROPE'").agg(F.min("sid")).first()[0] or ""
+    more = groups.add(g, "EUROPE", groups.members(g, "ASIA").drop("gid"))
+    return groups.drop(groups.remove(more, "EUROPE", own), "AFRICA").select("gid", "sid")
+
+
+@query
+def group_gather(spark, d):
+    """What a call on every nation would give by region: the number of customers, or an error where the nation's number divides by 7."""
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("port")).agg(F.count("*").alias("value"))
+    calls = _regions(spark, d).join(n, "port", "left").withColumn("error", F.when(F.col("port") % 7 == 0, "down"))
+    found = groups.gather(calls.withColumn("value", F.coalesce("value", F.lit(0))))
+    return found.select("gid", F.array_sort(F.map_keys("oks")).alias("oks"), F.array_sort(F.map_keys("errors")).alias("errors"), F.aggregate(F.map_values("oks"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 # ------------------------------------------------------------------ text statistics
@@ -221,9 +309,25 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings", "vec_id", "embedding")
 
 
+#: Tables that are made once for a folder and a session, as building an index is not part of asking it.
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        _stored[key] = cut(make())
+    return _stored[key]
+
+
+def _freq(spark, d) -> DataFrame:
+    """Every document tokenised once: its words with their counts by section, without stop words."""
+    return _kept(spark, d, "freq", lambda: tfidf.section_freq(tfidf.without_stop_words(tfidf.section_words(_sectioned(spark, d)), stop_words(spark))))
+
+
 def _lexicon(spark, d) -> DataFrame:
-    words = tfidf.without_stop_words(tfidf.distinct_words(_docs(spark, d)), stop_words(spark))
-    return tfidf.lexicon_from(words, _vectors(spark, d))
+    words = _freq(spark, d).where("in_body").select("doc_id", "word")
+    return _kept(spark, d, "lexicon", lambda: tfidf.lexicon_from(words, _vectors(spark, d)))
 
 
 @query
@@ -262,12 +366,9 @@ def _sectioned(spark, d) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("title"), text.sections(F.col("text"), "\n").alias("s")).select("doc_id", "title", "s.intro", "s.rest")
 
 
-def _weights(spark, d, lexicon: DataFrame) -> DataFrame:
+def _weights(spark, d) -> DataFrame:
     total = _docs(spark, d).agg(F.count_distinct("doc_id").alias("total"))
-    docs = _sectioned(spark, d)
-    # The lexicon has no stop words, so it drops them too.
-    freq = tfidf.section_freq(tfidf.in_vocabulary(tfidf.section_words(docs), lexicon))
-    return tfidf.weights(freq, total, tfidf.in_vocabulary(tfidf.section_doc_freq(docs), lexicon))
+    return _kept(spark, d, "weights", lambda: tfidf.weights(tfidf.in_vocabulary(_freq(spark, d), _lexicon(spark, d)), total))
 
 
 @query
@@ -275,7 +376,7 @@ def tfidf_weights(spark, d):
     """The five words of most weight in each document."""
     from pyspark.sql.window import Window
 
-    rows = _weights(spark, d, _lexicon(spark, d)).select("doc_id", "word", _rounded(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
+    rows = _weights(spark, d).select("doc_id", "word", _rounded(F.col("u") * F.col("last"), EPSILON_DIGITS).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "word"))
     return rows.withColumn("rank", rank).where("rank <= 5")
 
@@ -290,13 +391,14 @@ def tfidf_online(spark, d):
     return seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id").select("doc_id", "word", "n_docs", "df", _rounded(u, EPSILON_DIGITS).alias("weight"))
 
 
-def _document_vectors(spark, d, lexicon: DataFrame) -> DataFrame:
-    return tfidf.document_vectors(_weights(spark, d, lexicon), lexicon, _docs(spark, d))
+def _document_vectors(spark, d) -> DataFrame:
+    """The collection that texts are searched in."""
+    return _kept(spark, d, "collection", lambda: tfidf.document_vectors(_weights(spark, d), _lexicon(spark, d), _docs(spark, d)))
 
 
 @query
 def doc_embed_tfidf(spark, d):
-    return _document_vectors(spark, d, _lexicon(spark, d)).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
+    return _document_vectors(spark, d).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
 
 
 @query
@@ -304,29 +406,31 @@ def lexicon_load(spark, d):
     return _lexicon(spark, d).select("word", F.size("vec").cast("long").alias("dim"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", -1), 6).alias("last"))
 
 
-def _query_vector(spark, d, lexicon: DataFrame) -> DataFrame:
-    """The text of the first benchmark item is the query."""
-    items = table(spark, d, "benchmark", "item_id", "text")
-    asked = tfidf.words(items.where("item_id = 0").withColumnRenamed("item_id", "doc_id"))
-    return tfidf.query_vector(tfidf.without_stop_words(asked, stop_words(spark)), lexicon)
+def _query_vectors(spark, d, items: DataFrame) -> DataFrame:
+    """(query_id, vec) of texts (item_id, text)."""
+    asked = items.withColumnRenamed("item_id", "doc_id")
+    kept = tfidf.without_stop_words(tfidf.words(asked), stop_words(spark))
+    return tfidf.query_vectors(kept, _lexicon(spark, d), asked.select("doc_id")).withColumnRenamed("doc_id", "query_id")
 
 
 @query
 def query_embed(spark, d):
-    return _query_vector(spark, d, _lexicon(spark, d)).select(F.posexplode("vec").alias("i", "x")).select("i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
+    """The vector of every benchmark item as a query."""
+    found = _query_vectors(spark, d, table(spark, d, "benchmark", "item_id", "text"))
+    return found.select(F.col("query_id").alias("item_id"), F.posexplode("vec").alias("i", "x")).select("item_id", "i", _rounded(F.col("x"), EPSILON_DIGITS).alias("v"))
 
 
 @query
 def search_text(spark, d):
-    """From a text to the nearest documents."""
-    lexicon = _lexicon(spark, d)
-    found = vector_store.nearest(_document_vectors(spark, d, lexicon).withColumnRenamed("vec", "embedding"), _query_vector(spark, d, lexicon), K)
-    return found.select("rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
+    """From texts, the benchmark items whose id is divisible by 50, to the nearest documents of the stored collection."""
+    asked = _query_vectors(spark, d, table(spark, d, "benchmark", "item_id", "text").where("item_id % 50 = 0"))
+    found = vector_store.nearest_batch(_document_vectors(spark, d).withColumnRenamed("vec", "embedding"), asked, K)
+    return found.select("query_id", "rank", "doc_id", "distance")
 
 
 @query
 def inverted_index(spark, d):
-    return graph.inverted_index(tfidf.words(_docs(spark, d)))
+    return graph.inverted_index_segments(tfidf.distinct_words(_docs(spark, d)))
 
 
 @query
@@ -348,7 +452,19 @@ def vec_norm(spark, d):
 
 @query
 def vec_counts_by_partition(spark, d):
-    return _collection(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    """Vectors by the node that owns them."""
+    keys = _collection(spark, d).select(F.col("doc_id").cast("string").alias("key"))
+    return ids.naive_owner(keys, _nodes(spark)).groupBy("nid").agg(F.count("*").alias("n"))
+
+
+@query
+def vec_store_latest(spark, d):
+    """A stored collection after two appends: the last write of each id."""
+    store = Store(spark, f"{shared_folder(spark)}/vectors/{uuid.uuid4().hex}", VECTORS).create()
+    c = _collection(spark, d)
+    store.append(c.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(-1).cast("long").alias("seq")))
+    store.append(_updates(c).withColumn("embedding", F.col("embedding").cast("array<double>")))
+    return store.latest("doc_id", "embedding").select("doc_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
 @query
@@ -403,24 +519,24 @@ def vec_quantised(spark, d):
 # ------------------------------------------------------------------ pages and links
 
 
-def _pages(spark, d) -> DataFrame:
+def _html(spark, d) -> DataFrame:
     return table(spark, d, "pages", "page_id", "url", "html")
 
 
 def _links(spark, d) -> DataFrame:
-    return _pages(spark, d).select("page_id", F.explode(text.attribute_links(F.col("html"))).alias("link"))
+    return _html(spark, d).select("page_id", F.explode(text.attribute_links(F.col("html"))).alias("link"))
 
 
 @query
 def page_extract(spark, d):
-    pages = _pages(spark, d).where("html is not null and html <> ''")
-    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), F.size(text.attribute_links(F.col("html"))).cast("long").alias("n_links"))
+    rows = _html(spark, d).where("html is not null and html <> ''")
+    return rows.select("page_id", text.html_title(F.col("html")).alias("title"), F.size(text.attribute_links(F.col("html"))).cast("long").alias("n_links"))
 
 
 @query
 def url_parts(spark, d):
-    pages = _pages(spark, d)
-    return pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.element_at(F.split(F.parse_url("url", F.lit("PATH")), "/"), 2).alias("service"))
+    rows = _html(spark, d)
+    return rows.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"), F.element_at(F.split(F.parse_url("url", F.lit("PATH")), "/"), 2).alias("service"))
 
 
 @query
@@ -446,14 +562,14 @@ def title_filter(spark, d):
 
 @query
 def crawl_reduce_links(spark, d):
-    pages = _pages(spark, d).select(F.col("page_id").alias("key"), text.attribute_links(F.col("html")).alias("links"))
-    flat = pages.groupBy("key").agg(F.flatten(F.collect_list("links")).alias("links"))
+    rows = _html(spark, d).select(F.col("page_id").alias("key"), text.attribute_links(F.col("html")).alias("links"))
+    flat = rows.groupBy("key").agg(F.flatten(F.collect_list("links")).alias("links"))
     return flat.where(F.size("links") > 0).select(F.col("key").alias("page_id"), F.sort_array("links").alias("links"))
 
 
 @query
 def reverse_links(spark, d):
-    return graph.reverse_links(_links(spark, d).select(F.col("page_id").alias("src"), F.col("link").alias("dst"))).select(F.col("dst").alias("link"), F.col("sources").alias("page_ids"))
+    return graph.in_segments(_links(spark, d), "link", "page_id", "page_ids")
 
 
 @query
@@ -502,6 +618,27 @@ def crawl_stats(spark, d):
     return graph.crawl_stats(_crawl(spark, d))
 
 
+@query
+def crawl_stats_saved(spark, d):
+    """The statistics as a crawl leaves them behind, in JSON."""
+    return graph.save_stats(graph.crawl_stats(_crawl(spark, d)), f"{shared_folder(spark)}/stats/{uuid.uuid4().hex}")
+
+
+@query
+def page_source_decode(spark, d):
+    """Documents in the form that a page source answers in, decoded."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    page = F.struct(F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("text").alias("extract"), F.array(F.struct(F.coalesce("source", F.lit("none")).alias("title")), F.struct(F.lit("Main").alias("title"))).alias("links"))
+    answer = F.to_json(F.struct(F.struct(F.create_map(F.col("doc_id").cast("string"), page).alias("pages")).alias("query")))
+    found = docs.select("doc_id", pages.first_page(answer).alias("p"))
+    return found.select("doc_id", "p.title", F.length("p.extract").cast("long").alias("n_chars"), "p.links")
+
+
+@query
+def url_build(spark, d):
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", pages.url_with("https://example.org/w/api.php", action="query", titles=F.col("p_name"), format="json").alias("url"))
+
+
 @query
 def set_union_distinct(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
@@ -510,8 +647,9 @@ def set_union_distinct(spark, d):
 
 @query
 def set_except(spark, d):
+    """Customers without an urgent order."""
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
-    return a.join(table(spark, d, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti").distinct()
+    return a.join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key")), "key", "left_anti").distinct()
 
 
 # ------------------------------------------------------------------ streams

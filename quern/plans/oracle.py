@@ -36,21 +36,25 @@ vsum AS (SELECT doc_id, dims.i AS i, sum(u * last / size * vec[dims.i + 1]) AS s
 dv AS (SELECT documents.doc_id, dims.i, CASE WHEN big.bw IS NULL THEN 0 WHEN big.bw <> 0 THEN s / big.bw END AS v
        FROM documents CROSS JOIN dims LEFT JOIN big ON big.doc_id = documents.doc_id
        LEFT JOIN vsum ON vsum.doc_id = documents.doc_id AND vsum.i = dims.i)"""
-_QUERY = f"""qtok AS (SELECT unnest({_TOKENS.format('text')}) AS word FROM benchmark WHERE item_id = 0),
-qf AS (SELECT word, count(*) AS n FROM qtok WHERE word IN (SELECT word FROM lex) AND word NOT IN (SELECT word FROM stop) GROUP BY word),
-qw AS (SELECT word, n, n / (SELECT sum(n) FROM qf) AS u, (SELECT sum(n) FROM qf) AS size FROM qf),
+_QUERY = f"""qtok AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS word FROM benchmark),
+qf AS (SELECT item_id, word, count(*) AS n FROM qtok WHERE word IN (SELECT word FROM lex) AND word NOT IN (SELECT word FROM stop) GROUP BY item_id, word),
+qs AS (SELECT item_id, sum(n) AS size, sum(n * n) AS squares FROM qf GROUP BY item_id),
 qdims AS (SELECT unnest(range(0, (SELECT max(len(vec)) FROM lex))) AS i),
-qv AS (SELECT qdims.i, sum(u / size * vec[qdims.i + 1]) / (SELECT sum(n * u) FROM qw) AS v FROM qw JOIN lex USING (word), qdims GROUP BY qdims.i)"""
+qsum AS (SELECT item_id, qdims.i, sum(n / size / size * vec[qdims.i + 1]) / (any_value(squares) / any_value(size)) AS v FROM qf JOIN qs USING (item_id) JOIN lex USING (word), qdims GROUP BY item_id, qdims.i),
+qv AS (SELECT b.item_id, qdims.i, coalesce(qsum.v, 0) AS v FROM benchmark b CROSS JOIN qdims LEFT JOIN qsum ON qsum.item_id = b.item_id AND qsum.i = qdims.i)"""
 _LINKS = "links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages)"
 _NODES = "nodes AS (SELECT '127.0.0.1' AS ip, 10000 + i AS port, sha256('{\"ip\":\"127.0.0.1\",\"port\":' || (10000 + i) || '}') AS nid FROM range(5) t(i))"
 _RENDEZVOUS = f"""{_NODES}, owner AS (
   SELECT c_name AS key, max_by(nid, sha256('"' || sha256('"' || c_name || '"') || nid || '"')) AS nid FROM customer, nodes GROUP BY c_name)"""
+_NAIVE = _NODES.replace("{", "{{").replace("}", "}}") + """, ring AS (SELECT list(nid ORDER BY nid) AS nids FROM nodes),
+placed AS (SELECT key, nids[list_reduce(list_prepend(0, list_transform(range(1, 65), lambda i: instr('0123456789abcdef', substr(kid, i::INT, 1)) - 1)), lambda a, b: (a * 16 + b) % 5) + 1] AS nid
+  FROM (SELECT {0}::VARCHAR AS key, sha256('"' || {0} || '"') AS kid FROM {1}), ring)"""
 _EDGES = """pe AS (SELECT DISTINCT 'P' || l_partkey AS p, 'S' || l_suppkey AS s FROM lineitem),
 edges AS (SELECT p AS src, s AS dst FROM pe UNION ALL SELECT s, p FROM pe)"""
 _PLAIN = r"NOT regexp_matches({}, '[^\w\s]')"
 
 
-def _crawl(rounds: int = 4, beta: int = 20, per_mille: int = 1) -> str:
+def _crawl(rounds: int = 4, beta: int = 500, per_mille: int = 1) -> str:
     """The rounds written out; a round's frontier is what the last one extracted and nobody visited."""
     out = [f"{_EDGES}, f1 AS (SELECT 'P' || min(l_partkey) AS title FROM lineitem)"]
     for i in range(1, rounds + 1):
@@ -66,16 +70,17 @@ def _crawl(rounds: int = 4, beta: int = 20, per_mille: int = 1) -> str:
 
 
 def statements() -> dict[str, str]:
-    top = "SELECT row_number() OVER (ORDER BY distance, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance"
+    top = "SELECT row_number() OVER (ORDER BY round(distance, 6) + 0, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance"
     near = "SELECT v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0"
     return {
         "tokenize_words": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_words FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
         "mr_wordcount": r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word",
         "mr_max_by_key": "SELECT year(l_shipdate) AS ship_year, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1",
-        "mr_group_values": "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS orderkeys FROM orders GROUP BY o_custkey",
+        "mr_group_values": "SELECT o_custkey, o_orderkey // 1000000 AS segment, list(o_orderkey ORDER BY o_orderkey) AS orderkeys FROM orders GROUP BY ALL",
         "mr_combiner_sum": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1, 2",
         "mr_reduce_side_join": "SELECT o_orderkey, o_orderpriority, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
-        "mr_iterative_rounds": "SELECT n AS n_lines, count(*) AS n_orders FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY n",
+        "mr_iterative_rounds": """WITH a AS (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey), b AS (SELECT count(*) AS k FROM a GROUP BY k)
+            SELECT 3 AS round, k AS n_orders, count(*) AS times FROM b GROUP BY k""",
         "kv_scan_keys": "SELECT DISTINCT event_type AS key FROM events",
         "kv_scan_values": "SELECT user_id, count(*) AS n_values, round(max(value), 6) AS largest FROM events GROUP BY user_id",
         "kv_point_get": "SELECT user_id, list(value ORDER BY event_id) AS values FROM events WHERE user_id = 7 GROUP BY user_id",
@@ -91,7 +96,23 @@ def statements() -> dict[str, str]:
         "rendezvous_owner": f"WITH {_RENDEZVOUS} SELECT key, nid FROM owner",
         "consistent_hash_owner": f"""WITH {_NODES}, k AS (SELECT c_name AS key, sha256('"' || c_name || '"') AS kid FROM customer)
             SELECT key, coalesce((SELECT min(nid) FROM nodes WHERE nid >= kid), (SELECT min(nid) FROM nodes)) AS nid FROM k""",
-        "hash_partition_counts": f"WITH {_RENDEZVOUS} SELECT nid, count(*) AS n FROM owner GROUP BY nid",
+        "hash_partition_counts": f"WITH {_NAIVE.format('c_name', 'customer')} SELECT nid, count(*) AS n FROM placed GROUP BY nid",
+        "naive_owner": f"WITH {_NAIVE.format('c_name', 'customer')} SELECT key, nid FROM placed",
+        "node_numbers": f"WITH {_NODES} SELECT port, round(list_reduce(list_transform(range(1, 65), lambda i: (instr('0123456789abcdef', substr(nid, i::INT, 1)) - 1)::DOUBLE), lambda a, b: a * 16 + b) / pow(2.0::DOUBLE, 256), 9) AS place FROM nodes",
+        "group_edit": """WITH g AS (SELECT r_name AS gid, n_name AS sid FROM nation JOIN region ON n_regionkey = r_regionkey),
+            asia AS (SELECT sid FROM g WHERE gid = 'ASIA'), own AS (SELECT min(sid) AS sid FROM g WHERE gid = 'EUROPE')
+            SELECT gid, sid FROM (SELECT * FROM g UNION SELECT 'EUROPE', sid FROM asia UNION SELECT 'all', sid FROM asia)
+            WHERE gid <> 'AFRICA' AND NOT (gid = 'EUROPE' AND sid = (SELECT sid FROM own))""",
+        "group_gather": """WITH c AS (SELECT r_name AS gid, n_name AS sid, n_nationkey % 7 = 0 AS bad, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS value FROM nation JOIN region ON n_regionkey = r_regionkey)
+            SELECT gid, coalesce(list(sid ORDER BY sid) FILTER (NOT bad), []) AS oks, coalesce(list(sid ORDER BY sid) FILTER (bad), []) AS errors, coalesce(sum(value) FILTER (NOT bad), 0)::BIGINT AS total FROM c GROUP BY gid""",
+        "kv_store_append": "SELECT user_id, list(event_type ORDER BY event_id) AS values FROM events GROUP BY user_id",
+        "kv_memory_scan": "SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type",
+        "json_typed_roundtrip": "SELECT event_id, epoch_us(ts) AS micros, value, true AS known, NULL::VARCHAR AS nothing, user_id, value AS again FROM events",
+        "mr_python": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",
+        "udf_registered": "SELECT p_partkey, length(regexp_replace(p_name, '[^aeiou]', '', 'g')) AS n FROM part",
+        "leading_ints": "SELECT c_custkey, -(right(c_name, 9)::INT) AS n FROM customer",
+        "page_source_decode": "SELECT doc_id, 'Doc ' || doc_id AS title, length(text) AS n_chars, [coalesce(source, 'none'), 'Main'] AS links FROM documents",
+        "url_build": "SELECT p_partkey, 'https://example.org/w/api.php?action=query&titles=' || replace(url_encode(p_name), '%20', '+') || '&format=json' AS url FROM part",
         "section_split": "SELECT doc_id, length(p[1]) AS intro_chars, length(array_to_string(p[2:], ' ')) AS rest_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)",
         "stopword_filter": f"WITH {_KEPT} SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id",
         "vocab_semijoin": f"WITH {_LEX} SELECT doc_id, count(*) AS n FROM kept WHERE word IN (SELECT word FROM lex) GROUP BY doc_id",
@@ -106,18 +127,22 @@ def statements() -> dict[str, str]:
             SELECT doc_id, word, n_docs, df, round(n / size * ln(n_docs / (1 + df)), 9) + 0 AS weight FROM r JOIN s USING (doc_id) JOIN o USING (doc_id)""",
         "doc_embed_tfidf": f"WITH {_DOCVEC} SELECT doc_id, i, round(v, 9) + 0 AS v FROM dv",
         "lexicon_load": f"WITH {_LEX} SELECT word, len(vec) AS dim, round(vec[1], 6) AS first, round(vec[-1], 6) AS last FROM lex",
-        "query_embed": f"WITH {_LEX}, {_QUERY} SELECT i, round(v, 9) + 0 AS v FROM qv",
+        "query_embed": f"WITH {_LEX}, {_QUERY} SELECT item_id, i, round(v, 9) + 0 AS v FROM qv",
         "search_text": f"""WITH {_DOCVEC}, {_QUERY},
-            near AS (SELECT doc_id, 1 - list_cosine_similarity(list(dv.v ORDER BY i), list(qv.v ORDER BY i)) AS distance FROM dv JOIN qv USING (i) GROUP BY doc_id HAVING sum(dv.v * dv.v) > 0)
-            {top} FROM near ORDER BY rank LIMIT 10""",
-        "inverted_index": f"WITH {_TOK} SELECT word, list(doc_id ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT word, doc_id FROM tok) GROUP BY word",
+            near AS (SELECT item_id AS query_id, doc_id, 1 - list_cosine_similarity(list(dv.v ORDER BY i), list(qv.v ORDER BY i)) AS distance FROM dv JOIN qv USING (i)
+              WHERE item_id % 50 = 0 GROUP BY item_id, doc_id HAVING sum(dv.v * dv.v) > 0 AND sum(qv.v * qv.v) > 0)
+            SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance FROM near) WHERE rank <= 10""",
+        "inverted_index": f"WITH {_TOK} SELECT word, doc_id // 1000000 AS segment, list(doc_id ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT word, doc_id FROM tok) GROUP BY ALL",
         "grep_regex": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bthe [a-z]+ion\b')",
         "vec_norm": "SELECT vec_id AS doc_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
-        "vec_counts_by_partition": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
+        "vec_counts_by_partition": f"WITH {_NAIVE.format('vec_id::VARCHAR', 'embeddings')} SELECT nid, count(*) AS n FROM placed GROUP BY nid",
+        "vec_store_latest": """WITH u AS (SELECT vec_id + 1 AS doc_id, list_reverse(embedding) AS embedding FROM embeddings)
+            SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM u
+            UNION ALL SELECT vec_id, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM u)""",
         "vec_topk_cosine": f"{top} FROM ({near}) ORDER BY rank LIMIT 10",
         "vec_topk_filtered": f"{top} FROM ({near} AND v.label = 1) ORDER BY rank LIMIT 10",
         "vec_topk_batch": """SELECT query_id, rank, doc_id, round(distance, 6) + 0 AS distance FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
         "vec_upsert_latest": """WITH u AS (SELECT vec_id + 1 AS doc_id, list_reverse(embedding) AS embedding FROM embeddings)
@@ -132,14 +157,15 @@ def statements() -> dict[str, str]:
         "link_filter": f"WITH {_LINKS} SELECT DISTINCT page_id, title FROM (SELECT page_id, regexp_replace(link, '^/', '') AS title FROM links) WHERE {_PLAIN.format('title')}",
         "title_filter": f"SELECT page_id, title FROM (SELECT page_id, regexp_extract(html, '<title>((?s:.*?))</title>', 1) AS title FROM pages WHERE html <> '') WHERE {_PLAIN.format('title')}",
         "crawl_reduce_links": f"WITH {_LINKS} SELECT page_id, list(link ORDER BY link) AS links FROM links GROUP BY page_id",
-        "reverse_links": f"WITH {_LINKS} SELECT link, list(page_id ORDER BY page_id) AS page_ids FROM (SELECT DISTINCT page_id, link FROM links) GROUP BY link",
+        "reverse_links": f"WITH {_LINKS} SELECT link, page_id // 1000000 AS segment, list(page_id ORDER BY page_id) AS page_ids FROM (SELECT DISTINCT page_id, link FROM links) GROUP BY ALL",
         "link_two_hop": "SELECT a.l_suppkey, count(DISTINCT b.l_suppkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey GROUP BY a.l_suppkey",
         "frontier_antijoin": f"WITH {_EDGES} SELECT DISTINCT dst AS title FROM edges WHERE dst LIKE 'P%' AND dst NOT IN (SELECT dst FROM edges WHERE src = 'S1')",
         "frontier_prune": "SELECT title FROM (SELECT 'P' || p_partkey AS title, row_number() OVER (ORDER BY sha256('P' || p_partkey), p_partkey) AS r, count(*) OVER () AS n FROM part) WHERE r <= greatest(20, n * 5 // 100)",
         "crawl_bfs": f"WITH {_crawl()} SELECT round, title FROM fetched",
         "crawl_stats": f"WITH {_crawl()} SELECT (SELECT count(*) FROM fetched) AS n_fetched, (SELECT count(DISTINCT title) FROM extracted) AS n_pages, (SELECT max(round) FROM fetched) AS rounds",
+        "crawl_stats_saved": f"WITH {_crawl()} SELECT (SELECT count(*) FROM fetched) AS n_fetched, (SELECT count(DISTINCT title) FROM extracted) AS n_pages, (SELECT max(round) FROM fetched) AS rounds",
         "set_union_distinct": "SELECT c_custkey AS key FROM customer UNION SELECT o_custkey FROM orders",
-        "set_except": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
+        "set_except": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
         "stream_upsert": "SELECT vec_id AS doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",
         "stream_dedupe": "SELECT DISTINCT user_id FROM events",
         "stream_doc_freq": f"WITH {_TOK} SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY word",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import tokens
 from quern.operators.vector_store import upsert
 from quern.session import shared_folder
+from quern.sources.stores import folder_names, remove
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -32,30 +33,63 @@ def run_to_end(stream: DataFrame, batch: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, folder: str | None = None) -> DataFrame:
+def _finished(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the tables ``n=...`` in a folder that were written to their end."""
+    names = [x for x in folder_names(spark, folder) if x.startswith("n=")]
+    return sorted(int(x[2:]) for x in names if "_SUCCESS" in folder_names(spark, f"{folder}/{x}"))
+
+
+def read_collection(spark: SparkSession, root: str) -> DataFrame | None:
+    """(doc_id, embedding), the latest of each id: the last flush, and the writes that wait for the next one; None if nothing was written."""
+    flushed = _finished(spark, f"{root}/flushed")
+    last = flushed[-1] if flushed else -1
+    waiting = [f"{root}/buffer/n={i}" for i in _finished(spark, f"{root}/buffer") if i > last]
+    base = spark.read.parquet(f"{root}/flushed/n={last}") if flushed else None
+    if not waiting:
+        return base
+    writes = spark.read.parquet(*waiting)
+    return upsert(writes.select("doc_id", "embedding").limit(0) if base is None else base, writes)
+
+
+def upsert_stream(stream: DataFrame, folder: str | None = None, checkpoint: str | None = None, flush_at: int = 3000) -> DataFrame:
     """Vectors (doc_id, embedding, seq) into a collection that keeps the latest of each id.
 
-    Each batch writes a new version of the collection under its batch number, so a batch that is run
-    again writes the same folder once more.
+    A batch is written to a buffer under its number, so a batch that is run again writes the same folder once more.
+    When ``flush_at`` rows or more wait there, and at least as many as the collection has, they are merged
+    into its next version and older files go; so a row is rewritten about as often as the collection doubles.
+    All that a restart needs to know is in the folder and the checkpoint.
     """
     spark = stream.sparkSession
     root = folder or f"{shared_folder(spark)}/collection/{uuid.uuid4().hex}"
-    last: list[str] = []
 
     def batch(rows: DataFrame, i: int) -> None:
-        old = spark.read.parquet(last[-1]) if last else rows.select("doc_id", "embedding").limit(0)
-        upsert(old, rows).write.mode("overwrite").parquet(f"{root}/v{i}")
-        last.append(f"{root}/v{i}")
-
-    run_to_end(stream, batch)
-    return spark.read.parquet(last[-1]) if last else spark.createDataFrame([], "doc_id long, embedding array<float>")
+        rows.select("doc_id", "embedding", "seq").write.mode("overwrite").parquet(f"{root}/buffer/n={i}")
+        flushed = [n for n in _finished(spark, f"{root}/flushed") if n < i]
+        last = flushed[-1] if flushed else -1
+        waiting = [n for n in _finished(spark, f"{root}/buffer") if last < n <= i]
+        many = spark.read.parquet(*[f"{root}/buffer/n={n}" for n in waiting]).count()
+        if many < flush_at or flushed and many < spark.read.parquet(f"{root}/flushed/n={last}").count():
+            return
+        merged = read_collection(spark, root)
+        if i not in _finished(spark, f"{root}/flushed"):
+            merged.write.mode("overwrite").parquet(f"{root}/flushed/n={i}")
+        for n in waiting:
+            remove(spark, f"{root}/buffer/n={n}")
+        for n in flushed:
+            remove(spark, f"{root}/flushed/n={n}")
+
+    run_to_end(stream, batch, checkpoint)
+    found = read_collection(spark, root)
+    return spark.createDataFrame([], stream.select("doc_id", "embedding").schema) if found is None else found
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives, as a table; in update mode a row for each change."""
+    """All rows that a stream gives, as a table; in update mode a row for each change.  No batch, no rows."""
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/rows/{uuid.uuid4().hex}"
     run_to_end(stream, lambda rows, i: rows.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/b={i}"), mode=mode)
+    if not folder_names(spark, root):
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
     return spark.read.parquet(root).drop("b")
 
 

@@ -1,6 +1,7 @@
 """Crawl rounds, node groups and streams."""
 
 from quern.operators import graph, groups
+from quern.sources import stores
 from quern.streaming import streams
 
 EDGES = [("A", "B"), ("A", "C"), ("B", "A"), ("B", "D"), ("C", "D"), ("D", "E")]
@@ -58,6 +59,56 @@ def test_stream_upsert_over_batches(spark, tmp_path):
     assert {r.doc_id: r.embedding for r in got.collect()} == {"a": [3.0], "b": [2.0]}
 
 
+def put(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id string, embedding array<double>, seq long").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_stream_upsert_goes_on_after_a_restart(spark, tmp_path):
+    """Three batches in two runs with one checkpoint; a flush after each one, or never."""
+    for flush_at in (1, 3000):
+        source, root, checkpoint = (str(tmp_path / f"{x}{flush_at}") for x in ("in", "kept", "checkpoint"))
+        put(spark, source, [("a", [1.0], 1), ("b", [2.0], 2)])
+        put(spark, source, [("a", [3.0], 3)])
+        streams.upsert_stream(streams.stream_table(spark, source), root, checkpoint, flush_at)
+        put(spark, source, [("c", [4.0], 4), ("b", [5.0], 5)])
+        got = streams.upsert_stream(streams.stream_table(spark, source), root, checkpoint, flush_at)
+        assert {r.doc_id: r.embedding for r in got.collect()} == {"a": [3.0], "b": [5.0], "c": [4.0]}
+        again = streams.upsert_stream(streams.stream_table(spark, source), root, checkpoint, flush_at)
+        assert again.count() == 3
+        assert len(stores.folder_names(spark, f"{root}/flushed")) == (1 if flush_at == 1 else 0)
+
+
+def test_streams_without_a_batch(spark, tmp_path):
+    put(spark, str(tmp_path / "in"), [("a", [1.0], 1)])
+    stream = streams.stream_table(spark, str(tmp_path / "in")).where("false")
+    assert streams.collected(stream).count() == 0
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("doc_id string, embedding array<double>, seq long").parquet(str(tmp_path / "none"))
+    assert streams.collected(empty).count() == 0 and streams.upsert_stream(empty).count() == 0
+
+
+def test_stores(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 1, "x"), ("k", 2, "y")], stores.KEY_VALUES)
+    store = stores.Store(spark, str(tmp_path / "s"), stores.KEY_VALUES).create()
+    assert store.read().count() == 0
+    assert store.append(rows).append(rows.where("seq = 2").withColumn("seq", rows.seq + 1)).create().read().count() == 3
+    assert store.latest("key", "value").collect() == [("k", "y")]
+    assert store.reset().read().count() == 0 and store.append(rows).read().count() == 2
+
+
+def test_pages_and_registry(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import registry
+    from quern.sources import pages
+
+    answers = ['{"query":{"pages":{"7":{"title":"A b","extract":"text","links":[{"ns":0,"title":"C"},{"title":"D"}]}}}}', '{"query":{"pages":{"-1":{"title":"Gone"}}}}', "no json", None]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in answers], "x string").select(pages.first_page(F.col("x")).alias("p")).collect()]
+    assert (got[0].title, got[0].extract, got[0].links) == ("A b", "text", ["C", "D"]) and got[1].links == [] and got[2] is None and got[3] is None
+    registry.put(spark, "twice", lambda s: s * 2, "long")
+    assert registry.has(spark, "twice") and spark.range(3).selectExpr("twice(id) as x").agg({"x": "sum"}).first()[0] == 6
+
+
 def test_stream_sees_each_key_once(spark, tmp_path):
     for _ in range(2):
         spark.createDataFrame([("x",), ("y",)], "title string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

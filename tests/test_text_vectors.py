@@ -1,5 +1,6 @@
 """Tokens, weights and vectors against values worked out by hand."""
 
+import hashlib
 import math
 import random
 
@@ -118,7 +119,22 @@ def test_placement_by_hand(spark):
     nodes = nodes.withColumn("nid", ids.node_id(F.col("ip"), F.col("port")))
     nid = {r.port: r.nid for r in nodes.collect()}
     assert [nid[p][:8] for p in (10000, 10001, 10002)] == ["8df6d087", "919d3f2a", "8970c410"]
-    keys = spark.createDataFrame([("jcarb",)], "key string")
-    assert keys.select(ids.key_id(F.col("key")).alias("k")).first().k.startswith("6972ac82")
-    assert ids.consistent_owner(keys, nodes).first().nid == nid[10002]
-    assert ids.rendezvous_owner(keys, nodes).first().nid == nid[10002]
+    keys = spark.createDataFrame([(f"key{i}",) for i in range(30)], "key string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    kid = {f"key{i}": sha(f'"key{i}"') for i in range(30)}
+    ring = sorted(nid.values())
+    assert {r.key: r.k for r in keys.select("key", ids.key_id(F.col("key")).alias("k")).collect()} == kid
+    assert {r.key: r.nid for r in ids.consistent_owner(keys, nodes).collect()} == {k: min((n for n in ring if n >= x), default=ring[0]) for k, x in kid.items()}
+    assert {r.key: r.nid for r in ids.rendezvous_owner(keys, nodes).collect()} == {k: max(ring, key=lambda n: sha(f'"{x}{n}"')) for k, x in kid.items()}
+    assert {r.key: r.nid for r in ids.naive_owner(keys, nodes).collect()} == {k: ring[int(x, 16) % 3] for k, x in kid.items()}
+
+
+def test_equal_distances_go_by_id(spark):
+    """Sums in another order differ in their last bits, which mustn't order anything."""
+    c = spark.createDataFrame([(i, [0.1, 0.2, 0.3] if i % 2 else [0.3, 0.2, 0.1]) for i in range(9, 0, -1)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 1.0, 1.0])], "query_id long, vec array<double>")
+    assert [r.doc_id for r in vector_store.nearest(c, q, 9).orderBy("rank").collect()] == list(range(1, 10))
+    for size in (64 << 20, 600):
+        many = spark.createDataFrame([(i, [1.0, 1.0, 1.0 + i]) for i in range(20)], "query_id long, vec array<double>")
+        got = vector_store.nearest_batch(c, many, 3, block=4, block_bytes=size)
+        assert got.count() == 60 and [r.doc_id for r in got.where("query_id = 0").orderBy("rank").collect()] == [1, 2, 3]
