@@ -424,7 +424,8 @@ def query_embed(spark, d):
 def search_text(spark, d):
     """From texts, the benchmark items whose id is divisible by 50, to the nearest documents of the stored collection."""
     asked = _query_vectors(spark, d, table(spark, d, "benchmark", "item_id", "text").where("item_id % 50 = 0"))
-    found = vector_store.nearest_batch(_document_vectors(spark, d).withColumnRenamed("vec", "embedding"), asked, K)
+    # The search goes over the queries twice, to size its blocks and to send them out.
+    found = vector_store.nearest_batch(_document_vectors(spark, d).withColumnRenamed("vec", "embedding"), cut(asked), K)
     return found.select("query_id", "rank", "doc_id", "distance")
 
 
