@@ -135,6 +135,33 @@ SELECT page_id, payload_bytes,
 FROM v
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+#: Every prefix as a list; a node's subtree are the nodes whose smallest member passes through it.
+OP12 = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS b, xor({_CRC}, 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+led AS (SELECT convs.c, i, role, text FROM convs JOIN t ON t.c = b AND i < h),
+heads AS (SELECT convs.c, h, count(led.c) AS nb FROM convs LEFT JOIN led USING (c) GROUP BY ALL),
+seq AS (SELECT c, i + 1 AS d, role, text FROM led UNION ALL SELECT c, nb + i - h + 1, role, text FROM t JOIN heads USING (c) WHERE i >= h),
+pre AS (SELECT c, d, length(text) AS chars, list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY d) AS p FROM seq UNION ALL SELECT c, 0, 0, [] FROM convs),
+m AS MATERIALIZED (SELECT c, d, chars, min(c) OVER (PARTITION BY d, p) AS rep, d = max(d) OVER (PARTITION BY c) AS ends FROM pre),
+node AS MATERIALIZED (SELECT rep, d, count(*) AS n, min(chars) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS e FROM m GROUP BY rep, d),
+up AS (SELECT node.rep, node.d, m.rep AS parent FROM node LEFT JOIN m ON m.c = node.rep AND m.d = node.d - 1),
+kids AS MATERIALIZED (SELECT parent AS rep, d - 1 AS d, count(*) AS k FROM up WHERE parent IS NOT NULL GROUP BY ALL),
+sums AS (SELECT a.rep, a.d, count(*) FILTER (k IS NULL) AS n_leaves, sum((n - 1) * y.chars) AS saved FROM node y LEFT JOIN kids USING (rep, d) JOIN m a ON a.c = y.rep AND a.d <= y.d GROUP BY ALL)
+SELECT rep AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(k, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, e AS ends_sha256
+FROM node JOIN up USING (rep, d) JOIN sums USING (rep, d) LEFT JOIN kids USING (rep, d)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pii": OP2, "op4_minhash_near_dedup": OP4, "op5_url_filters": OP5, "op9_chat_formatting": OP9, "op10_warc": OP10}
+    return {"op2_pii": OP2, "op4_minhash_near_dedup": OP4, "op5_url_filters": OP5, "op9_chat_formatting": OP9, "op10_warc": OP10, "op11_hard_negatives": OP11, "op12_prefix_trie": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dup, pii, token_scan, toxicity, url_filter, warc, winnow
+from . import chat_format, decontaminate, hard_negatives, mixing, near_dup, pii, prefix_trie, token_scan, toxicity, url_filter, vp_tree, warc, winnow
 from . import oracle as _oracle
 from .common import new_path, sha256_hex, table, written
 
@@ -101,6 +101,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label).withColumn("anchor", F.col("vec_id") % 50 == 0))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation starts with up to five turns of the first one of its hundred."""
+    conv = F.col("conv")
+    return prefix_trie.report(table(spark, sf_dir, "conversations"), base=conv - conv % 100, lead=F.crc32(conv.cast("string")) % 6, most=5)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return vp_tree.search(vp_tree.build(rows), asked, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # it imports this subpackage
 
@@ -116,6 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing_sources": op8_mixing_sources,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
