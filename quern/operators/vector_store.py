@@ -1,16 +1,11 @@
-"""Vector collections: upsert, exact and approximate cosine search.
+"""Vector collections: upsert, exact cosine search, quantisation; `cells` has the clustered index.
 
-A collection is a table (doc_id, embedding).  Exact search puts the queries, in blocks of
-checked size, into every task, keeps the k nearest per query and task there,
-and merges those; vectors themselves are never shuffled.  Distances are compared as they are
+A collection is a table (doc_id, embedding).  Distances are compared as they are
 given, rounded to `DIGITS` places, and ties go by id, so that noise in the last bits orders nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,10 +14,13 @@ from pyspark.sql.window import Window
 
 from quern.functions.vectors import as_double, cosine_distance, norm
 
+from .blocks import largest, matrix, meet
 
 DIGITS = 6
 #: Queries of at most so many bytes are sent to every task at once.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+#: Beyond it, rows and queries of a block.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def _distance(*args, **kwargs) -> Column:
@@ -46,68 +44,50 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "doc_id")))  # k rows
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, rank, doc_id, distance) for every query (query_id, vec).
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank, doc_id, distance) for every query (query_id, vec); vectors without length are left out.
 
-    Queries go in groups of ``block``: each is one array in one row, so a task meets
-    a few rows of queries, and its k nearest per query are kept as it reads.
-    More bytes of queries than ``block_bytes`` go over the vectors in several passes, each with its share of the queries.
+    Queries of at most ``block_bytes`` go to every task, which reads its vectors in batches, takes a product of matrices and keeps
+    the k nearest of each query as it reads.  More queries meet the vectors in blocks of bounded size.
     """
     n, size = queries.agg(F.count("*"), F.sum(8 * F.size("vec") + 64)).first()
-    passes = max(1, -(-(size or 0) // block_bytes))
-    if passes > 1:
-        mine = F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(passes))
-        return reduce(DataFrame.unionByName, [nearest_batch(vectors, queries.where(mine == i), k, block, 2 * block_bytes) for i in range(passes)])
-    packed = queries.select("query_id", as_double(F.col("vec")).alias("q")).withColumn("nq", norm(F.col("q")))
-    packed = packed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "nq")).alias("qs"))
-    v = vectors.select("doc_id", as_double(F.col("embedding")).alias("v")).withColumn("nv", norm(F.col("v")))
-    pairs = v.join(F.broadcast(packed)).select("doc_id", "v", "nv", F.inline("qs"))
-    found = pairs.select("query_id", "doc_id", _distance(F.col("v"), F.col("q"), F.col("nv"), F.col("nq"))).where("distance is not null")
+    q = queries.where("vec is not null").select("query_id", as_double(F.col("vec")).alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
+    v = vectors.where("embedding is not null").select("doc_id", as_double(F.col("embedding")).alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
+    schema = f"query_id {dict(q.dtypes)['query_id']}, doc_id {dict(v.dtypes)['doc_id']}, distance double"
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not (rows.num_rows and asked.num_rows):
+            return pa.table({"query_id": asked.column("query_id")[:0], "doc_id": rows.column("doc_id")[:0], "distance": pa.array([], pa.float64())})
+        rows, dim = rows.sort_by("doc_id"), len(asked.column("v")[0])
+        lengths = asked.column("n").to_numpy()[:, None] * rows.column("n").to_numpy()
+        d = np.round(1 - matrix(asked.column("v"), dim) @ matrix(rows.column("v"), dim).T / lengths, DIGITS) + 0.0
+        r, c = largest(-d, k, -np.inf)
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(r)), "doc_id": rows.column("doc_id").take(pa.array(c)), "distance": d[r, c]})
+
+    if (size or 0) > block_bytes:
+        found = meet(v, q, "doc_id", "query_id", compare, schema, BLOCK_ROWS, BLOCK_QUERIES, vectors.count(), n)
+    else:
+        asked = q.toArrow()  # of checked size
+
+        def run(batches):
+            kept = None
+            for b in batches:
+                new = compare(pa.Table.from_batches([b]), asked)
+                kept = new if kept is None else _nearer(pa.concat_tables([kept, new]), k)
+            if kept is not None:
+                yield from kept.combine_chunks().to_batches()
+
+        found = v.mapInArrow(run, schema)
     order = [F.col("distance"), F.col("doc_id")]
-    # Spark keeps the first k of each group in the task before it exchanges them.
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-
-
-def _planes(dim: int, bits: int, seed: int) -> list[list[float]]:
-    import random
-
-    rng = random.Random(seed)
-    return [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)]
-
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
 
-def signatures(rows: DataFrame, key: str, vec: str, sets: list[list[list[float]]]) -> DataFrame:
-    """(key, table, bits): for each set of hyperplanes one bit a plane, the side that the vector is on; in Arrow batches."""
-    planes = np.array(sets)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                v = np.array(b.column(1).to_pylist(), float)
-                bits = (np.einsum("nd,tpd->ntp", v, planes) >= 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
-                n, t = bits.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), t)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(bits.ravel())], names=[key, "table", "bits"])
-
-    return rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long"), as_double(F.col(vec))).mapInArrow(run, f"{key} long, table int, bits long")
-
-
-def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 12, flips: int = 1, seed: int = 5) -> DataFrame:
-    """(query_id, rank, doc_id, distance) by random hyperplanes: a vector meets the queries whose bits differ in at most ``flips`` places in some table.
-
-    Every vector's id is indexed in every table; candidates are joined on (table, bits), made distinct, and ranked exactly by
-    vectors that are joined to them afterwards.
-    """
-    first = vectors.select(F.size("embedding").alias("dim")).first()
-    sets = [_planes(first.dim if first else 0, bits, seed + t) for t in range(tables)]
-
-    probes = [sum(1 << i for i in places) for n in range(flips + 1) for places in combinations(range(bits), n)]
-    indexed = signatures(vectors, "doc_id", "embedding", sets)
-    asked = signatures(queries, "query_id", "vec", sets).withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in probes])))
-    asked = asked.select("query_id", "table", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    met = indexed.join(asked, ["table", "bits"]).select("query_id", "doc_id").distinct()
-    met = met.join(vectors.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", "vec"), "query_id")
-    found = met.select("query_id", "doc_id", _distance(F.col("embedding"), F.col("vec"))).where("distance is not null")
-    order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _nearer(found: pa.Table, k: int) -> pa.Table:
+    """The k nearest of each query."""
+    found = found.sort_by([("query_id", "ascending"), ("distance", "ascending"), ("doc_id", "ascending")])
+    codes = found.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    place = np.arange(len(codes)) - np.searchsorted(codes, codes)  # codes ascend, as queries are sorted
+    return found.filter(pa.array(place < k))
 
 
 def quantised(vectors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ids, registry, serial, text, vectors
-from quern.operators import graph, groups, kv, mapreduce, tfidf, vector_store
+from quern.operators import cells, graph, groups, kv, mapreduce, tfidf, vector_store
 from quern.session import cut, shared_folder
 from quern.sources import pages
 from quern.sources.stores import KEY_VALUES, VECTORS, Store
@@ -494,10 +494,20 @@ def vec_topk_batch(spark, d):
     return vector_store.nearest_batch(*_batch(spark, d), K).select("query_id", "rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
 
 
+def _clustered(spark, d) -> DataFrame:
+    """Twelve vectors around each of the collection: itself and versions turned towards its own components in other orders."""
+    turned = F.transform("embedding", lambda x, i: x.cast("double") + 0.02 * F.col("n") * F.get("embedding", (i * 5 + 3 * F.col("n")) % F.size("embedding")).cast("double"))
+    rows = _collection(spark, d).select("doc_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("n"))
+    return rows.select((F.col("doc_id") * 12 + F.col("n")).alias("doc_id"), turned.alias("embedding"))
+
+
 @query
-def vec_topk_lsh(spark, d):
-    """Approximate; tests measure its recall against `vec_topk_batch`."""
-    return vector_store.nearest_lsh(*_batch(spark, d), K).select("query_id", "rank", "doc_id", _rounded(F.col("distance"), 6).alias("distance"))
+def vec_topk_cells(spark, d):
+    """The ten nearest in a clustered table by its cells; queries are the rows whose id is divisible by 50."""
+    c = cut(_clustered(spark, d))
+    asked = c.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vec"))
+    index = cells.build(c, f"{shared_folder(spark)}/cells/{uuid.uuid4().hex}")
+    return cells.search(index, asked, K)
 
 
 def _updates(c: DataFrame) -> DataFrame:

@@ -145,6 +145,11 @@ def statements() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "vec_topk_cells": """WITH c AS MATERIALIZED (SELECT vec_id * 12 + n AS doc_id, list_transform(range(0, len(e)), lambda i: e[i + 1] + 0.02 * n * e[(i * 5 + 3 * n) % len(e) + 1]) AS e
+              FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(12) r(n))
+            SELECT q.doc_id AS query_id, v.doc_id, round(1 - list_cosine_similarity(v.e, q.e), 6) + 0 AS distance,
+              row_number() OVER (PARTITION BY q.doc_id ORDER BY round(1 - list_cosine_similarity(v.e, q.e), 6) + 0, v.doc_id) AS rank
+            FROM c v, c q WHERE q.doc_id % 50 = 0 QUALIFY rank <= 10""",
         "vec_upsert_latest": """WITH u AS (SELECT vec_id + 1 AS doc_id, list_reverse(embedding) AS embedding FROM embeddings)
             SELECT doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM u
             UNION ALL SELECT vec_id, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM u)""",

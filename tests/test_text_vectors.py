@@ -92,12 +92,35 @@ def test_vectors_without_length_are_left_out(spark):
     assert c.select(vectors.norm(F.col("embedding")).alias("n")).collect() == [(0.0,), (5.0,)]
 
 
-def test_approximate_search_finds_most(spark, sf):
+def test_cells_find_most_and_compare_few(spark, sf, tmp_path):
+    """On the clustered table made of the test vectors: at most a tenth of all pairs is compared."""
+    from quern.operators import cells
     from quern.plans import catalogue
 
-    exact = {(r.query_id, r.doc_id) for r in catalogue.vec_topk_batch(spark, sf).collect()}
-    found = {(r.query_id, r.doc_id) for r in catalogue.vec_topk_lsh(spark, sf).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+    c = catalogue._clustered(spark, sf).cache()
+    asked = c.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "embedding AS vec")
+    exact = {(r.query_id, r.doc_id) for r in vector_store.nearest_batch(c, asked, 10).collect()}
+    index = cells.build(c, str(tmp_path / "index"))
+    found = {(r.query_id, r.doc_id) for r in cells.search(index, asked, 10).collect()}
+    c.unpersist()
+    assert len(exact) == 10 * asked.count() and len(exact & found) >= 0.9 * len(exact)
+    assert cells.compared(index, asked) <= 0.1
+    # One query reads the folders of its cells and no others.
+    one = cells.search(index, asked.limit(1), 10, probes=2)
+    assert one.count() == 10 and len({f for f in index.rows(spark).inputFiles()}) > 10
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
+def test_cells_of_odd_collections(spark, tmp_path):
+    from quern.operators import cells
+
+    schema = "doc_id string, embedding array<double>"
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None), ("zero", [0.0, 0.0])], "query_id string, vec array<double>")
+    assert cells.search(cells.build(spark.createDataFrame([], schema), str(tmp_path / "a")), asked, 3).count() == 0
+    same = spark.createDataFrame([(f"d{i}", [2.0, 0.0]) for i in range(9)] + [("far", [-1.0, 0.1]), ("null", None), ("zero", [0.0, 0.0])], schema)
+    got = cells.search(cells.build(same, str(tmp_path / "b"), cells=3), asked, 3).orderBy("rank").collect()
+    assert [(r.query_id, r.doc_id, r.distance) for r in got] == [("q", f"d{i}", 0.0) for i in range(3)]
 
 
 def test_lexicon_file_first_definition_wins(spark, tmp_path):
@@ -136,5 +159,5 @@ def test_equal_distances_go_by_id(spark):
     assert [r.doc_id for r in vector_store.nearest(c, q, 9).orderBy("rank").collect()] == list(range(1, 10))
     for size in (64 << 20, 600):
         many = spark.createDataFrame([(i, [1.0, 1.0, 1.0 + i]) for i in range(20)], "query_id long, vec array<double>")
-        got = vector_store.nearest_batch(c, many, 3, block=4, block_bytes=size)
+        got = vector_store.nearest_batch(c, many, 3, block_bytes=size)
         assert got.count() == 60 and [r.doc_id for r in got.where("query_id = 0").orderBy("rank").collect()] == [1, 2, 3]
