@@ -7,6 +7,9 @@ a column ``gid`` that every function leaves alone when it is given in ``by``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +39,14 @@ def content_key(value: Column) -> Column:
     return F.sha2(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2).cast("binary"), 256)
 
 
-def in_memory(data: DataFrame) -> DataFrame:
-    """The table kept by the executors until it is unpersisted; what doesn't fit their memory is on their disks."""
-    return data.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def in_memory(data: DataFrame) -> Iterator[DataFrame]:
+    """The table kept by the executors inside a ``with`` block; what doesn't fit their memory is on their disks."""
+    held = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
 
 
 def put(data: DataFrame, writes: DataFrame) -> DataFrame:

@@ -93,12 +93,6 @@ def section_freq(tokens_: DataFrame, weights: tuple[float, ...] = SECTION_WEIGHT
     return freq.select("doc_id", "word", "n", weighted.alias("weighted"), w.alias("last"), (F.col("section") > 0).alias("in_body"))
 
 
-def section_doc_freq(documents: DataFrame, columns: tuple[str, ...] = ("title", "intro", "rest")) -> DataFrame:
-    """(word, df) over all sections: words are made distinct inside the row, so only sums per word are exchanged."""
-    found = F.array_distinct(F.concat(*[tokens(F.col(c)) for c in columns]))
-    return documents.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-
-
 def weights(freq: DataFrame, total: DataFrame, df: DataFrame | None = None) -> DataFrame:
     """Adds size, idf and u = tf * idf to section frequencies; ``total`` is one row (total).
 
@@ -136,8 +130,16 @@ def document_vectors(weighted: DataFrame, lexicon: DataFrame, documents: DataFra
 
 
 def query_vectors(tokens_: DataFrame, lexicon: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, vec): the vector of each text of ``docs``, every word of the lexicon counting alike (idf = 1, one section)."""
-    freq = in_vocabulary(tokens_, lexicon).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    freq = freq.withColumn("size", F.sum("n").over(Window.partitionBy("doc_id")))
-    freq = freq.select("doc_id", "word", "n", "size", (F.col("n") / F.col("size")).alias("u"), F.col("n").cast("double").alias("weighted"), F.lit(1.0).alias("last"))
-    return document_vectors(freq, lexicon, docs)
+    """(doc_id, vec): the vector of each text of ``docs``, every word of the lexicon counting alike (idf = 1, one section).
+
+    With n of each word and their sum, size, the vector is sum(n * vec(w)) / (size * sum(n * n)).
+    """
+    first = lexicon.select(F.size("vec").alias("dim")).first()
+    dim = first.dim if first else 0
+    found = tokens_.join(small(lexicon, 8 * dim + 64), "word")
+    freq = found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.any_value("vec").alias("vec"))
+    sums = [F.sum(F.col("n") * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)]
+    total = freq.groupBy("doc_id").agg((F.sum("n") * F.sum(F.col("n") * F.col("n"))).alias("W"), *sums)
+    one = F.array(*[F.col(f"v{i}") / F.col("W") for i in range(dim)]).cast("array<double>")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return docs.select("doc_id").join(total, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("W").isNotNull(), one), zero).alias("vec"))

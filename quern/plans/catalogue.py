@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quern.functions import ids, registry, serial, text, vectors
 from quern.operators import cells, graph, groups, kv, mapreduce, tfidf, vector_store
 from quern.session import cut, shared_folder
-from quern.sources import pages
-from quern.sources.stores import KEY_VALUES, VECTORS, Store
+from quern.sources import buckets, pages
+from quern.sources.runs import RunStore
+from quern.sources.stores import KEY_VALUES, VECTORS, Store, listing, stored
 from quern.sources.tables import spread, stop_words, table
 from quern.streaming import streams
 
@@ -165,12 +166,41 @@ def kv_store_append(spark, d):
     return kv.append_values(store.read()).select(F.col("key").cast("long").alias("user_id"), "values")
 
 
+@query
+def kv_runs_latest(spark, d):
+    """Seven appends to a collection of sorted runs, users with a last error deleted, then the last event of each user."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "event_type", "value")
+    store = RunStore.create(spark, f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}", "key long, seq long, event_type string, value double", buckets=4, fanout=3)
+    for i in range(7):
+        store.append(events.where(F.col("seq") % 7 == i))
+    last = store.read()
+    store.delete(last.where("event_type = 'error'").select("key"), 1 << 40)
+    return store.read().select(F.col("key").alias("user_id"), "seq", "event_type", "value")
+
+
+@query
+def kv_owner_join(spark, d):
+    """Customers and orders laid out by the customer's number, joined and counted where they lie."""
+    place, tag = f"{shared_folder(spark)}/owners", uuid.uuid4().hex
+    orders = buckets.lay_out(table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_totalprice"), f"orders_{tag}", f"{place}/orders-{tag}", "custkey", 8)
+    customers = buckets.lay_out(table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), f"customer_{tag}", f"{place}/customer-{tag}", "custkey", 8)
+    return customers.hint("merge").join(orders.hint("merge"), "custkey").groupBy("custkey", "c_name").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("largest"))
+
+
+@query
+def kv_owner_get(spark, d):
+    """The orders of one customer, from the one bucket that has them."""
+    tag = uuid.uuid4().hex
+    orders = buckets.lay_out(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), f"orders_{tag}", f"{shared_folder(spark)}/owners/{tag}", "o_custkey", 8)
+    return buckets.get(orders, "o_custkey", 7)
+
+
 @query
 def kv_memory_scan(spark, d):
     """Keys and numbers of values of a table that is kept in memory; two scans share it."""
-    held = kv.in_memory(_events(spark, d, "event_type").select("key", "value"))
-    counts = held.groupBy("key").agg(F.count("*").alias("n"))
-    return kv.keys(held).join(counts, "key")
+    with kv.in_memory(_events(spark, d, "event_type").select("key", "value")) as held:
+        counts = cut(held.groupBy("key").agg(F.count("*").alias("n")))
+        return cut(kv.keys(held)).join(counts, "key")
 
 
 @query
@@ -309,15 +339,13 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings", "vec_id", "embedding")
 
 
-#: Tables that are made once for a folder and a session, as building an index is not part of asking it.
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _kept(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _stored:
-        _stored[key] = cut(make())
-    return _stored[key]
+    """A part of the search index over a folder's documents and vectors, built where the shared folder doesn't have it.
+
+    It is known by the names, sizes and times of the files it is made of, so other files make another index,
+    and every session that shares the folder finds it.
+    """
+    return stored(spark, f"{shared_folder(spark)}/index/{listing(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}/{name}", make)
 
 
 def _freq(spark, d) -> DataFrame:

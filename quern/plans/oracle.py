@@ -145,6 +145,9 @@ def statements() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "kv_runs_latest": "SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error'",
+        "kv_owner_join": "SELECT c_custkey AS custkey, c_name, count(*) AS n, max(o_totalprice) AS largest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
+        "kv_owner_get": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7",
         "vec_topk_cells": """WITH c AS MATERIALIZED (SELECT vec_id * 12 + n AS doc_id, list_transform(range(0, len(e)), lambda i: e[i + 1] + 0.02 * n * e[(i * 5 + 3 * n) % len(e) + 1]) AS e
               FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(12) r(n))
             SELECT q.doc_id AS query_id, v.doc_id, round(1 - list_cosine_similarity(v.e, q.e), 6) + 0 AS distance,

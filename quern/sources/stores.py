@@ -7,6 +7,9 @@ never rewrites what is there.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,30 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def listing(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files under the paths; other contents give another one."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table in a folder; where there is none, it is made, written under a name of its own, and then given this one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        draft = f"{path}.{uuid.uuid4().hex}"
+        make().write.parquet(draft)
+        if not fs.exists(place):
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), place)
+    return spark.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class Store:
     """A stored table; all who name the same path share it."""
