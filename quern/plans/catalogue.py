@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids, registry, serial, text, vectors
 from quern.operators import cells, graph, groups, kv, mapreduce, tfidf, vector_store
 from quern.session import cut, shared_folder
-from quern.sources import buckets, pages
+from quern.sources import buckets, page_source, pages
 from quern.sources.runs import RunStore
 from quern.sources.stores import KEY_VALUES, VECTORS, Store, listing, stored
 from quern.sources.tables import spread, stop_words, table
@@ -673,6 +673,35 @@ def page_source_decode(spark, d):
     return found.select("doc_id", "p.title", F.length("p.extract").cast("long").alias("n_chars"), "p.links")
 
 
+def _answers(spark, d) -> str:
+    """A folder of answers for all documents; those whose id ends in 3 are cut off, those that end in 7 have no page."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    title = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    whole = page_source.answer_of(title, F.col("text"), F.array(F.coalesce("source", F.lit("none")), F.lit("Main")))
+    answer = F.when(F.col("doc_id") % 10 == 3, F.expr("substr(answer, 1, length(answer) - 2)")).when(F.col("doc_id") % 10 == 7, F.lit('{"query":{"pages":{}}}')).otherwise(F.col("answer"))
+    folder = f"{shared_folder(spark)}/answers/{uuid.uuid4().hex}"
+    page_source.save_answers(docs.select("doc_id", title.alias("title"), whole.alias("answer")).select("title", answer.alias("answer")), folder, 2 * spark.sparkContext.defaultParallelism)
+    spark.dataSource.register(page_source.PageSource)
+    return folder
+
+
+def _page_rows(pages_: DataFrame) -> DataFrame:
+    return pages_.select("title", F.length("extract").cast("long").alias("n_chars"), "links", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query
+def page_source_read(spark, d):
+    """All answers of a folder through the page source."""
+    return _page_rows(spark.read.format("pages").load(_answers(spark, d)))
+
+
+@query
+def page_source_stream(spark, d):
+    """The same as a stream."""
+    stream = spark.readStream.format("pages").load(_answers(spark, d))
+    return _page_rows(streams.collected(stream))
+
+
 @query
 def url_build(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", pages.url_with("https://example.org/w/api.php", action="query", titles=F.col("p_name"), format="json").alias("url"))

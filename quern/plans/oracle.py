@@ -145,6 +145,10 @@ def statements() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "page_source_read": """SELECT 'Doc ' || doc_id AS title, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN length(text) END AS n_chars, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN [coalesce(source, 'none'), 'Main'] END AS links,
+            CASE doc_id % 10 WHEN 3 THEN 'unreadable answer' WHEN 7 THEN 'no page' END AS error FROM documents""",
+        "page_source_stream": """SELECT 'Doc ' || doc_id AS title, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN length(text) END AS n_chars, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN [coalesce(source, 'none'), 'Main'] END AS links,
+            CASE doc_id % 10 WHEN 3 THEN 'unreadable answer' WHEN 7 THEN 'no page' END AS error FROM documents""",
         "kv_runs_latest": "SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error'",
         "kv_owner_join": "SELECT c_custkey AS custkey, c_name, count(*) AS n, max(o_totalprice) AS largest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
         "kv_owner_get": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7",
