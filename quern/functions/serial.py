@@ -21,3 +21,18 @@ def from_text(text: Column, schema) -> Column:
 
 def roundtrip(data: DataFrame, column: str) -> DataFrame:
     return data.withColumn(column, from_text(to_text(F.col(column)), data.schema[column].dataType))
+
+
+def variant(text: Column) -> Column:
+    """JSON text of any form as one typed value, numbers, texts, lists and objects mixed; null if it isn't JSON."""
+    return F.try_parse_json(text)
+
+
+def at(value: Column, path: str, kind: str) -> Column:
+    """What stands at a path, as a type; null if nothing of that type stands there."""
+    return F.try_variant_get(value, path, kind)
+
+
+def kind_of(value: Column) -> Column:
+    """The type that a value has in itself."""
+    return F.schema_of_variant(value)

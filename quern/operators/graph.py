@@ -2,51 +2,85 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quern.functions.text import plain_title
 from quern.session import cut
 
 from .prefix import ranked
+from .tfidf import small
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, links): all links of a source in one sorted array, repeats kept."""
-    return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("links"))
+def two_hop(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(src, n): how many distinct targets each source reaches over two links, by way of any middle.
+
+    Exact, so every pair of source and target is met: for graphs whose middles have few links.  `two_hop_sketch` is for the others.
+    """
+    a = left.select("src", F.col("dst").alias("mid")).distinct()
+    b = right.select(F.col("src").alias("mid"), "dst").distinct()
+    return a.join(b, "mid").select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
+
+
+def two_hop_sketch(left: DataFrame, right: DataFrame, bits: int = 12) -> DataFrame:
+    """(src, n): about how many, from a sketch of 2^``bits`` registers for each middle's targets; a source's sketches are merged.
+
+    What is exchanged grows with the links, not with pairs of them: a middle with a third of all links is one sketch.
+    The standard error is about 0.8 / sqrt(2^bits).
+    """
+    b = right.groupBy(F.col("src").alias("mid")).agg(F.hll_sketch_agg("dst", F.lit(bits)).alias("sketch"))
+    a = left.select("src", F.col("dst").alias("mid"))
+    return a.join(b, "mid").groupBy("src").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
 
 
-def reverse_links(edges: DataFrame) -> DataFrame:
-    """(dst, sources): the distinct sources of each target, sorted."""
-    return edges.groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("sources"))
+#: A filter of at most so many bytes is sent to every task.
+FILTER_BYTES = 32 << 20
+_MAP_BITS = 1 << 15
 
 
-def inverted_index(words: DataFrame) -> DataFrame:
-    """(word, doc_ids): the distinct documents of each word, sorted.
+def bloom_filter(keys: DataFrame, column: str, n: int, bits_per_key: int = 10, hashes: int = 4) -> tuple[DataFrame, int] | None:
+    """(maps): one row with the bit maps of a Bloom filter of so many keys, and how many maps there are; None if it would outgrow `FILTER_BYTES`.
 
-    Rows are made distinct first; what a word's row holds is then its posting list and nothing else.
+    The maps are built by an aggregate, in parts before the exchange.
     """
-    return words.distinct().groupBy("word").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    maps = max(1, -(-n * bits_per_key // _MAP_BITS))
+    if maps * _MAP_BITS // 8 > FILTER_BYTES:
+        return None
+    at = F.explode(F.array(*[_bit(F.col(column), i, maps) for i in range(hashes)]))
+    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.col("at") % _MAP_BITS).alias("bits"))
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct("map", "bits"))).alias("maps")), maps
 
 
-def in_segments(rows: DataFrame, key: str, value: str, out: str, per_segment: int = 1_000_000) -> DataFrame:
-    """(key, segment, out): the distinct whole-number values of each key, sorted, in segments by ranges of values, so that no list outgrows a row or a task."""
-    placed = rows.select(key, value, F.floor(F.col(value) / per_segment).alias("segment")).distinct()
-    return placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(value)).alias(out))
+def _bit(key: Column, i: int, maps: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(i), key), F.lit(maps * _MAP_BITS))
 
 
-def inverted_index_segments(words: DataFrame, docs_per_segment: int = 1_000_000) -> DataFrame:
-    """(word, segment, doc_ids): posting lists in segments."""
-    return in_segments(words, "word", "doc_id", "doc_ids", docs_per_segment)
+def maybe_in(key: Column, maps: Column, n_maps: int, hashes: int = 4) -> Column:
+    """Whether a key may be in the filter; false is certain."""
 
+    def on(at: Column) -> Column:
+        inside = (at % _MAP_BITS).cast("int")
+        byte = F.conv(F.hex(F.substring(F.try_element_at(maps, F.floor(at / _MAP_BITS).cast("int")), F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.floor(byte / F.pow(F.lit(2), inside % 8)).cast("int") % 2, F.lit(0)) == 1
+
+    out = on(_bit(key, 0, n_maps))
+    for i in range(1, hashes):
+        out = out & on(_bit(key, i, n_maps))
+    return out
 
-def two_hop(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(src, n): how many distinct targets each source reaches over two links, by way of any middle."""
-    a = left.select("src", F.col("dst").alias("mid")).distinct()
-    b = right.select(F.col("src").alias("mid"), "dst").distinct()
-    return a.join(b, "mid").select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
+
+def unseen_filtered(titles: DataFrame, visited: DataFrame, n_visited: int) -> DataFrame:
+    """`unseen`, but titles that a Bloom filter of the visited ones knows to be new stay where they are; only possible repeats are exchanged for the exact test."""
+    made = bloom_filter(visited, "title", n_visited)
+    if made is None or not n_visited:
+        return unseen(titles, visited)
+    maps, n = made
+    marked = titles.join(F.broadcast(cut(maps))).withColumn("_maybe", maybe_in(F.col("title"), F.col("maps"), n)).drop("maps")  # one row of checked size
+    new = marked.where(~F.col("_maybe")).drop("_maybe")
+    return new.unionByName(unseen(marked.where("_maybe").drop("_maybe"), visited))
 
 
 def unseen(titles: DataFrame, visited: DataFrame) -> DataFrame:
@@ -61,9 +95,9 @@ def kept_of(n: int, alpha: float, beta: int) -> int:
     return min(n, max(beta, int(n * alpha)))
 
 
-def prune(titles: DataFrame, alpha: float = 0.001, beta: int = 500, seed: int | None = None) -> DataFrame:
+def prune(titles: DataFrame, alpha: float = 0.001, beta: int = 500, seed: int | None = None, n: int | None = None) -> DataFrame:
     """At most max(beta, alpha * n) of n titles: by a hash of the title, or at random with a seed."""
-    keep = kept_of(titles.count(), alpha, beta)
+    keep = kept_of(titles.count() if n is None else n, alpha, beta)
     by = F.xxhash64("title", F.lit(seed)) if seed is not None else F.sha2(F.col("title").cast("binary"), 256)
     if keep <= TOP:
         return titles.orderBy(by, "title").limit(keep)
@@ -72,46 +106,64 @@ def prune(titles: DataFrame, alpha: float = 0.001, beta: int = 500, seed: int |
 
 @dataclass
 class Crawl:
-    """fetched (round, title), extracted (round, title; the links of each round), both without repeats inside a round."""
+    """fetched (round, title), extracted (round, title; the links of each round), both without repeats inside a round; ``figures`` has seconds and rows of each round."""
 
     fetched: DataFrame
     extracted: DataFrame
     rounds: int
+    figures: list[dict] = field(default_factory=list)
 
 
 def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001, beta: int = 500) -> Crawl:
     """Expands a frontier of titles over ``links`` (src, dst) that a page source gives.
 
-    A round prunes the frontier, drops visited and odd titles, fetches the rest and takes
+    A round prunes the frontier, which has no visited titles, drops odd ones, fetches the rest and takes
     the plain titles they link to; those not visited are the next frontier.
-    Ends early with an empty frontier.  Each round is written to the shared folder.
+    Ends early with an empty frontier.  Each round is written to the shared folder, and what it wrote is counted as it is written.
     """
     spark = links.sparkSession
     links = cut(links.select("src", "dst").where(plain_title(F.col("dst"))))  # every round reads them
     frontier = seeds.select("title").distinct()
+    n_frontier = frontier.count()
     visited = spark.createDataFrame([], "round int, title string")
     extracted = visited
-    done = 0
+    done, n_visited, figures = 0, 0, []
     for i in range(1, rounds + 1):
-        now = unseen(prune(frontier, alpha, beta).where(plain_title(F.col("title"))), visited.select("title"))
-        now = cut(now.select(F.lit(i).alias("round"), "title"))
-        if now.isEmpty():
+        began = time.perf_counter()
+        now = prune(frontier, alpha, beta, n=n_frontier).where(plain_title(F.col("title")))
+        now, fetched = counted(now.select(F.lit(i).alias("round"), "title"))
+        if not fetched:
             break
-        done = i
+        done, n_visited = i, n_visited + fetched
         visited = visited.unionByName(now)
-        found = links.join(now, links["src"] == now["title"], "left_semi").select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct()
-        found = cut(found)
+        # At most max(beta, alpha * n) titles are fetched a round.
+        found = links.join(small(now.select(F.col("title").alias("src")), 128), "src", "left_semi")
+        found, n_found = counted(found.select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct())
         extracted = extracted.unionByName(found)
-        frontier = unseen(found.select("title"), visited.select("title"))
-    return Crawl(visited, extracted, done)
+        figures.append({"round": i, "fetched": fetched, "extracted": n_found, "seconds": time.perf_counter() - began})
+        frontier, n_frontier = counted(unseen_filtered(found.select("title"), visited.select("title"), n_visited))
+    return Crawl(visited, extracted, done, figures)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written to the shared folder, and their number, which is observed on the way."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
 
 
-def crawl_stats(result: Crawl, seconds: float | None = None) -> DataFrame:
-    """One row: pages fetched, distinct titles extracted, rounds, and titles per second if the time is known."""
+def crawl_stats(result: Crawl) -> DataFrame:
+    """One row: pages fetched, distinct titles extracted, rounds."""
     fetched = result.fetched.agg(F.count("*").alias("n_fetched"))
     titles = result.extracted.agg(F.count_distinct("title").alias("n_pages"))
-    rows = fetched.join(F.broadcast(titles)).withColumn("rounds", F.lit(result.rounds))  # one row each
-    return rows.withColumn("throughput", F.col("n_pages") / F.lit(float(seconds))) if seconds else rows
+    return fetched.join(F.broadcast(titles)).withColumn("rounds", F.lit(result.rounds))  # one row each
+
+
+def throughput(result: Crawl) -> DataFrame:
+    """(round, fetched, extracted, seconds, per_second) from what was observed while the rounds ran; nothing is counted again."""
+    spark = result.fetched.sparkSession
+    rows = [(f["round"], f["fetched"], f["extracted"], f["seconds"], f["extracted"] / f["seconds"]) for f in result.figures]  # a row a round
+    return spark.createDataFrame(rows, "round int, fetched long, extracted long, seconds double, per_second double")
 
 
 def save_stats(stats: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ them and sums before the exchange; Python functions are taken too, in Arrow batc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quern.session import cut
 
+from .prefix import ranked
+
 
 def emit(data: DataFrame, pairs: Column) -> DataFrame:
     """(key, value): the map step.  ``pairs`` is an array of (key, value) structs; an empty or null one emits nothing, as does a null key or value."""
@@ -35,20 +37,81 @@ def reduce_pairs(pairs: DataFrame, *aggregates: Column) -> DataFrame:
     return pairs.groupBy("key").agg(*aggregates)
 
 
-def group_values(pairs: DataFrame) -> DataFrame:
-    """(key, values): all values of a key in one sorted array.  A key's values must fit a row."""
-    return pairs.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("values"))
+def group_segments(pairs: DataFrame, values_per_segment: int = 1_000_000, most: int | None = None) -> DataFrame:
+    """(key, segment, values): a key's values, repeats kept, sorted, in segments of so many, numbered from 0, so that no list outgrows a row."""
+    return segments(pairs.select("key", "value"), "key", "value", "values", values_per_segment, most)
+
+
+def segments(rows: DataFrame, key: str, value: str, out: str, per_segment: int, most: int | None = None, distinct: bool = False) -> DataFrame:
+    """(key, segment, out): the values of each key in sorted lists of ``per_segment``.
 
+    ``most`` bounds the number of values of a key; where it isn't known they are counted.  If no key has more than a segment,
+    one exchange by key does.  Else values are sorted in ranges over all tasks and numbered by how many of their key come before,
+    so neither a frequent key nor how the values lie matters.
+    """
+    rows = rows.select(key, value)
+    if most is None:
+        rows = cut(rows)  # read twice
+        most = rows.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= per_segment:
+        found = F.sort_array(F.collect_set(value) if distinct else F.collect_list(value))
+        return rows.groupBy(key).agg(F.lit(0).cast("long").alias("segment"), found.alias(out))
+    placed = ranked(rows.distinct() if distinct else rows, [F.col(key), F.col(value)], out="_rank")
+    firsts = placed.groupBy(key).agg(F.min("_rank").alias("_first"))
+    placed = placed.join(firsts, key).withColumn("segment", F.floor((F.col("_rank") - F.col("_first")) / per_segment))
+    return placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(value)).alias(out))
 
-def group_segments(pairs: DataFrame, values_per_segment: int = 1_000_000) -> DataFrame:
-    """(key, segment, values): a key's whole-number values, repeats kept, sorted, in segments by ranges of values."""
-    placed = pairs.select("key", "value", F.floor(F.col("value") / values_per_segment).alias("segment"))
-    return placed.groupBy("key", "segment").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
+def reduce_with(pairs: DataFrame, f: Callable[[object, Iterator[pd.Series]], Iterable], schema: str) -> DataFrame:
+    """The reduce step by a Python function f(key, batches): the key's values in ascending order, in batches of bounded size, of which it holds one at a time.
 
-def reduce_with(pairs: DataFrame, f: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The reduce step by a Python function; gets one key's pairs at once."""
-    return pairs.groupBy("key").applyInPandas(f, schema)
+    f gives rows as tuples; it may stop reading early.  Rows without a key are left out.  A key's rows are read by one task, but never held together.
+    """
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(batches):
+        source = _Runs(batches)
+        while start := source.next_key():
+            (key,), out = start, []
+            for row in f(key, source.values(key)):
+                out.append(row)
+                if len(out) == 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            source.skip(key)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    sorted_ = pairs.where("key is not null").select("key", "value").repartition("key").sortWithinPartitions("key", "value")
+    return sorted_.mapInPandas(run, schema)
+
+
+class _Runs:
+    """Batches of rows sorted by key, given out key by key."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        self.batches, self.rest = batches, None
+
+    def _fill(self) -> bool:
+        while self.rest is None or self.rest.empty:
+            self.rest = next(self.batches, None)
+            if self.rest is None:
+                return False
+        return True
+
+    def next_key(self) -> tuple | None:
+        return (self.rest["key"].iloc[0],) if self._fill() else None
+
+    def values(self, key) -> Iterator[pd.Series]:
+        while self._fill() and self.rest["key"].iloc[0] == key:
+            same = (self.rest["key"] == key).to_numpy()
+            n = len(same) if same.all() else int(same.argmin())
+            part, self.rest = self.rest["value"].iloc[:n], self.rest.iloc[n:]
+            yield part
+
+    def skip(self, key) -> None:
+        for _ in self.values(key):
+            pass
 
 
 def rounds(data: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: int, done: Callable[[DataFrame], bool] | None = None) -> DataFrame:

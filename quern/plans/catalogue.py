@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import ids, registry, serial, text, vectors
-from quern.operators import cells, graph, groups, kv, mapreduce, tfidf, vector_store
+from quern.functions import ids, registry, serial, tables, text, vectors
+from quern.operators import cells, graph, groups, kv, mapreduce, postings, tfidf, vector_store
 from quern.session import cut, shared_folder
 from quern.sources import buckets, page_source, pages
 from quern.sources.runs import RunStore
@@ -74,7 +74,7 @@ def mr_max_by_key(spark, d):
 @query
 def mr_group_values(spark, d):
     pairs = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
-    return mapreduce.group_segments(pairs).select(F.col("key").alias("o_custkey"), "segment", F.col("values").alias("orderkeys"))
+    return mapreduce.group_segments(pairs, most=pairs.count()).select(F.col("key").alias("o_custkey"), "segment", F.col("values").alias("orderkeys"))
 
 
 @query
@@ -228,6 +228,55 @@ def udf_registered(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.expr("vowels(p_name)").alias("n"))
 
 
+@query
+def mr_table_function(spark, d):
+    """A Python map with several pairs a row, called from SQL: the words of a name with their places."""
+    tables.put(spark, "words_of", lambda name: enumerate((name or "").split()), "at int, word string")
+    return spark.sql("SELECT p_partkey, w.at, w.word FROM {part}, LATERAL words_of(p_name) w", part=table(spark, d, "part", "p_partkey", "p_name"))
+
+
+@query
+def event_sessions(spark, d):
+    """A table function over each user's events: sessions with gaps of at most an hour."""
+    tables.register(spark)
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = spark.sql("SELECT * FROM sessions(TABLE({events}), 'user_id', 'ts', 3600)", events=events)
+    return found.select("user_id", "session", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "n")
+
+
+@query
+def mr_reduce_python(spark, d):
+    """A Python reduce that gets each key's values sorted, in batches: the cheapest and dearest line of each day, and how many there are."""
+
+    def ends(key, batches):
+        low, last, n = None, None, 0
+        for values in batches:
+            low = values.iloc[0] if low is None else low
+            last, n = values.iloc[-1], n + len(values)
+        yield key, float(low), float(last), n
+
+    rows = table(spark, d, "lineitem", "l_shipdate", "l_extendedprice").where("l_extendedprice is not null and l_shipdate is not null")
+    pairs = rows.select(F.to_date("l_shipdate").cast("string").alias("key"), F.col("l_extendedprice").cast("double").alias("value"))
+    return mapreduce.reduce_with(pairs, ends, "shipdate string, cheapest double, dearest double, n long")
+
+
+@query
+def json_variant(spark, d):
+    """A list of mixed types, an object in it, as one value that is asked by path."""
+    events = table(spark, d, "events", "event_id", "event_type", "value", "props")
+    text_ = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(","), F.to_json(F.struct("event_type")), F.lit(',true,null,"'), F.col("event_type"), F.lit('",'), F.col("props"), F.lit("]"))
+    v = serial.variant(F.to_json(serial.variant(text_)))  # there and back
+    return events.select("event_id", v.alias("v")).select(
+        "event_id",
+        serial.at(F.col("v"), "$[0]", "long").alias("id"),
+        serial.at(F.col("v"), "$[1].event_type", "string").alias("kind"),
+        serial.at(F.col("v"), "$[2]", "boolean").alias("known"),
+        serial.at(F.col("v"), "$[3]", "string").alias("nothing"),
+        serial.at(F.col("v"), "$[4]", "long").alias("no_number"),
+        serial.at(F.col("v"), "$[5].k", "long").alias("k"),
+    )
+
+
 @query
 def leading_ints(spark, d):
     """The whole number that the last nine characters of a name start with, its zeros and sign read as such."""
@@ -459,7 +508,28 @@ def search_text(spark, d):
 
 @query
 def inverted_index(spark, d):
-    return graph.inverted_index_segments(tfidf.distinct_words(_docs(spark, d)))
+    docs = _docs(spark, d)
+    # No word has more documents than there are; tables know their number of rows.
+    return mapreduce.segments(tfidf.distinct_words(docs), "word", "doc_id", "doc_ids", 1_000_000, most=docs.count(), distinct=True)
+
+
+@query
+def index_blocks(spark, d):
+    """The stored index with its lists in blocks, read back: documents of each word, the first and the last."""
+    found = postings.ids(postings.blocks(spark, _index(spark, d)))
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def _index(spark, d) -> str:
+    docs, path = _docs(spark, d), f"{shared_folder(spark)}/postings/{uuid.uuid4().hex}"
+    postings.build(tfidf.distinct_words(docs), path, most=docs.count())
+    return path
+
+
+@query
+def index_lookup(spark, d):
+    """The documents of one word, from the stored index."""
+    return postings.lookup(spark, _index(spark, d), "the")
 
 
 @query
@@ -608,7 +678,7 @@ def crawl_reduce_links(spark, d):
 
 @query
 def reverse_links(spark, d):
-    return graph.in_segments(_links(spark, d), "link", "page_id", "page_ids")
+    return mapreduce.segments(_links(spark, d), "link", "page_id", "page_ids", 1_000_000, distinct=True)
 
 
 @query
@@ -652,6 +722,12 @@ def crawl_bfs(spark, d):
     return _crawl(spark, d).fetched
 
 
+@query
+def crawl_rounds(spark, d):
+    """What each round fetched and extracted, as observed while it ran."""
+    return graph.throughput(_crawl(spark, d)).select("round", "fetched", "extracted")
+
+
 @query
 def crawl_stats(spark, d):
     return graph.crawl_stats(_crawl(spark, d))
@@ -732,9 +808,24 @@ def stream_upsert(spark, d):
 
 @query
 def stream_dedupe(spark, d):
-    """Users as they are first seen."""
-    stream = streams.stream_table(spark, f"{d}/events.parquet").select("user_id")
-    return streams.collected(streams.first_seen(stream, "user_id")).select("user_id")
+    """Users as they are first seen; a user is known for a year of event time after that."""
+    stream = streams.stream_table(spark, f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.collected(streams.first_seen(stream, "user_id", "ts", "365 days")).select("user_id")
+
+
+@query
+def stream_tfidf_online(spark, d):
+    """The weights of `tfidf_online` from four arrivals of documents, in the order of doc_id."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    root = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    edges = docs.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75])).first()[0] or []
+    part = sum((F.when(F.col("doc_id") > x, 1).otherwise(0) for x in edges), F.lit(0))
+    for i in range(len(edges) + 1):  # what arrives, and a run that goes on where the last one ended
+        docs.where(part == i).write.mode("append").parquet(f"{root}/documents")
+        stream = streams.stream_table(spark, f"{root}/documents", 1_000_000)
+        seen = streams.online_statistics(stream, stop_words(spark), f"{root}/statistics", f"{root}/checkpoint")
+    u = F.col("n") / F.col("size") * F.ln(F.col("n_docs") / (1 + F.col("df")))
+    return seen.select("doc_id", "word", "n_docs", "df", _rounded(u, EPSILON_DIGITS).alias("weight"))
 
 
 @query

@@ -72,11 +72,11 @@ def _crawl(rounds: int = 4, beta: int = 500, per_mille: int = 1) -> str:
 def statements() -> dict[str, str]:
     top = "SELECT row_number() OVER (ORDER BY round(distance, 6) + 0, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance"
     near = "SELECT v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0"
-    return {
+    found = {
         "tokenize_words": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_words FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
         "mr_wordcount": r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word",
         "mr_max_by_key": "SELECT year(l_shipdate) AS ship_year, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1",
-        "mr_group_values": "SELECT o_custkey, o_orderkey // 1000000 AS segment, list(o_orderkey ORDER BY o_orderkey) AS orderkeys FROM orders GROUP BY ALL",
+        "mr_group_values": "SELECT o_custkey, r // 1000000 AS segment, list(o_orderkey ORDER BY o_orderkey) AS orderkeys FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders) GROUP BY ALL",
         "mr_combiner_sum": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1, 2",
         "mr_reduce_side_join": "SELECT o_orderkey, o_orderpriority, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
         "mr_iterative_rounds": """WITH a AS (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey), b AS (SELECT count(*) AS k FROM a GROUP BY k)
@@ -132,7 +132,7 @@ def statements() -> dict[str, str]:
             near AS (SELECT item_id AS query_id, doc_id, 1 - list_cosine_similarity(list(dv.v ORDER BY i), list(qv.v ORDER BY i)) AS distance FROM dv JOIN qv USING (i)
               WHERE item_id % 50 = 0 GROUP BY item_id, doc_id HAVING sum(dv.v * dv.v) > 0 AND sum(qv.v * qv.v) > 0)
             SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank, doc_id, round(distance, 6) + 0 AS distance FROM near) WHERE rank <= 10""",
-        "inverted_index": f"WITH {_TOK} SELECT word, doc_id // 1000000 AS segment, list(doc_id ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT word, doc_id FROM tok) GROUP BY ALL",
+        "inverted_index": f"WITH {_TOK} SELECT word, r // 1000000 AS segment, list(doc_id ORDER BY doc_id) AS doc_ids FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id) - 1 AS r FROM (SELECT DISTINCT word, doc_id FROM tok)) GROUP BY ALL",
         "grep_regex": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bthe [a-z]+ion\b')",
         "vec_norm": "SELECT vec_id AS doc_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
         "vec_counts_by_partition": f"WITH {_NAIVE.format('vec_id::VARCHAR', 'embeddings')} SELECT nid, count(*) AS n FROM placed GROUP BY nid",
@@ -145,6 +145,15 @@ def statements() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "index_blocks": f"WITH {_TOK} SELECT word, count(DISTINCT doc_id) AS n, min(doc_id) AS first, max(doc_id) AS last FROM tok GROUP BY word",
+        "index_lookup": f"WITH {_TOK} SELECT DISTINCT word, doc_id FROM tok WHERE word = 'the'",
+        "crawl_rounds": f"WITH {_crawl()} SELECT f.round, f.n AS fetched, x.n AS extracted FROM (SELECT round, count(*) AS n FROM fetched GROUP BY round) f JOIN (SELECT round, count(*) AS n FROM extracted GROUP BY round) x USING (round)",
+        "mr_table_function": "SELECT p_partkey, (i - 1)::INT AS at, w[i] AS word FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))",
+        "event_sessions": """SELECT user_id, session, epoch_us(min(ts)) AS began, epoch_us(max(ts)) AS ended, count(*) AS n FROM (
+            SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
+            SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, session""",
+        "mr_reduce_python": "SELECT l_shipdate::DATE::VARCHAR AS shipdate, min(l_extendedprice)::DOUBLE AS cheapest, max(l_extendedprice)::DOUBLE AS dearest, count(*) AS n FROM lineitem GROUP BY 1",
+        "json_variant": "SELECT event_id, event_id AS id, event_type AS kind, true AS known, NULL::VARCHAR AS nothing, NULL::BIGINT AS no_number, (props->>'$.k')::BIGINT AS k FROM events",
         "page_source_read": """SELECT 'Doc ' || doc_id AS title, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN length(text) END AS n_chars, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN [coalesce(source, 'none'), 'Main'] END AS links,
             CASE doc_id % 10 WHEN 3 THEN 'unreadable answer' WHEN 7 THEN 'no page' END AS error FROM documents""",
         "page_source_stream": """SELECT 'Doc ' || doc_id AS title, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN length(text) END AS n_chars, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN [coalesce(source, 'none'), 'Main'] END AS links,
@@ -169,7 +178,7 @@ def statements() -> dict[str, str]:
         "link_filter": f"WITH {_LINKS} SELECT DISTINCT page_id, title FROM (SELECT page_id, regexp_replace(link, '^/', '') AS title FROM links) WHERE {_PLAIN.format('title')}",
         "title_filter": f"SELECT page_id, title FROM (SELECT page_id, regexp_extract(html, '<title>((?s:.*?))</title>', 1) AS title FROM pages WHERE html <> '') WHERE {_PLAIN.format('title')}",
         "crawl_reduce_links": f"WITH {_LINKS} SELECT page_id, list(link ORDER BY link) AS links FROM links GROUP BY page_id",
-        "reverse_links": f"WITH {_LINKS} SELECT link, page_id // 1000000 AS segment, list(page_id ORDER BY page_id) AS page_ids FROM (SELECT DISTINCT page_id, link FROM links) GROUP BY ALL",
+        "reverse_links": f"WITH {_LINKS} SELECT link, r // 1000000 AS segment, list(page_id ORDER BY page_id) AS page_ids FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id) - 1 AS r FROM (SELECT DISTINCT page_id, link FROM links)) GROUP BY ALL",
         "link_two_hop": "SELECT a.l_suppkey, count(DISTINCT b.l_suppkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey GROUP BY a.l_suppkey",
         "frontier_antijoin": f"WITH {_EDGES} SELECT DISTINCT dst AS title FROM edges WHERE dst LIKE 'P%' AND dst NOT IN (SELECT dst FROM edges WHERE src = 'S1')",
         "frontier_prune": "SELECT title FROM (SELECT 'P' || p_partkey AS title, row_number() OVER (ORDER BY sha256('P' || p_partkey), p_partkey) AS r, count(*) OVER () AS n FROM part) WHERE r <= greatest(20, n * 5 // 100)",
@@ -182,3 +191,5 @@ def statements() -> dict[str, str]:
         "stream_dedupe": "SELECT DISTINCT user_id FROM events",
         "stream_doc_freq": f"WITH {_TOK} SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY word",
     }
+    found["stream_tfidf_online"] = found["tfidf_online"]
+    return found

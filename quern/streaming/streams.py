@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.operators import tfidf
 from quern.operators.vector_store import upsert
-from quern.session import shared_folder
+from quern.session import cut, shared_folder
 from quern.sources.stores import folder_names, remove
 
 
@@ -103,3 +105,64 @@ def first_seen(stream: DataFrame, key: str, time: str | None = None, delay: str
 def running_doc_freq(stream: DataFrame) -> DataFrame:
     """(word, df) as documents come in; a word counts once per document."""
     return stream.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def first_seen_for(stream: DataFrame, key: str, seconds: float) -> DataFrame:
+    """(key): a key when it is first seen, and again when it comes back later than so many seconds after that; older keys leave the state.
+
+    For keys without an event time.  Times run out in every batch, so such a stream is run by a clock or once; it never has all it waits for.
+    """
+    millis = int(seconds * 1000)
+
+    def see(name, batches, state):
+        for _ in batches:
+            pass
+        if state.hasTimedOut:
+            state.remove()
+        elif not state.exists:
+            state.update((True,))
+            state.setTimeoutDuration(millis)
+            yield pd.DataFrame({key: [name[0]]})
+
+    kind = dict(stream.dtypes)[key]
+    return stream.select(key).where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(see, f"{key} {kind}", "seen boolean", "append", "ProcessingTimeTimeout")
+
+
+def online_statistics(stream: DataFrame, stop: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """(doc_id, word, n, size, n_docs, df): each word of each document with how many documents had come by then, and how many of them with the word.
+
+    Documents (doc_id, text) are taken batch by batch, by doc_id inside a batch.  What a batch has to know of those before is a count for
+    each word, in a table with the batch's number; a batch that is run again reads the table before it and writes its own once more.
+    """
+    spark = stream.sparkSession
+    root = folder or f"{shared_folder(spark)}/online/{uuid.uuid4().hex}"
+    schema = "word string, df long"
+
+    def batch(rows: DataFrame, i: int) -> None:
+        rows = cut(rows.select("doc_id", "text"))
+        freq = cut(tfidf.term_freq(tfidf.without_stop_words(tfidf.words(rows), stop)))
+        done = [n for n in _finished(spark, f"{root}/counts") if n < i]
+        counts = spark.read.schema(schema).parquet(f"{root}/counts/n={done[-1]}") if done else spark.createDataFrame([], schema)
+        earlier = counts.where("word = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("earlier"))  # one row
+        sizes = freq.groupBy("doc_id").agg(F.sum("n").alias("size"))
+        seen = tfidf.online_idf(freq, rows).join(counts.withColumnRenamed("df", "known"), "word", "left").join(F.broadcast(earlier))
+        seen = seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id")
+        out = seen.select("doc_id", "word", "n", "size", (F.col("n_docs") + F.col("earlier")).alias("n_docs"), (F.col("df") + F.coalesce("known", F.lit(0))).alias("df"))
+        out.write.mode("overwrite").parquet(f"{root}/seen/n={i}")
+        # No word is empty: that row counts documents.
+        new = tfidf.doc_freq(freq).unionByName(rows.select("doc_id").distinct().agg(F.count("*").alias("df")).select(F.lit("").alias("word"), "df"))
+        counts.unionByName(new).groupBy("word").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{root}/counts/n={i}")
+        for n in done[:-1]:
+            remove(spark, f"{root}/counts/n={n}")
+
+    run_to_end(stream.select("doc_id", "text"), batch, checkpoint)
+    found = [f"{root}/seen/n={n}" for n in _finished(spark, f"{root}/seen")]
+    return spark.read.parquet(*found) if found else spark.createDataFrame([], "doc_id long, word string, n long, size long, n_docs long, df long")
+
+
+def sizes_of_batches(query) -> list[dict]:
+    """What a stream's own progress reports say of each batch: rows, seconds and rows of state; nothing is counted again."""
+    return [
+        {"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000, "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"])}
+        for p in query.recentProgress
+    ]

@@ -1,5 +1,6 @@
 """Crawl rounds, node groups and streams."""
 
+from pyspark.sql import functions as F
 from quern.operators import graph, groups
 from quern.sources import stores
 from quern.streaming import streams
@@ -14,8 +15,10 @@ def test_crawl_rounds(spark):
         c = graph.crawl(seeds, links, rounds)
         assert sorted(r.title for r in c.fetched.collect()) == list(fetched)
         assert sorted({r.title for r in c.extracted.collect()}) == list(titles)
-    stats = graph.crawl_stats(c, 2.0).first()
-    assert (stats.n_fetched, stats.n_pages, stats.rounds, stats.throughput) == (5, 5, 4, 2.5)
+    stats = graph.crawl_stats(c).first()
+    assert (stats.n_fetched, stats.n_pages, stats.rounds) == (5, 5, 4)
+    figures = graph.throughput(c).collect()
+    assert [r["round"] for r in figures] == [1, 2, 3, 4] and sum(r.fetched for r in figures) == 5 and all(r.seconds > 0 and r.per_second == r.extracted / r.seconds for r in figures)
 
 
 def test_odd_titles_are_not_crawled(spark):
@@ -31,9 +34,40 @@ def test_prune_sizes(spark):
     assert graph.prune(titles, 0.1, 5, seed=1).count() == 5
 
 
-def test_index_in_segments(spark):
-    words = spark.createDataFrame([(1, "a"), (12, "a"), (1, "a"), (3, "b")], "doc_id long, word string")
-    assert {(r.word, r.segment): r.doc_ids for r in graph.inverted_index_segments(words, 10).collect()} == {("a", 0): [1], ("a", 1): [12], ("b", 0): [3]}
+def test_two_hop_sketch(spark):
+    """Within a few per cent of the exact number, on a graph with one middle that links to most."""
+    rows = spark.range(3000).select((F.col("id") % 60).alias("src"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200).alias("dst"))
+    right = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 200).alias("src"), F.col("id").alias("dst"))
+    exact = {r.src: r.n for r in graph.two_hop(rows, right).collect()}
+    about = {r.src: r.n for r in graph.two_hop_sketch(rows, right).collect()}
+    assert set(exact) == set(about) and max(abs(about[k] - n) / n for k, n in exact.items()) < 0.06
+
+
+def test_a_filter_lets_no_visited_title_through(spark):
+    visited = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("title"))
+    titles = spark.range(4000, 9000).select(F.concat(F.lit("t"), "id").alias("title"))
+    want = {f"t{i}" for i in range(5000, 9000)}
+    assert {r.title for r in graph.unseen_filtered(titles, visited, 5000).collect()} == want
+    maps, n = graph.bloom_filter(visited, "title", 5000)
+    maybe = titles.join(F.broadcast(maps)).where(graph.maybe_in(F.col("title"), F.col("maps"), n)).count()
+    assert 1000 <= maybe <= 1000 + 0.05 * 4000  # all repeats, few others
+    assert graph.bloom_filter(visited, "title", 10**9) is None
+    assert graph.unseen_filtered(titles, visited, 10**9).count() == 4000 == graph.unseen_filtered(titles, visited.limit(0), 0).count() - 1000
+
+
+def test_postings_in_blocks(spark, tmp_path):
+    from quern.operators import postings
+
+    rows = spark.range(5000).select(F.lit("often").alias("word"), (F.col("id") * F.col("id")).alias("doc_id")).union(spark.createDataFrame([("once", 7), ("twice", -3), ("twice", 9), ("twice", 9)], "word string, doc_id long"))
+    for n, most in (("a", None), ("b", 10_000)):
+        path = str(tmp_path / n)
+        postings.build(rows, path, most, buckets=4, per_list=2048 if n == "a" else 1_000_000)
+        assert sorted(r.doc_id for r in postings.lookup(spark, path, "often", 4).collect()) == [i * i for i in range(5000)]
+        assert sorted(r.doc_id for r in postings.lookup(spark, path, "twice", 4).collect()) == [-3, 9] and postings.lookup(spark, path, "never", 4).count() == 0
+        assert postings.blocks(spark, path).groupBy("word").count().where("word = 'often'").first()["count"] == 5
+    from .test_runs_buckets import files_read
+
+    assert files_read(postings.blocks(spark, path).where("bucket = 1")) <= 1
 
 
 def test_groups(spark):

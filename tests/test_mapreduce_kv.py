@@ -39,10 +39,54 @@ def test_nulls_are_not_emitted(spark):
 def test_python_map_and_reduce(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "x long")
     pairs = mapreduce.emit_with(rows, lambda b: pd.DataFrame({"key": ["odd" if x % 2 else "even" for x in b.x], "value": b.x}), "key string, value long")
-    out = mapreduce.reduce_with(pairs, lambda k, b: pd.DataFrame({"key": [k[0]], "total": [b.value.sum()]}), "key string, total long")
+    out = mapreduce.reduce_with(pairs, lambda k, batches: [(k, sum(int(b.sum()) for b in batches))], "key string, total long")
     assert {r.key: r.total for r in out.collect()} == {"odd": 4, "even": 2}
 
 
+def test_a_reducer_sees_sorted_batches_and_may_stop(spark):
+    """One key has nearly all of two million values; no batch is larger than a few thousand of them."""
+    pairs = spark.range(2_000_000).select(F.when(F.col("id") % 1000 == 0, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("key"), (-F.col("id")).alias("value"))
+
+    def check(key, batches):
+        largest, n, last, ordered = 0, 0, None, True
+        for b in batches:
+            largest, n = max(largest, len(b)), n + len(b)
+            ordered &= b.is_monotonic_increasing and (last is None or b.iloc[0] >= last)
+            last = b.iloc[-1]
+        yield key, largest, n, bool(ordered)
+
+    got = {r.key: r for r in mapreduce.reduce_with(pairs, check, "key string, largest long, n long, ordered boolean").collect()}
+    assert got["hot"].n == 1_998_000 and got["hot"].largest <= 10_000 and all(r.ordered for r in got.values()) and sum(r.n for r in got.values()) == 2_000_000
+    first = mapreduce.reduce_with(pairs, lambda k, batches: [(k, int(next(batches).iloc[0]))], "key string, least long")
+    assert {r.key: r.least for r in first.collect()}["hot"] == -1_999_999
+    many = mapreduce.reduce_with(pairs.where("key = 'k1'"), lambda k, batches: ((k, int(x)) for b in batches for x in b for _ in range(100)), "key string, x long")
+    assert many.count() == 100 * pairs.where("key = 'k1'").count()
+
+
+def test_segments_by_number_of_values(spark):
+    rows = spark.createDataFrame([("a", x) for x in (5, 1 << 60, -7, 5, 12, 80)] + [("b", 3)], "k string, v long")
+    got = {(r.k, r.segment): r.o for r in mapreduce.segments(rows, "k", "v", "o", 2).collect()}
+    assert got == {("a", 0): [-7, 5], ("a", 1): [5, 12], ("a", 2): [80, 1 << 60], ("b", 0): [3]}
+    got = {(r.k, r.segment): r.o for r in mapreduce.segments(rows, "k", "v", "o", 3, distinct=True).collect()}
+    assert got == {("a", 0): [-7, 5, 12], ("a", 1): [80, 1 << 60], ("b", 0): [3]}
+    assert mapreduce.segments(rows, "k", "v", "o", 9, most=7, distinct=True).where("k = 'a'").first().o == [-7, 5, 12, 80, 1 << 60]
+
+
+def test_table_functions(spark):
+    from quern.functions import tables
+
+    tables.put(spark, "twice", lambda x: [(x, i) for i in range(x or 0)], "x long, i long")
+    assert spark.sql("SELECT t.id, f.i FROM range(3) t, LATERAL twice(t.id) f").collect() == [(1, 0), (2, 0), (2, 1)]
+    tables.register(spark)
+    t = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 02:00:00'), (1, timestamp'2024-01-01 00:30:00'), (2, null) v(who, at)")
+    got = spark.sql("SELECT * FROM sessions(TABLE({t}), 'who', 'at', 3600)", t=t)
+    assert got.columns[0] == "who" and sorted((r.who, r.session, r.n) for r in got.collect()) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+    import pytest
+
+    with pytest.raises(Exception, match="sessions needs"):
+        spark.sql("SELECT * FROM sessions(TABLE({t}), 'nobody', 'at', 1)", t=t)
+
+
 def test_rounds_end_early_and_results_are_kept(spark, tmp_path):
     start = spark.createDataFrame([(1,)], "x long")
     out = mapreduce.rounds(start, lambda df, i: df.select((F.col("x") * 2).alias("x")), 10, lambda df: df.first().x >= 8)
