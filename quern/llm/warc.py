@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts_of
+from .common import join_counted, parts_of
 from .files import Writer, open_store
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
@@ -49,12 +49,10 @@ def dedup_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    # Few payloads have copies; the firsts of those alone are joined, without the payloads, by a salted key: one payload may be on a third of all pages.
-    salt = 16
-    spread = first.select("sha1", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salt)).cast("int"))
+    # Few payloads have copies.  Those on many pages are sent to the pages, which stay where they are; the firsts of the others meet their pages in an exchange.
+    met = join_counted(rows, first, "sha1", rows.count(), "copies", "left")
     is_revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("payload") >= least_bytes)
-    return keyed.join(spread, ["sha1", "salt"], "left").select(
+    return met.select(
         "page_id",
         "url",
         "payload",

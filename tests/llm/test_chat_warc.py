@@ -143,3 +143,23 @@ def test_no_pages(spark):
     index = archive(spark, [])
     assert index.count() == 0
     assert warc.read(index.select("file", "offset", "length")).count() == 0
+
+
+def test_a_payload_on_a_third_of_all_pages_stays_spread(spark):
+    """No partition of the deduplicated records holds much more than its share, however many pages one payload is on."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(0, 30_000, 1, 16).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 9000).cast("string"))).alias("html"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        records = warc.dedup_records(pages)
+        sizes = [r["count"] for r in records.groupBy(F.spark_partition_id()).count().collect()]
+        # The pages of the hot payload stay in their 16 tasks; no task has more than one read.
+        assert max(sizes) <= 30_000 / 16 and len(sizes) >= 32
+        assert records.where("record_type = 'response'").count() == 1 + 6000
+        assert records.where("payload = binary('hot') and record_type = 'revisit' and refers_to = 0").count() == 9_999
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
