@@ -22,6 +22,7 @@ Defined results
 ---------------
 * null text: no words; null source: a source of its own, last in order;
 * equal rows: each its own; equal doc_ids in one order by size, then by a hash of the text;
+* null doc_id: as any other value; texts are cut whole, whatever their length;
 * an empty table, or one without words: nothing is taken;
 * extra columns are ignored by `taken`, and `mixed_blocks` never returns them.
 What the driver gathers is one row for each distinct source.

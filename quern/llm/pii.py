@@ -26,7 +26,7 @@ Defined results
 * null text: empty, no spans;
 * equal texts get the same spans and count once, whatever their doc_id;
 * of a word that runs into a base span, the rest is a term only if it is a word elsewhere;
-* null doc_id: as any other value;
+* null doc_id: as any other value; texts are searched whole, whatever their length;
 * an empty table gives an empty result; extra columns are kept by `sanitise`.
 """
 

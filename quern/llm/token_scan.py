@@ -16,6 +16,8 @@ Defined results
 * tokens after the last separator: a last document, marked ``ended`` = false;
 * an empty file: no documents; a file whose size isn't a multiple of the width: an error;
 * null text: a document without tokens; repeated rows: a document each;
+* an empty table: no documents; null doc_id: a document as any other; extra columns are ignored;
+* texts are encoded whole, whatever their length;
 * identifiers that stand for the separator never come from a text, as texts are
   encoded as ordinary text.
 """

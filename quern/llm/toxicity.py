@@ -20,6 +20,7 @@ Defined results
 ---------------
 * null or empty text: no tokens, the score of a document without evidence;
 * labels that are null, or of documents that aren't there: ignored;
+* texts are scored whole, whatever their length; an empty table gives an empty result;
 * one class only, or no labels: every score is that class's share, no offsets;
 * repeated rows get equal scores, and are learnt from once; extra columns are kept by `without_toxic`.
 """

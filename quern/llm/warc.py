@@ -19,7 +19,7 @@ Defined results
 * null payload: empty; null url: empty target;
 * several rows with the smallest page_id of a group: all of them are responses;
 * groups in which every page_id is null: all responses;
-* an empty table: no files, an empty index;
+* an empty table: no files, an empty index; extra columns are ignored;
 * payloads are whole, of any length that fits a row.
 """
 
