@@ -6,6 +6,9 @@ decontamination (3)      documents into which a benchmark item leaks go
 pii (2)                  personal values and terms that reveal them are replaced in the texts
 mixing (8)               the rest is mixed to target weights: a row for each slot of the mix
 
+Null and empty texts, repeated rows, null or repeated doc_ids and empty tables go through every stage by the results
+that its operator's module defines; rows with one doc_id and different texts stay apart.
+
 All stages but the last return the columns of ``documents``.  SQL can't express the
 stages; tests hold them against brute force.
 """
