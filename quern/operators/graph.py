@@ -12,7 +12,6 @@ from quern.functions.text import plain_title
 from quern.session import cut
 
 from .prefix import ranked
-from .tfidf import small
 
 
 def two_hop(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -36,8 +35,8 @@ def two_hop_sketch(left: DataFrame, right: DataFrame, bits: int = 12) -> DataFra
     return a.join(b, "mid").groupBy("src").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
 
 
-#: A filter of at most so many bytes is sent to every task.
-FILTER_BYTES = 32 << 20
+#: So many titles, or a filter of at most so many bytes, are sent to every task.
+FEW, FILTER_BYTES = 200_000, 32 << 20
 _MAP_BITS = 1 << 15
 
 
@@ -72,10 +71,16 @@ def maybe_in(key: Column, maps: Column, n_maps: int, hashes: int = 4) -> Column:
     return out
 
 
-def unseen_filtered(titles: DataFrame, visited: DataFrame, n_visited: int) -> DataFrame:
-    """`unseen`, but titles that a Bloom filter of the visited ones knows to be new stay where they are; only possible repeats are exchanged for the exact test."""
+def unseen_filtered(titles: DataFrame, visited: DataFrame, n_visited: int, few: int = FEW) -> DataFrame:
+    """`unseen`, with as few titles exchanged as the number of visited ones allows.
+
+    Few visited titles are sent to every task.  More go there as a Bloom filter: titles that it knows to be new stay
+    where they are, and only possible repeats are exchanged for the exact test.  Beyond `FILTER_BYTES` all are exchanged.
+    """
+    if n_visited <= few:
+        return unseen(titles, F.broadcast(visited))
     made = bloom_filter(visited, "title", n_visited)
-    if made is None or not n_visited:
+    if made is None:
         return unseen(titles, visited)
     maps, n = made
     marked = titles.join(F.broadcast(cut(maps))).withColumn("_maybe", maybe_in(F.col("title"), F.col("maps"), n)).drop("maps")  # one row of checked size
@@ -137,7 +142,8 @@ def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001,
         done, n_visited = i, n_visited + fetched
         visited = visited.unionByName(now)
         # At most max(beta, alpha * n) titles are fetched a round.
-        found = links.join(small(now.select(F.col("title").alias("src")), 128), "src", "left_semi")
+        sources = now.select(F.col("title").alias("src"))
+        found = links.join(F.broadcast(sources) if fetched <= FEW else sources, "src", "left_semi")
         found, n_found = counted(found.select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct())
         extracted = extracted.unionByName(found)
         figures.append({"round": i, "fetched": fetched, "extracted": n_found, "seconds": time.perf_counter() - began})

@@ -47,7 +47,8 @@ def test_a_filter_lets_no_visited_title_through(spark):
     visited = spark.range(5000).select(F.concat(F.lit("t"), "id").alias("title"))
     titles = spark.range(4000, 9000).select(F.concat(F.lit("t"), "id").alias("title"))
     want = {f"t{i}" for i in range(5000, 9000)}
-    assert {r.title for r in graph.unseen_filtered(titles, visited, 5000).collect()} == want
+    for few in (0, 10_000):
+        assert {r.title for r in graph.unseen_filtered(titles, visited, 5000, few).collect()} == want
     maps, n = graph.bloom_filter(visited, "title", 5000)
     maybe = titles.join(F.broadcast(maps)).where(graph.maybe_in(F.col("title"), F.col("maps"), n)).count()
     assert 1000 <= maybe <= 1000 + 0.05 * 4000  # all repeats, few others
