@@ -566,6 +566,17 @@ def vec_store_latest(spark, d):
     return store.latest("doc_id", "embedding").select("doc_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
+@query
+def vec_runs_topk(spark, d):
+    """A collection of vectors in runs, routed by the hash of their ids, written twice; the ten nearest among the last writes for ids divisible by 50."""
+    c = _collection(spark, d).select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    store = RunStore.create(spark, f"{shared_folder(spark)}/vector-runs/{uuid.uuid4().hex}", "doc_id long, seq long, embedding array<double>", key="doc_id", buckets=4)
+    store.append(c.withColumn("seq", F.lit(-1))).append(_updates(c))
+    held = cut(store.read())
+    asked = held.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return vector_store.nearest_batch(held.select("doc_id", "embedding"), asked, K)
+
+
 @query
 def vec_topk_cosine(spark, d):
     """The ten nearest to vector 0."""
@@ -806,6 +817,14 @@ def stream_upsert(spark, d):
     return streams.upsert_stream(stream).select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
+@query
+def stream_runs(spark, d):
+    """Events as a stream into a collection of runs: the last event of each user."""
+    stream = streams.stream_table(spark, f"{d}/events.parquet").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    store = RunStore.create(spark, f"{shared_folder(spark)}/runs/{uuid.uuid4().hex}", "user_id long, seq long, event_type string", key="user_id", buckets=4)
+    return streams.into_runs(stream, store).read()
+
+
 @query
 def stream_dedupe(spark, d):
     """Users as they are first seen; a user is known for a year of event time after that."""

@@ -145,6 +145,11 @@ def statements() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) + 0, doc_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
             FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "stream_runs": "SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+        "vec_runs_topk": """WITH u AS (SELECT vec_id + 1 AS id, list_reverse(embedding)::DOUBLE[] AS e FROM embeddings),
+            c AS MATERIALIZED (SELECT * FROM u UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id NOT IN (SELECT id FROM u))
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank, doc_id, distance FROM (
+            SELECT q.id AS query_id, v.id AS doc_id, round(1 - list_cosine_similarity(v.e, q.e), 6) + 0 AS distance FROM c v, c q WHERE q.id % 50 = 0) QUALIFY rank <= 10""",
         "index_blocks": f"WITH {_TOK} SELECT word, count(DISTINCT doc_id) AS n, min(doc_id) AS first, max(doc_id) AS last FROM tok GROUP BY word",
         "index_lookup": f"WITH {_TOK} SELECT DISTINCT word, doc_id FROM tok WHERE word = 'the'",
         "crawl_rounds": f"WITH {_crawl()} SELECT f.round, f.n AS fetched, x.n AS extracted FROM (SELECT round, count(*) AS n FROM fetched GROUP BY round) f JOIN (SELECT round, count(*) AS n FROM extracted GROUP BY round) x USING (round)",

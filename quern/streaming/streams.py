@@ -13,6 +13,7 @@ from quern.functions.text import tokens
 from quern.operators import tfidf
 from quern.operators.vector_store import upsert
 from quern.session import cut, shared_folder
+from quern.sources.runs import RunStore
 from quern.sources.stores import folder_names, remove
 
 
@@ -107,6 +108,15 @@ def running_doc_freq(stream: DataFrame) -> DataFrame:
     return stream.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
 
+def into_runs(stream: DataFrame, store: RunStore, checkpoint: str | None = None) -> RunStore:
+    """Appends a stream to a collection of sorted runs, a run a batch.
+
+    A batch that is run again after a failure appends the same rows with the same ``seq``, which changes nothing that is read.
+    """
+    run_to_end(stream, lambda rows, i: store.append(rows), checkpoint)
+    return store
+
+
 def first_seen_for(stream: DataFrame, key: str, seconds: float) -> DataFrame:
     """(key): a key when it is first seen, and again when it comes back later than so many seconds after that; older keys leave the state.
 

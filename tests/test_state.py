@@ -50,3 +50,18 @@ def test_event_time_bounds_the_state(spark, tmp_path):
         q.awaitTermination()
         sizes.append(streams.sizes_of_batches(q)[-1]["state_rows"])
     assert sizes[-1] <= 3 and sizes[0] == 1
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    from quern.sources.runs import RunStore
+
+    store = RunStore.create(spark, str(tmp_path / "store"), "key string, seq long, value long", buckets=2)
+    for n in range(3):
+        spark.createDataFrame([("a", n, n), (f"k{n}", n, 10 * n)], "key string, seq long, value long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.stream_table(spark, str(tmp_path / "in"))
+    streams.into_runs(stream, store, str(tmp_path / "c"))
+    want = {"a": 2, "k0": 0, "k1": 10, "k2": 20}
+    assert {r.key: r.value for r in store.read().collect()} == want
+    # The checkpoint is lost: everything comes again.
+    streams.into_runs(stream, store, str(tmp_path / "d"))
+    assert {r.key: r.value for r in store.read().collect()} == want
