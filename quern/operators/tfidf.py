@@ -138,8 +138,10 @@ def query_vectors(tokens_: DataFrame, lexicon: DataFrame, docs: DataFrame) -> Da
     dim = first.dim if first else 0
     found = tokens_.join(small(lexicon, 8 * dim + 64), "word")
     freq = found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.any_value("vec").alias("vec"))
-    sums = [F.sum(F.col("n") * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)]
-    total = freq.groupBy("doc_id").agg((F.sum("n") * F.sum(F.col("n") * F.col("n"))).alias("W"), *sums)
-    one = F.array(*[F.col(f"v{i}") / F.col("W") for i in range(dim)]).cast("array<double>")
+    # A row of a text's distinct words: a question has few, and no text more than the lexicon.
+    total = freq.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "n", "vec"))).alias("words"))
     zero = F.array_repeat(F.lit(0.0), dim)
-    return docs.select("doc_id").join(total, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("W").isNotNull(), one), zero).alias("vec"))
+    weight = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x["n"]) * F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])
+    vec = F.aggregate("words", zero, lambda a, x: F.zip_with(a, x["vec"], lambda p, y: p + x["n"] * y), lambda a: F.transform(a, lambda y: y / F.col("weight")))
+    total = total.withColumn("weight", weight).select("doc_id", vec.alias("vec"))
+    return docs.select("doc_id").join(total, "doc_id", "left").select("doc_id", F.coalesce("vec", zero).alias("vec"))

@@ -31,7 +31,7 @@ def stop_words(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(word): the lines of a text file, or the list above."""
     if path:
         return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
-    return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, STOP_WORDS))).alias("word"))
 
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
