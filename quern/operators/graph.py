@@ -128,8 +128,7 @@ def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001,
     """
     spark = links.sparkSession
     links = cut(links.select("src", "dst").where(plain_title(F.col("dst"))))  # every round reads them
-    frontier = seeds.select("title").distinct()
-    n_frontier = frontier.count()
+    frontier, n_frontier = counted(seeds.select("title").distinct())
     visited = spark.createDataFrame([], "round int, title string")
     extracted = visited
     done, n_visited, figures = 0, 0, []
@@ -147,6 +146,8 @@ def crawl(seeds: DataFrame, links: DataFrame, rounds: int, alpha: float = 0.001,
         found, n_found = counted(found.select(F.lit(i).alias("round"), F.col("dst").alias("title")).distinct())
         extracted = extracted.unionByName(found)
         figures.append({"round": i, "fetched": fetched, "extracted": n_found, "seconds": time.perf_counter() - began})
+        if i == rounds:
+            break
         frontier, n_frontier = counted(unseen_filtered(found.select("title"), visited.select("title"), n_visited))
     return Crawl(visited, extracted, done, figures)
 

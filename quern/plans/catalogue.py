@@ -13,7 +13,7 @@ from quern.operators import cells, graph, groups, kv, mapreduce, postings, tfidf
 from quern.session import cut, shared_folder
 from quern.sources import buckets, page_source, pages
 from quern.sources.runs import RunStore
-from quern.sources.stores import KEY_VALUES, VECTORS, Store, listing, stored
+from quern.sources.stores import KEY_VALUES, VECTORS, Store, listing, remove, stored
 from quern.sources.tables import spread, stop_words, table
 from quern.streaming import streams
 
@@ -388,13 +388,26 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings", "vec_id", "embedding")
 
 
+#: Goes up with every change of what the index holds, so that one made by older code isn't read.
+INDEX_VERSION = 1
+
+
+def _index_folder(spark, d) -> str:
+    return f"{shared_folder(spark)}/index/{INDEX_VERSION}-{listing(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}"
+
+
 def _kept(spark, d, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A part of the search index over a folder's documents and vectors, built where the shared folder doesn't have it.
 
     It is known by the names, sizes and times of the files it is made of, so other files make another index,
     and every session that shares the folder finds it.
     """
-    return stored(spark, f"{shared_folder(spark)}/index/{listing(spark, f'{d}/documents.parquet', f'{d}/embeddings.parquet')}/{name}", make)
+    return stored(spark, f"{_index_folder(spark, d)}/{name}", make)
+
+
+def drop_index(spark, d) -> None:
+    """Deletes the search index over a folder, if there is one; the next query builds it anew."""
+    remove(spark, _index_folder(spark, d))
 
 
 def _freq(spark, d) -> DataFrame:

@@ -105,3 +105,5 @@ def test_the_index_notices_other_documents(spark, sf, tmp_path):
     assert {r.word for r in catalogue.lexicon_load(spark, folder).collect()} >= {"zebra", "quagga", "okapi"}
     assert not first & {"zebra", "quagga", "okapi"} and len({r.word for r in catalogue.lexicon_load(spark, folder).collect()}) < 8
     assert {r.doc_id for r in catalogue.search_text(spark, folder).collect()} <= {1, 2}
+    catalogue.drop_index(spark, folder)
+    assert {r.word for r in catalogue.lexicon_load(spark, folder).collect()} >= {"zebra"}
