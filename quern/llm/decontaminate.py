@@ -10,14 +10,17 @@ lengthen runs, and where an item has no other windows, a share of them is a leak
 
 For a document and an item that meet, the slots are compared: each value of
 the item has to stand for one value in the document, so "Ann has 3 pears, Ann eats 1" is found in
-"Bob has 7 pears, Bob eats 2" but not in "Bob has 7 pears, Eve eats 2".  Windows
+"Bob has 7 pears, Bob eats 2" but not in "Bob has 7 pears, Eve eats 2".  It holds the other way round too: a
+name or unit of the document stands for one of the item's, so "Ann meets Bob" isn't found in "Zoe meets Zoe"; a number stands for
+two at most, as numbers that are drawn anew coincide.  Windows
 against the usual reading of a value don't count.  An item leaks into a document if the windows left
 cover ``run`` tokens in a row, or ``share`` of the item's windows.  Where those of the whole document
 don't, each occurrence is judged by its own usual readings, so variants of one question side by side are found.
 
 The benchmark is a stated query set: it is cut into blocks of at most
 ``block_tokens`` tokens, so that what is broadcast is bounded, and each block
-goes over all documents; nothing is shuffled.  A block is sorted arrays of window hashes, 50 to 150
+goes over all documents; nothing is shuffled.  `without_leaks` writes what is left every `CHAIN`
+blocks, so that a task runs so many Python workers at most.  A block is sorted arrays of window hashes, 50 to 150
 bytes a token, and the join a search in them.
 
 Defined results
@@ -44,6 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_written, written
+
 #: Words, numbers with their inner marks, single signs that are units, and what ends a sentence.
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d]\w*|[%$€£°]|[.!?\n]")
 #: Units of measure and money.
@@ -55,6 +60,8 @@ TURN = 3
 READINGS = range(1 << TURN)
 #: The reading without any slots, for windows with too few words.
 EXACT = 1 << TURN
+#: Blocks that follow one another in a task before the documents left are written.
+CHAIN = 8
 _NUMBER_CODE, _NAME_CODE, _UNIT_CODE = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
 
 
@@ -269,6 +276,12 @@ def _judged(hits: dict[tuple[int, int, int], int], item: int, t: Template, slots
         readings[asked(q)][here(p)] += 1
     usual = {v: c.most_common(1)[0][0] for v, c in readings.items()}
     wrong = {(p, q) for p, q in pairs if here(p) != usual[asked(q)]}
+    back: dict[tuple[int, bool], Counter] = defaultdict(Counter)
+    of = lambda p: (here(p), bool(t.codes[p] == _NUMBER_CODE))
+    for p, q in sorted(pairs - wrong):
+        back[of(p)][asked(q)] += 1
+    stands_for = {v: {x for x, _ in c.most_common(2 if v[1] else 1)} for v, c in back.items()}
+    wrong |= {(p, q) for p, q in pairs - wrong if asked(q) not in stands_for[of(p)]}
     left = sorted((p - q, q, size) for (p, q, size), r in hits.items() if not any(slots[r][p + j] and (p + j, q + j) in wrong for j in range(size)))
     longest = now = 0
     for i, (d, q, size) in enumerate(left):
@@ -355,7 +368,13 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, s: Settings = Sett
     spark = documents.sparkSession
     at = documents.columns.index("text")
     out = documents
-    for items in blocks(benchmark, s):
+    left = None
+    for n, items in enumerate(blocks(benchmark, s)):
+        if n and n % CHAIN == 0:
+            done, out = left, written(out, "without-leaks")
+            left = out
+            if done is not None:
+                drop_written(done)
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

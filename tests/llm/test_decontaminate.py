@@ -44,6 +44,55 @@ def test_inconsistent_parameters_are_not():
     assert not leaks("Nothing of that kind has been said by Ann before lunch.")
 
 
+PEOPLE = "Then Ann has 3 pears and 5 kg of apples, but Bob eats 1 pear and gives 2 apples to Carl before lunch."
+
+
+def test_consistency_holds_both_ways():
+    """One name or number can't stand for all of an item's; two numbers may coincide."""
+    assert found(PEOPLE, PEOPLE.replace("Ann", "Eve").replace("Bob", "Tim").replace("Carl", "Max").replace("3", "8"))
+    assert not found(PEOPLE, re.sub("[0-9]", "7", re.sub("Ann|Bob|Carl", "Zoe", PEOPLE)))
+    assert not found(PEOPLE, re.sub("Ann|Bob|Carl", "Zoe", PEOPLE))
+    assert found(PEOPLE, PEOPLE.replace("3", "7").replace("1", "7"))
+    assert not found("The clerk sold 3 pears, 5 plums, 9 figs, 11 nuts, 13 limes and 15 dates to all of them", "The clerk sold 7 pears, 7 plums, 7 figs, 7 nuts, 7 limes and 7 dates to all of them")
+
+
+def reparameterised(rng, template, names, numbers):
+    """A template with its slots filled: one value for each slot name."""
+    values = {k: rng.choice(names) for k in "ABC"} | dict(zip("xyz", rng.sample(numbers, 3)))
+    while len({values[k] for k in "ABC"}) < 3:
+        values |= {k: rng.choice(names) for k in "ABC"}
+    return re.sub(r"\{(\w)\}", lambda m: str(values[m.group(1)]), template)
+
+
+def test_templates_equal_a_comparison_of_all_pairs(spark):
+    """Every document holds one template, filled with its own values; a pair leaks if the templates are equal."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3)))
+    templates = []
+    for _ in range(12):
+        words = [word() for _ in range(26)]
+        for at, slot in zip((2, 6, 9, 13, 17, 20, 24), "AxByACz"):
+            words.insert(at, "{%s}" % slot)
+        templates.append(" ".join(words))
+    names = "Eve Tim Max Joe Liz Sid Pam Ned Una Amy Ron Kim Lou Gus".split()
+    bench = [(i, reparameterised(rng, t, names, range(10, 99))) for i, t in enumerate(templates)]
+    docs = [(i, " ".join(word() for _ in range(i % 40)) + " then " + reparameterised(rng, templates[i % 12], names, range(100, 999)) + " " + word()) for i in range(60)]
+    # In these one name stands for all three.
+    docs += [(100 + i, "then " + re.sub(r"\{[ABC]\}", "Zoe", re.sub(r"\{([xyz])\}", "7", t))) for i, t in enumerate(templates)]
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(cases.documents(spark, docs), items(spark, bench), D.Settings(block_tokens=200)).collect()}
+    assert got == {(i, i % 12) for i in range(60)}
+
+
+def test_many_blocks_are_few_workers(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    bench = [(i, words(30)) for i in range(20)]
+    docs = cases.documents(spark, [(i, words(40)) for i in range(30)] + [(100 + i, f"so {t} it is") for i, t in bench])
+    kept = D.without_leaks(docs, items(spark, bench), D.Settings(block_tokens=60))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= D.CHAIN
+    assert cases.ids(kept) == list(range(30))
+
+
 def found(item, text):
     s = D.Settings()
     it = D.prepare([1], [item], s)
