@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-A text's units are its runs of non-space characters, lower-cased; in a run of more than
-``piece`` code points every code point is a unit, so that a text without spaces has units too, and
-where a run begins doesn't matter to what it holds.  Every k
+A text's units are its runs of non-space characters, lower-cased.  Inside a run, every code point of a script
+that is written without spaces is a unit, and a unit ends after each of the letters `ENDS`, which are seldom in
+words but cut a long run of any letters or digits.  So what a unit is goes by its own characters alone: it
+doesn't matter how long a run is, where it begins, or where a passage is wrapped, but for the units at the wraps.
+Every k
 units in a row are hashed; of every w hashes in a row the smallest is chosen,
 the rightmost one on ties, and kept with its position.  Whatever two texts share
 over k + w - 1 units in a row leaves at least one hash in both fingerprints;
@@ -30,14 +32,17 @@ from quern.operators.prefix import with_range
 
 from .common import bound
 
-K, W, PIECE = 5, 8, 24
+K, W = 5, 8
 _POSITIONS = (1 << 28) - 1
-_CHAR = r"[^\x20\x09-\x0D]"
+#: Thai to Myanmar, Khmer, the radicals, kana and ideographs, and the planes of further ideographs.
+SPACELESS = r"\u0E00-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: What ends a unit inside a run.
+ENDS = "jkqvxz7"
+UNIT = rf"[^\x20\x09-\x0D{SPACELESS}{ENDS}]++[{ENDS}]?+|[{ENDS}{SPACELESS}]"
 
 
-def units(text: Column, piece: int = PIECE) -> Column:
-    run = rf"(?<!{_CHAR}){_CHAR}{{1,{piece}}}+(?!{_CHAR})|{_CHAR}"
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(run), F.lit(0))
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
 
 
 def gram_hashes(unit_array: Column, k: int = K) -> Column:
@@ -62,10 +67,10 @@ def choose(hashes: Column, w: int = W) -> Column:
     return F.when(F.size(hashes) > 0, F.transform(chosen, lambda p: (F.lit(_POSITIONS) - p.bitwiseAND(F.lit(_POSITIONS))).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprint(text: Column, k: int = K, w: int = W, piece: int = PIECE) -> Column:
+def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """array<struct<hash: long, position: int>>, by position."""
     return bound(
-        gram_hashes(units(text, piece), k),
+        gram_hashes(units(text), k),
         lambda h: F.transform(choose(h, w), lambda p: F.struct(F.get(h, p).alias("hash"), p.alias("position"))),
     )
 

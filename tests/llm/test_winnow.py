@@ -23,8 +23,20 @@ def hash_longs(values):
 
 def fingerprint(text, k=winnow.K, w=winnow.W):
     """Window by window, as defined."""
-    runs = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-    units = [u for r in runs for u in ([r] if len(r) <= winnow.PIECE else r)]
+    units = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()):
+        unit = ""
+        for c in run:
+            alone = any(low <= ord(c) <= high for low, high in ((0xE00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+            if alone and unit:
+                units.append(unit)
+                unit = ""
+            unit += c
+            if alone or c in "jkqvxz7":
+                units.append(unit)
+                unit = ""
+        if unit:
+            units.append(unit)
     h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units]
     grams = [hash_longs(h[i : i + k]) for i in range(len(h) - k + 1)] or ([hash_longs(h)] if h else [])
     out = []
@@ -45,6 +57,8 @@ def likeness(a, b):
 def test_fingerprints_equal_the_definition(spark):
     texts = [(i, t) for i, (_, t) in enumerate(cases.TEXTS) if "İ" not in (t or "")]  # Java and Python lower this letter differently
     texts += [(100 + i, cases.sentence(i, i)) for i in range(40)]
+    rng = __import__("random").Random(2)
+    texts += [(200 + i, "".join(rng.choice("abkz7 天地人\U00020001\u0e01é.") for _ in range(5 * i))) for i in range(40)]
     got = spark.createDataFrame(texts, "i long, text string").select("i", winnow.fingerprint(F.col("text")).alias("p")).collect()
     for r in got:
         assert [(x.hash, x.position) for x in r.p] == fingerprint(dict(texts)[r.i])
@@ -67,6 +81,17 @@ def test_passages_in_texts_without_spaces_are_found_at_any_offset(spark):
     assert all(len(a & b) >= least for a in sets for b in sets)
 
 
+def test_it_does_not_matter_where_a_passage_is_wrapped(spark):
+    rng = __import__("random").Random(8)
+    for letters in ([chr(0x4E00 + i) for i in range(2000)], list("abcdefghijklmnopqrstuvwxyz0123456789"), list("0123456789abcdef"), list("0123456789")):
+        passage = "".join(rng.choice(letters) for _ in range(3000))
+        wrapped = [passage] + ["\n".join(passage[i : i + n] for i in range(0, len(passage), n)) for n in (24, 25, 40, 1000)]
+        sets = [set(r.h) for r in spark.createDataFrame([(t,) for t in wrapped], "t string").select(winnow.hashes_of(winnow.fingerprint(F.col("t"))).alias("h")).collect()]
+        if ord(letters[0]) > 0x4E00 - 1:
+            assert all(x == sets[0] for x in sets)
+        assert len(sets[0] & sets[-1]) > 0.7 * len(sets[0]), letters[0]
+
+
 def test_ids_far_apart(spark):
     rows = [(-(2**62) - 5, "a b c"), (2**62 + 7, "d e f"), (2**63 - 1, "g h i"), (-(2**63), "j k l")]
     got = {r.doc_id: r.edited_sha256 for r in winnow.edited(cases.documents(spark, rows)).collect()}
