@@ -180,6 +180,11 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
 # ------------------------------------------------------------------ blocks
 
 
+def bucket(buckets: int) -> Column:
+    """By doc_id and text, as many rows may have one id, or none."""
+    return F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets))
+
+
 def with_places(docs: DataFrame, plan: Plan, bucket_words: int = 1_000_000) -> DataFrame:
     """Adds source_index, source_size, target and start, the number of words before the document in its source.
 
@@ -187,8 +192,8 @@ def with_places(docs: DataFrame, plan: Plan, bucket_words: int = 1_000_000) -> D
     buckets of about ``bucket_words`` words, so a task sorts as much of the largest source as of any other.
     Equal rows are told apart by nothing, so it doesn't matter which comes first.
     """
-    buckets = max(16, -(-int(plan.sizes.max(initial=0)) // bucket_words))
-    rows = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    buckets = max(64, -(-int(plan.sizes.max(initial=0)) // bucket_words))
+    rows = docs.withColumn("bucket", bucket(buckets))
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("base"))

@@ -104,3 +104,12 @@ def test_rows_of_every_kind(spark):
     assert mixing.taken(cases.documents(spark, [])).count() == 0
     assert mixing.mixed_blocks(cases.documents(spark, [])).count() == 0
     assert [(r.size, r.taken, r.target) for r in mixing.taken(cases.documents(spark, [(1, ""), (1, None)])).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    """A third of all rows has no id; no bucket of a source holds much more than another."""
+    rows = [(None if i % 3 == 0 else i, "one source", f"text {i} of some words") for i in range(6000)]
+    sizes = mixing.sized(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    bucket = mixing.bucket(64)
+    n = [r["count"] for r in sizes.groupBy(bucket).count().collect()]
+    assert len(n) == 64 and max(n) < 2 * sum(n) / 64
