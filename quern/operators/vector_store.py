@@ -21,6 +21,8 @@ DIGITS = 6
 BLOCK_BYTES = 16 << 20
 #: Beyond it, rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Distances that a task holds at once; it has a few arrays of so many numbers.
+CELLS = 1 << 20
 
 
 def _distance(*args, **kwargs) -> Column:
@@ -47,8 +49,8 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, distance) for every query (query_id, vec); vectors without length are left out.
 
-    Queries of at most ``block_bytes`` go to every task, which reads its vectors in batches, takes a product of matrices and keeps
-    the k nearest of each query as it reads.  More queries meet the vectors in blocks of bounded size.
+    Queries of at most ``block_bytes`` go to every task, which reads its vectors in batches, takes products of matrices of at most
+    `CELLS` numbers and keeps the k nearest of each query as it reads.  More queries meet the vectors in blocks of bounded size.
     """
     n, size = queries.agg(F.count("*"), F.sum(8 * F.size("vec") + 64)).first()
     q = queries.where("vec is not null").select("query_id", as_double(F.col("vec")).alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
@@ -59,10 +61,14 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: i
         if not (rows.num_rows and asked.num_rows):
             return pa.table({"query_id": asked.column("query_id")[:0], "doc_id": rows.column("doc_id")[:0], "distance": pa.array([], pa.float64())})
         rows, dim = rows.sort_by("doc_id"), len(asked.column("v")[0])
-        lengths = asked.column("n").to_numpy()[:, None] * rows.column("n").to_numpy()
-        d = np.round(1 - matrix(asked.column("v"), dim) @ matrix(rows.column("v"), dim).T / lengths, DIGITS) + 0.0
-        r, c = largest(-d, k, -np.inf)
-        return pa.table({"query_id": asked.column("query_id").take(pa.array(r)), "doc_id": rows.column("doc_id").take(pa.array(c)), "distance": d[r, c]})
+        v, n = matrix(rows.column("v"), dim).T, rows.column("n").to_numpy()
+        step, out = max(1, CELLS // rows.num_rows), []
+        for at in range(0, asked.num_rows, step):
+            part = asked.slice(at, step)
+            d = np.round(1 - matrix(part.column("v"), dim) @ v / (part.column("n").to_numpy()[:, None] * n), DIGITS) + 0.0
+            r, c = largest(-d, k, -np.inf)
+            out.append(pa.table({"query_id": part.column("query_id").take(pa.array(r)), "doc_id": rows.column("doc_id").take(pa.array(c)), "distance": d[r, c]}))
+        return pa.concat_tables(out)
 
     if (size or 0) > block_bytes:
         found = meet(v, q, "doc_id", "query_id", compare, schema, BLOCK_ROWS, BLOCK_QUERIES, vectors.count(), n)

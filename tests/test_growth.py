@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import tfidf
+from quern.operators import tfidf, vector_store
 from quern.plans import catalogue
 
 
@@ -29,3 +29,23 @@ def test_vectors_with_a_lexicon_that_is_not_sent_whole(spark):
     for most in (1, 160, 240):
         got = {r.doc_id: r.vec for r in tfidf.document_vectors(weighted, lexicon, docs, most).collect()}
         assert got.keys() == whole.keys() and all(np.allclose(got[i], whole[i]) for i in whole)
+
+
+def test_many_queries_meet_a_batch_of_vectors_in_products_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = np.round(rng.normal(size=(700, 6)), 2)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<double>").repartition(2)
+    asked = c.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vec"))
+    d = np.round(1 - vectors @ vectors.T / np.outer(*[np.linalg.norm(vectors, axis=1)] * 2), 6) + 0.0
+    want = {i: np.lexsort((np.arange(700), d[i]))[:4].tolist() for i in range(700)}
+    monkeypatch.setattr(vector_store, "CELLS", 5000)
+    real, cells = vector_store.largest, spark.sparkContext.accumulator(0)
+
+    def seen(scores, *rest):
+        assert scores.size <= 5000
+        cells.add(scores.size)
+        return real(scores, *rest)
+
+    monkeypatch.setattr(vector_store, "largest", seen)
+    got = vector_store.nearest_batch(c, asked, 4).orderBy("query_id", "rank").collect()
+    assert {i: [r.doc_id for r in got if r.query_id == i] for i in want} == want
