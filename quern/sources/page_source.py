@@ -27,6 +27,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "title string, extract string, links array<string>, error string"
 SUFFIX = ".answers"
+#: Answers of about so many bytes go into a file, and into a batch that a reader gives out; a batch has so many rows at most.
+FILE_BYTES, BATCH_BYTES, BATCH_ROWS = 8 << 20, 1 << 20, 1000
+TYPES = pa.schema([("title", pa.string()), ("extract", pa.string()), ("links", pa.list_(pa.string())), ("error", pa.string())])
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -47,6 +50,11 @@ def _first(name: str) -> str:
     return unquote(name[: -len(SUFFIX)].partition("~")[2])
 
 
+def _text(x) -> str | None:
+    """A value as text, as answers may hold others."""
+    return x if x is None or isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+
+
 def decoded(asked: str | None, answer: str | None) -> tuple:
     """(title, extract, links, error) of one answer."""
     try:
@@ -54,7 +62,7 @@ def decoded(asked: str | None, answer: str | None) -> tuple:
         page = next(iter(pages.values()), None)
         if page is None or "missing" in page:
             return asked, None, None, "no page"
-        return page.get("title", asked), page.get("extract"), [x["title"] for x in page.get("links") or []], None
+        return _text(page.get("title", asked)), _text(page.get("extract")), [_text(x["title"]) for x in page.get("links") or []], None
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         return asked, None, None, f"unreadable answer: {type(e).__name__}"
 
@@ -70,7 +78,19 @@ class _Reads:
 
     low, high = None, None
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Batches of bounded size: Spark would collect ten thousand tuples, however long."""
+        held, size = [], 0
+        for row in self._rows(partition):
+            held.append(row)
+            size += len(row[1] or "") + 100
+            if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _rows(self, partition: Files) -> Iterator[tuple]:
         store, path = _store(partition.uri)
         for name in partition.names:
             try:
@@ -83,6 +103,10 @@ class _Reads:
                 yield _first(name), None, None, f"unreadable file: {type(e).__name__}"
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], schema=TYPES)
+
+
 def _lines(f, size: int = 1 << 20) -> Iterator[bytes]:
     rest = b""
     while block := f.read(size):
@@ -156,6 +180,7 @@ class PageSource(DataSource):
 def save_answers(answers: DataFrame, folder: str, files: int) -> int:
     """Writes (title, answer) as files of title ranges, as a fetcher leaves them behind; gives the number of files.
 
+    There are so many files at least, and as many more as it takes for `FILE_BYTES` in each: a task holds the answers of one file at most.
     A file gets its name when it is whole, and a task that runs again writes the same one.
     """
 
@@ -163,7 +188,7 @@ def save_answers(answers: DataFrame, folder: str, files: int) -> int:
         number, out, store, path, place = 0, None, *_store(folder), None
         store.create_dir(path, recursive=True)
         for b in batches:
-            for title, answer in zip(b.column("title").to_pylist(), b.column("answer").to_pylist(), strict=True):
+            for title, answer in ((t.as_py(), a.as_py()) for t, a in zip(b.column("title"), b.column("answer"), strict=True)):
                 if out is None:
                     place = f"{path}/{b.column('part')[0].as_py():06d}~{quote(title, safe='')[:180]}{SUFFIX}"
                     out = store.open_output_stream(place + ".draft")
@@ -174,7 +199,9 @@ def save_answers(answers: DataFrame, folder: str, files: int) -> int:
             number = 1
         yield pa.RecordBatch.from_arrays([pa.array([number])], names=["n"])
 
-    rows = answers.where("title is not null").select("title", "answer").repartitionByRange(files, "title").sortWithinPartitions("title")
+    answers = answers.where("title is not null").select("title", "answer")
+    size = answers.agg(F.sum(F.octet_length("answer").cast("long"))).first()[0] or 0
+    rows = answers.repartitionByRange(max(files, -(-size // FILE_BYTES)), "title").sortWithinPartitions("title")
     return rows.withColumn("part", F.spark_partition_id()).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 

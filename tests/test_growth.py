@@ -1,5 +1,7 @@
 """Steps whose cost must not outgrow their input."""
 
+import json
+import os
 import re
 
 import numpy as np
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import tfidf, vector_store
 from quern.plans import catalogue
+from quern.sources import page_source
 
 
 def plan(df):
@@ -49,3 +52,22 @@ def test_many_queries_meet_a_batch_of_vectors_in_products_of_bounded_size(spark,
     monkeypatch.setattr(vector_store, "largest", seen)
     got = vector_store.nearest_batch(c, asked, 4).orderBy("query_id", "rank").collect()
     assert {i: [r.doc_id for r in got if r.query_id == i] for i in want} == want
+
+
+def test_answers_are_written_and_read_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(page_source, "FILE_BYTES", 20_000)
+    rows = spark.range(300).select(F.format_string("T%03d", "id").alias("title"), F.repeat(F.lit("xy "), 100).alias("extract"))
+    answers = rows.select("title", page_source.answer_of(F.col("title"), F.col("extract"), F.array(F.lit("Main"))).alias("answer"))
+    assert page_source.save_answers(answers, str(tmp_path / "a"), 2) == len(os.listdir(tmp_path / "a")) > 4
+    monkeypatch.setattr(page_source, "BATCH_BYTES", 3000)
+    reader = page_source.PageReader({"path": str(tmp_path / "a"), "partitions": "1"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == 300 and max(b.num_rows for b in batches) < 10
+    assert sorted(t for b in batches for t in b.column("title").to_pylist()) == [f"T{i:03d}" for i in range(300)]
+
+
+def test_values_of_other_kinds_are_texts(spark, tmp_path):
+    page = {"title": 5, "extract": True, "links": [{"title": None}, {"title": 1.5}]}
+    (tmp_path / "0~a.answers").write_text(json.dumps({"asked": "a", "answer": json.dumps({"query": {"pages": {"1": page}}})}) + "\n")
+    spark.dataSource.register(page_source.PageSource)
+    assert [tuple(r) for r in spark.read.format("pages").load(str(tmp_path)).collect()] == [("5", "true", [None, "1.5"], None)]
