@@ -150,17 +150,15 @@ def online_statistics(stream: DataFrame, stop: DataFrame, folder: str | None = N
 
     def batch(rows: DataFrame, i: int) -> None:
         rows = cut(rows.select("doc_id", "text"))
-        freq = cut(tfidf.term_freq(tfidf.without_stop_words(tfidf.words(rows), stop)))
         done = [n for n in _finished(spark, f"{root}/counts") if n < i]
         counts = spark.read.schema(schema).parquet(f"{root}/counts/n={done[-1]}") if done else spark.createDataFrame([], schema)
         earlier = counts.where("word = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("earlier"))  # one row
-        sizes = freq.groupBy("doc_id").agg(F.sum("n").alias("size"))
-        seen = tfidf.online_idf(freq, rows).join(counts.withColumnRenamed("df", "known"), "word", "left").join(F.broadcast(earlier))
-        seen = seen.join(freq, ["doc_id", "word"]).join(sizes, "doc_id")
-        out = seen.select("doc_id", "word", "n", "size", (F.col("n_docs") + F.col("earlier")).alias("n_docs"), (F.col("df") + F.coalesce("known", F.lit(0))).alias("df"))
+        seen = tfidf.online(rows, stop, counts.withColumnRenamed("df", "known")).join(F.broadcast(earlier))
+        out = seen.select("doc_id", "word", "n", "size", (F.col("n_docs") + F.col("earlier")).alias("n_docs"), "df")
         out.write.mode("overwrite").parquet(f"{root}/seen/n={i}")
         # No word is empty: that row counts documents.
-        new = tfidf.doc_freq(freq).unionByName(rows.select("doc_id").distinct().agg(F.count("*").alias("df")).select(F.lit("").alias("word"), "df"))
+        documents = rows.agg(F.count_distinct("doc_id").alias("df")).select(F.lit("").alias("word"), "df")
+        new = tfidf.doc_freq(spark.read.schema(out.schema).parquet(f"{root}/seen/n={i}")).unionByName(documents)
         counts.unionByName(new).groupBy("word").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{root}/counts/n={i}")
         for n in done[:-1]:
             remove(spark, f"{root}/counts/n={n}")

@@ -71,3 +71,19 @@ def test_values_of_other_kinds_are_texts(spark, tmp_path):
     (tmp_path / "0~a.answers").write_text(json.dumps({"asked": "a", "answer": json.dumps({"query": {"pages": {"1": page}}})}) + "\n")
     spark.dataSource.register(page_source.PageSource)
     assert [tuple(r) for r in spark.read.format("pages").load(str(tmp_path)).collect()] == [("5", "true", [None, "1.5"], None)]
+
+
+def test_online_counts_go_on_from_range_to_range(spark, sf):
+    rows = [(3 * i - 40, " ".join(w for j, w in enumerate(["often", "a", "even", "third", "b's"]) if i % (j + 1) == 0) + " often") for i in range(60)] + [(None, "often even"), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stop = spark.createDataFrame([("a",)], "word string")
+    got = {(r.doc_id, r.word): (r.n, r.size, r.n_docs, r.df) for r in tfidf.online(docs, stop, spark.createDataFrame([("even", 10)], "word string, known long"), part_bytes=150).collect()}
+    df, want = {"even": 10}, {}
+    for at, (i, t) in enumerate(rows[:60], 1):
+        kept = [w for w in t.split() if w != "a"]
+        for w in set(kept):
+            df[w] = df.get(w, 0) + 1
+            want[i, w] = (kept.count(w), len(kept), at, df[w])
+    assert got == want
+    found = plan(catalogue.tfidf_online(spark, sf))
+    assert not re.search(r"hashpartitioning\(doc_id#\w+, word|hashpartitioning\(word#\w+, doc_id|hashpartitioning\(_range#\w+, word", found)
