@@ -14,14 +14,23 @@ from quern.session import cut
 from .prefix import ranked
 
 
-def two_hop(left: DataFrame, right: DataFrame) -> DataFrame:
+#: So many pairs that a task tells apart take about 200 MB.
+PAIRS = 2_000_000
+
+
+def two_hop(left: DataFrame, right: DataFrame, pairs_per_task: int = PAIRS) -> DataFrame:
     """(src, n): how many distinct targets each source reaches over two links, by way of any middle.
 
     Exact, so every pair of source and target is met: for graphs whose middles have few links.  `two_hop_sketch` is for the others.
+    Middles, and then pairs, are dealt over as many tasks as it takes for ``pairs_per_task`` pairs in each, repeats counted.
     """
-    a = left.select("src", F.col("dst").alias("mid")).distinct()
-    b = right.select(F.col("src").alias("mid"), "dst").distinct()
-    return a.join(b, "mid").select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
+    a = cut(left.select("src", F.col("dst").alias("mid")).distinct())
+    b = cut(right.select(F.col("src").alias("mid"), "dst").distinct())
+    pairs = a.groupBy("mid").agg(F.count("*").alias("x")).join(b.groupBy("mid").agg(F.count("*").alias("y")), "mid")
+    n = pairs.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, -(-n // pairs_per_task))
+    met = a.repartition(parts, "mid").join(b.repartition(parts, "mid").hint("merge"), "mid").select("src", "dst")
+    return met.repartition(parts, "src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"))
 
 
 def two_hop_sketch(left: DataFrame, right: DataFrame, bits: int = 12) -> DataFrame:

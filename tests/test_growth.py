@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import tfidf, vector_store
+from quern.operators import graph, tfidf, vector_store
 from quern.plans import catalogue
 from quern.sources import page_source
 
@@ -87,3 +87,14 @@ def test_online_counts_go_on_from_range_to_range(spark, sf):
     assert got == want
     found = plan(catalogue.tfidf_online(spark, sf))
     assert not re.search(r"hashpartitioning\(doc_id#\w+, word|hashpartitioning\(word#\w+, doc_id|hashpartitioning\(_range#\w+, word", found)
+
+
+def test_two_hops_are_dealt_by_the_pairs_they_make(spark):
+    links = spark.createDataFrame([(i % 13, i % 29) for i in range(400)] + [(i, 999) for i in range(40)], "src long, dst long")
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    rows = {(r.src, r.dst) for r in links.collect()}
+    want = {s: len({x for x, m in rows for y, k in rows if y == s and k == m}) for s, _ in rows}
+    few = graph.two_hop(links, back, pairs_per_task=100)
+    assert {r.src: r.n for r in few.collect()} == want == {r.src: r.n for r in graph.two_hop(links, back).collect()}
+    numbers = [int(x) for x in re.findall(r"hashpartitioning\(src#\w+, dst#\w+, (\d+)\)", plan(few))]
+    assert numbers and max(numbers) > 40
