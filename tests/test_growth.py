@@ -5,9 +5,11 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import graph, tfidf, vector_store
+from quern.operators import graph, postings, tfidf, vector_store
 from quern.plans import catalogue
 from quern.sources import page_source
 
@@ -98,3 +100,62 @@ def test_two_hops_are_dealt_by_the_pairs_they_make(spark):
     assert {r.src: r.n for r in few.collect()} == want == {r.src: r.n for r in graph.two_hop(links, back).collect()}
     numbers = [int(x) for x in re.findall(r"hashpartitioning\(src#\w+, dst#\w+, (\d+)\)", plan(few))]
     assert numbers and max(numbers) > 40
+
+
+def test_stored_lists_are_read_back_by_one_sum(spark, sf, tmp_path):
+    far = [-(2**62) - 5, -7, 0, 2**62 + 9]
+    rows = spark.createDataFrame([("far", x) for x in far * 2] + [("bare", None), ("both", None), ("both", 4)], "word string, doc_id long").repartition(3)
+    want = {("far", x) for x in far} | {("both", 4)}
+    for n, most in (("a", None), ("b", 10)):
+        path = str(tmp_path / n)
+        postings.build(rows, path, most, buckets=2, per_list=2 if n == "a" else 1_000_000)
+        found = postings.ids(postings.blocks(spark, path))
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert "aggregate(" not in plan(found)
+        assert [tuple(r) for r in postings.blocks(spark, path).where("word = 'bare'").select("block", "first", "last", "steps").collect()] == [(0, None, None, [])]
+        assert sorted(os.listdir(tmp_path))[-1] == n
+    assert "aggregate(" not in plan(catalogue.index_blocks(spark, sf))
+
+
+def test_words_of_documents_without_an_id_have_a_row(spark, tmp_path):
+    texts = [(1, "a b"), (None, "b c"), (3, None), (4, ""), (5, "b")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "some/documents.parquet"))
+    assert sorted(map(tuple, catalogue.index_blocks(spark, str(tmp_path / "some")).collect())) == [("a", 1, 1, 1), ("b", 2, 1, 5), ("c", 0, None, None)]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert catalogue.index_blocks(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_index_of_more_documents_than_a_range(spark, sf, monkeypatch):
+    want = sorted(map(tuple, catalogue.index_blocks(spark, sf).collect()))
+    monkeypatch.setattr(postings, "PER_LIST", 30)
+    monkeypatch.setattr(postings, "IDS_PER_TASK", 300)
+    assert sorted(map(tuple, catalogue.index_blocks(spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("held,block", [(1, 4), (50, 4), (50, 1024), (10**6, 7)])
+def test_pieces_are_merged_a_bounded_number_at_a_time(monkeypatch, held, block):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(postings, "HELD_ROWS", held)
+    monkeypatch.setattr(postings, "BLOCK", block)
+    ids = np.sort(rng.integers(-300, 300, 2000))
+    pairs = [(w, int(i)) for i in ids for w in {f"w{int(x)}" for x in rng.geometric(0.3, 2)}] + [("bare", None), ("w1", None)]
+    rng.shuffle(pairs)
+    pairs = [(w, None if i is None else int(i)) for w, i in pairs]
+    kinds = pa.schema([("word", pa.string()), ("_range", pa.int32()), ("doc_id", pa.int64())])
+    rows = pa.Table.from_pylist([{"word": w, "_range": -1 if i is None else (i + 300) // 40, "doc_id": i} for w, i in pairs], kinds)
+    pieces = pa.Table.from_batches(postings._pieces(iter(rows.to_batches(37))))
+    assert max(len(x) for x in pieces.column("steps").to_pylist()) <= block
+    real, seen = postings._packed, []
+    monkeypatch.setattr(postings, "_packed", lambda rows, *rest: seen.append(sum(map(len, rows.column("steps").to_pylist()))) or real(rows, *rest))
+    batches = pieces.sort_by([("word", "ascending"), ("_range", "ascending")]).to_batches(5)
+    found = pa.Table.from_batches(postings._merged(iter(batches)))
+    if held == 50:
+        assert max(seen) < 50 + 5 * min(block, 40) + 2000 // 8  # a batch, and a range of a word with its repeats
+    ids, lengths = postings._decoded(found)
+    words = found.column("word").to_pylist()
+    assert sorted(zip(np.repeat(words, lengths).tolist(), ids.tolist())) == sorted({p for p in pairs if p[1] is not None})
+    for w in set(words):
+        at = [i for i, x in enumerate(words) if x == w]
+        assert sorted(found.column("block").to_pylist()[i] for i in at) == list(range(len(at)))
+        assert sorted(lengths[at])[1:] == [block] * (len(at) - 1)
+    assert [found.column("first").to_pylist()[i] for i, x in enumerate(words) if x == "bare"] == [None]
