@@ -24,6 +24,8 @@
 
 Only spanning links leave a task, never the pairs of a group.  Counts of keys are
 summed before they are exchanged, and keys with many rows are joined by broadcast (`join_counted`).
+Those, a thousand rows at most, are all that the driver gets to broadcast: any other join is one by exchange, as the
+planner takes sides for small by the bytes of their compressed files, and a side that `_rest` explodes by the bytes it had before.
 
 Cost: linear in the rows, but for classes that share rare shingles without being similar enough; those
 take (size of such a family) x (classes outside its largest component) comparisons.
@@ -301,7 +303,7 @@ def _linked(documents: DataFrame, sets: DataFrame, classes: DataFrame, s: Settin
     families = connected_components(met.select(F.col("node").alias("a"), F.col("first").alias("b")))
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     weight = met.groupBy("node").agg(F.sum("weight").alias("weight"))
-    families = families.join(classes.select("node", "doc_id", "text_key", "n_shingles"), "node").join(weight, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    families = families.join(classes.select("node", "doc_id", "text_key", "n_shingles").hint("merge"), "node").join(weight.hint("merge"), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     families = written(families, "families")
     drop_written(met)
 
@@ -318,9 +320,11 @@ def _linked(documents: DataFrame, sets: DataFrame, classes: DataFrame, s: Settin
     texts = member.select("node", *_place(F.col("doc_id"), F.col("text_key"))).join(where, ["__none", "__id", "__key"]).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
     drop_written(families)
-    links = written(_compare(seated.join(texts, "node"), s), "links")
+    links = written(_compare(seated.join(texts.hint("merge"), "node"), s), "links")
     if not sizes.where("cells > 1").isEmpty():
-        links = links.unionByName(written(_compare(_rest(_taken_apart(member, texts, links, s), s).join(texts, "node"), s), "links"))
+        every, texts = texts, written(texts.join(member.where("cells > 1").select("node").hint("merge"), "node", "left_semi"), "texts")
+        drop_written(every)
+        links = links.unionByName(written(_compare(_rest(_taken_apart(member, texts, links, s), s).join(texts.hint("merge"), "node"), s), "links"))
     return links
 
 
@@ -349,13 +353,13 @@ def components(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = _linked(documents, sets, classes, s)
     # Different texts under one id: few, and all of them are linked to the first.
     several = sets.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
-    of_ids = sets.where("digest is not null").join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
-    of_ids = of_ids.join(of_ids.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    of_ids = sets.where("digest is not null").join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node").hint("merge"), "digest")
+    of_ids = of_ids.join(of_ids.groupBy("doc_id").agg(F.min("node").alias("b")).hint("merge"), "doc_id").select(F.col("node").alias("a"), "b")
     linked = _grouped(links.unionByName(of_ids))
-    named = linked.join(classes.select("node", "digest", "doc_id", "n"), "node")
+    named = linked.join(classes.select("node", "digest", "doc_id", "n").hint("merge"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("__n"))
     moved = join_counted(named, least, "root", linked.count(), "__n").select("digest", "n", "component")
-    copied = classes.where("n > 1").join(linked.select("node"), "node", "left_anti").select("digest", "n", F.col("doc_id").alias("component"))
+    copied = classes.where("n > 1").join(linked.select("node").hint("merge"), "node", "left_anti").select("digest", "n", F.col("doc_id").alias("component"))
     found = written(moved.unionByName(copied), "found")
     rows = sets.select("doc_id", "n_shingles", "digest")
     full = join_counted(rows.where("digest is not null"), found, "digest", rows.count(), how="left").drop("digest")
@@ -374,8 +378,8 @@ def distinct_documents(documents: DataFrame, s: Settings = Settings()) -> DataFr
     linked = _grouped(_linked(documents, sets, classes, s))
     place = ["doc_id", "text_key"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("r")
-    kept = linked.join(classes.select("node", *place), "node").groupBy("root").agg(first).select("r.doc_id", "r.text_key")
-    kept = kept.unionByName(classes.select("node", *place).join(linked.select("node"), "node", "left_anti").select(*place))
+    kept = linked.join(classes.select("node", *place).hint("merge"), "node").groupBy("root").agg(first).select("r.doc_id", "r.text_key")
+    kept = kept.unionByName(classes.select("node", *place).join(linked.select("node").hint("merge"), "node", "left_anti").select(*place))
     kept = kept.unionByName(sets.where("digest is null").select(*place).distinct())
     kept = written(kept.select(*_place(F.col("doc_id"), F.col("text_key"))), "kept")
     key = ["__none", "__id", "__key"]
@@ -408,20 +412,20 @@ def _outside(placed: DataFrame) -> DataFrame:
 def _taken_apart(member: DataFrame, texts: DataFrame, links: DataFrame, s: Settings) -> DataFrame:
     """(node, root, part): the families of several cells once more, by rare shingles that a class outside the largest component shares."""
     linked = _grouped(links)
-    placed = member.where("cells > 1").join(linked.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = member.where("cells > 1").join(linked.withColumnRenamed("root", "part").hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     placed = written(placed.select("node", "root", "part", "n_shingles", "cells", "cell_no"), "placed")
     left = written(_outside(placed).select("root", "main", "n"), "outside")
     placed = join_counted(placed, left, "root", placed.count())
     placed = written(placed.withColumn("rest", F.col("part") != F.col("main")), "placed")
-    common = written(_common(placed.where("cell_no = 0").select("root", "node").join(texts, "node"), s), "common")
+    common = written(_common(placed.where("cell_no = 0").select("root", "node").join(texts.hint("merge"), "node"), s), "common")
     cell = F.xxhash64("root", "cell_no").alias("cell")
-    served = placed.select("root", "cell_no", cell).distinct().join(common, "root").select("cell", "hashes", "counts")
-    keys = written(_rare_keys(placed.select("node", "root", "rest", cell).join(texts, "node"), served, s), "rare")
+    served = placed.select("root", "cell_no", cell).distinct().join(common.hint("merge"), "root").select("cell", "hashes", "counts")
+    keys = written(_rare_keys(placed.select("node", "root", "rest", cell).join(texts.hint("merge"), "node"), served, s), "rare")
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.max("rest").alias("any_rest")).where("n > 1 and any_rest"), "buckets")
     met = join_counted(keys.select("key", "node"), buckets.select("key", "first", "n"), "key", keys.count())
     apart = _grouped(met.select(F.col("node").alias("a"), F.col("first").alias("b")))
     drop_written(keys)
-    return written(apart.join(placed.select("node", "part", "n_shingles"), "node"), "apart")
+    return written(apart.join(placed.select("node", "part", "n_shingles").hint("merge"), "node"), "apart")
 
 
 def _rest(placed: DataFrame, s: Settings) -> DataFrame:

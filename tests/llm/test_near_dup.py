@@ -1,9 +1,11 @@
+import contextlib
+import io
 import random
 
 import numpy as np
 import pytest
 
-from quern.llm import near_dup
+from quern.llm import components, near_dup
 from quern.llm.components import connected_components
 
 from . import cases
@@ -98,6 +100,24 @@ def test_common_passages_do_not_make_all_texts_meet(spark, monkeypatch):
     assert seen[1] <= 60 and seen[3] <= 60  # the clusters alone
 
 
+@pytest.mark.parametrize("query", [near_dup.components, near_dup.distinct_documents])
+def test_only_bounded_sides_are_broadcast(spark, monkeypatch, query):
+    """A join left to the planner is a broadcast by the bytes of a compressed file, or of rows before they are exploded; the driver has to hold it."""
+    joins = []
+
+    def note(df, *_):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("extended")
+        logical = out.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        joins.extend(x.strip() for x in logical.splitlines() if " Join " in f" {x.lstrip(' :+-')}")
+        return df
+
+    for module in (near_dup, components):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: f(note(df), name))
+    note(query(cases.documents(spark, boilerplate(240, 20)), near_dup.Settings(words=4, cell=12, guests=1, cell_shingles=900)))
+    assert len(joins) > 20 and [x for x in joins if "strategy=" not in x] == []
+
+
 def test_the_rarest_shingles_of_alike_sets_meet():
     rng = np.random.default_rng(3)
     hashes = np.sort(rng.integers(0, 2**40, 500).astype(np.uint64))
